@@ -39,3 +39,33 @@ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.c AS component_id
 FROM s JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) m ON m.x = s.doc_id"""
+
+
+@query
+def op5_substring_dedup(spark, sf_dir):
+    from orrery.llm.substring_dedup import digest, remove_repeats
+
+    return digest(remove_repeats(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE["op5_substring_dedup"] = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, unnest([md5(array_to_string(ws[j:j+19], ' ')) FOR j IN range(1, len(ws) - 18)]) AS h FROM w WHERE len(ws) >= 20),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+m AS (SELECT p.doc_id, p.i, word, max(rep.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS hit
+      FROM p LEFT JOIN rep ON rep.doc_id = p.doc_id AND rep.i = p.i),
+k AS (SELECT doc_id, count(*) AS n, count(hit) AS gone, string_agg(word, ' ' ORDER BY i) FILTER (hit IS NULL) AS txt FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
+FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from orrery.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")

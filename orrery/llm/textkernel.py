@@ -70,7 +70,7 @@ class Words:
         d = data[offsets[0] : offsets[-1]]
         if lower:
             d = _LOWER[d]
-        self.bytes = d
+        self.bytes, self.edges = d, o
         n = len(d)
         word = ~sep[d]
         first, last = word.copy(), word.copy()
