@@ -56,7 +56,7 @@ def _digest(words: int, bits: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("part_id", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        p = slots.Partial(bits)
+        p = slots.Partial(bits, np.uint8)
         seen: set[bytes] = set()
         for b in batches:
             ids = b.column(0)
@@ -252,7 +252,7 @@ def _tile(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 24, block: int = 512, bucket_entries: int = 400_000, hot_level: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 26, block: int = 512, bucket_entries: int = 400_000, hot_level: int = 80) -> DataFrame:
     """Return ``doc_id, n_shingles, set_id, component_id`` for every row of ``docs``.
 
     ``threshold`` (num, den): documents link when den * intersection >= num * union of their sets of
@@ -270,8 +270,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     run, schema = _digest(words, sketch_bits)
     first = scratch.cut(src.mapInArrow(run, schema), "digest")
-    own = first.where("part is null").select("doc_id", "n_shingles", "set_id", "part_id")
+    own = scratch.cut(first.where("part is null").select("doc_id", "n_shingles", "set_id", "part_id"), "own")
     level = spark.sparkContext.broadcast(slots.table(first.where("part is not null"), sketch_bits))
+    scratch.drop(first)
 
     full = own.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("part_id").alias("part_id"), F.min("n_shingles").alias("n"))
@@ -289,13 +290,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     groups = components(cand, scratch)
     length = classes.groupBy("rep").agg(F.max("n").alias("n"))
     groups = groups.join(length, groups["node"] == length["rep"]).select("rep", F.col("component").alias("grp"), "n")
-    sizes = groups.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / (block * 1000))).cast("int").alias("blocks"))
-    placed = scratch.cut(groups.join(sizes, "grp").select("rep", "grp", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("blk")), "placed")
-    wanted = spark.sparkContext.broadcast(slots.members(placed, "rep", sketch_bits))
+    # a group over one block is cut by size first: linked sets are in one class of sizes or in neighbours
+    load = F.greatest(F.count(F.lit(1)) / block, F.sum("n") / (block * 1000))
+    whole = groups.groupBy("grp").agg((load > 1).alias("large"))
+    cls = F.floor(F.log(F.col("n") + 0.5) / math.log(den / num)).cast("int")
+    keyed = groups.join(whole, "grp").withColumn("cls", F.explode(F.when(F.col("large"), F.array(cls, cls + 1)).otherwise(F.array(F.lit(-1)))))
+    sizes = keyed.groupBy("grp", "cls").agg(F.ceil(load).cast("int").alias("blocks"))
+    placed = keyed.join(sizes, ["grp", "cls"]).select("rep", "grp", "cls", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("blk"))
+    placed = scratch.cut(placed, "placed")
+    wanted = spark.sparkContext.broadcast(slots.members(placed, "rep", 24))
     sets = src.mapInArrow(_sets_of(words, wanted), "rep long, set_id binary, shingles binary").groupBy("rep", "set_id").agg(F.first("shingles").alias("shingles"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    tiles = placed.join(sets, "rep").select("rep", "shingles", "grp", "blk", other).select("rep", "shingles", "grp", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
-    edges = scratch.cut(tiles.groupBy("grp", "i", "j").applyInArrow(_tile(num, den), "src long, dst long"), "links")
+    tiles = placed.join(sets, "rep").select("rep", "shingles", "grp", "cls", "blk", other).select("rep", "shingles", "grp", "cls", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
+    edges = scratch.cut(tiles.groupBy("grp", "cls", "i", "j").applyInArrow(_tile(num, den), "src long, dst long"), "links")
     linked = components(edges, scratch)
     named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     low = own.join(named, "set_id", "left")

@@ -21,21 +21,21 @@ WIDTH = 1 << 14
 
 
 class Partial:
-    """Counts of one task. ``rows()`` gives its non-empty stretches, each count capped at 65,535."""
+    """Counts of one task. ``rows()`` gives its non-empty stretches; a count stops at what ``kind`` holds."""
 
-    def __init__(self, bits: int):
+    def __init__(self, bits: int, kind=np.uint16):
         self.bits = bits
-        self.counts = np.zeros(1 << bits, np.uint16)
+        self.counts = np.zeros(1 << bits, kind)
 
     def add(self, hashes: np.ndarray) -> None:
-        """Count distinct or repeated 64-bit hashes; the top bits choose the slot."""
+        """Count 64-bit hashes, each time one occurs; the top bits choose the slot."""
         slot = np.sort((hashes >> np.uint64(64 - self.bits)).astype(np.int64))
         if not len(slot):
             return
         at = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
         n = np.diff(np.r_[at, len(slot)])
         s = slot[at]
-        self.counts[s] = np.minimum(self.counts[s].astype(np.int64) + n, 65535)
+        self.counts[s] = np.minimum(self.counts[s].astype(np.int64) + n, np.iinfo(self.counts.dtype).max)
 
     def rows(self):
         for part in range(0, len(self.counts), WIDTH):
@@ -44,20 +44,27 @@ class Partial:
             if len(hit):
                 yield part // WIDTH, pack(hit, c[hit])
 
+    def batches(self):
+        """The rows as Arrow batches of (part, counts)."""
+        for part, data in self.rows():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([data], pa.binary())})
+
+
+def _least(v: np.ndarray):
+    return np.dtype(np.uint8 if v.max(initial=0) < 256 else np.uint16)
+
 
 def pack(hit: np.ndarray, n: np.ndarray) -> bytes:
-    """Gaps between hit slots and counts as one byte each where they fit."""
+    """Gaps between hit slots, then counts, each in one byte if all fit."""
     gap = np.diff(hit, prepend=-1)
-    big = bool((gap > 255).any() or (n > 255).any())
-    kind = np.uint16 if big else np.uint8
-    return struct.pack("<?I", big, len(hit)) + gap.astype(kind).tobytes() + n.astype(kind).tobytes()
+    g, c = _least(gap), _least(n)
+    return struct.pack("<BBI", g.itemsize, c.itemsize, len(hit)) + gap.astype(g).tobytes() + n.astype(c).tobytes()
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    big, n = struct.unpack_from("<?I", data)
-    kind = np.dtype(np.uint16 if big else np.uint8)
-    gap = np.frombuffer(data, kind, n, 5)
-    return np.cumsum(gap, dtype=np.int64) - 1, np.frombuffer(data, kind, n, 5 + n * kind.itemsize)
+    g, c, n = struct.unpack_from("<BBI", data)
+    gap = np.frombuffer(data, f"<u{g}", n, 6)
+    return np.cumsum(gap, dtype=np.int64) - 1, np.frombuffer(data, f"<u{c}", n, 6 + n * g)
 
 
 def _sum_parts(batches):
@@ -78,6 +85,17 @@ def _quantise(t: np.ndarray) -> np.ndarray:
     return np.where(t < 4, t, big).astype(np.uint8)
 
 
+def repeated(partials: DataFrame, bits: int) -> np.ndarray:
+    """One bit per slot that was hit twice or more."""
+    return np.packbits(table(partials, bits) > 1)
+
+
+def test_bits(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bits = (len(packed) * 8).bit_length() - 1
+    slot = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
+
+
 def table(partials: DataFrame, bits: int) -> np.ndarray:
     """Sum (part, counts) rows over all tasks; 2**bits bytes come to the driver."""
     summed = partials.select("part", "counts").repartition("part").mapInArrow(_sum_parts, SCHEMA)
@@ -101,7 +119,6 @@ def members(ids: DataFrame, column: str, bits: int) -> np.ndarray:
         for b in batches:
             v = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             p.add(tk.mix(v))
-        for part, data in p.rows():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([data], pa.binary())})
+        yield from p.batches()
 
     return table(ids.select(F.col(column).cast("long").alias("v")).mapInArrow(count, SCHEMA), bits)
