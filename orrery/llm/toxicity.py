@@ -171,7 +171,7 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, candidates: int = 60_000, terms: int = 8_192, least_docs: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, candidates: int = 60_000, terms: int = 8_192, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``sample`` labelled rows whose crc32(id as text) mod 5 is not 0.
 
     The sample takes the rows with the smallest hash of the id, up to half of it toxic ones first.
