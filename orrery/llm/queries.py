@@ -69,3 +69,106 @@ def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+
+
+#: Weights of the mixing query: domains, languages, sources (equal).
+MIX_WEIGHTS = [{"web": 4, "news": 3, "forum": 2, "books": 1}, {"en": 5, "de": 2, "fr": 2, "es": 1}, {}]
+
+
+@query
+def op4_mixing(spark, sf_dir):
+    from orrery.llm.mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, budget_share=(1, 2), max_epochs=4, seed=17)
+    return out.selectExpr("doc_id", "mix_domain as domain", "mix_lang as lang", "mix_source as source", "n_tokens", "copies")
+
+
+def _split_sql(level: str, parent: list[str], name: str, weight: str) -> str:
+    by = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    keep = ", ".join([*parent, name])
+    return f"""
+{level}_a AS (SELECT *, CASE WHEN w > 0 THEN cap::DOUBLE / w::DOUBLE END AS ratio FROM (SELECT *, {weight} AS w FROM {level}_n)),
+{level}_b AS (SELECT *, coalesce(sum(cap) OVER l, 0)::HUGEINT AS filled, (sum(w) OVER p - coalesce(sum(w) OVER l, 0))::HUGEINT AS rest_w FROM {level}_a
+  WINDOW p AS ({by}), l AS ({by} ORDER BY ratio ASC NULLS LAST, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{level}_c AS (SELECT *, cap::HUGEINT * rest_w <= (budget - filled) * w AS fl FROM {level}_b),
+{level}_d AS (SELECT *, (budget - coalesce(sum(cap) FILTER (fl) OVER ({by}), 0))::HUGEINT AS lft, (sum(w) FILTER (NOT fl) OVER ({by}))::HUGEINT AS open_w FROM {level}_c),
+{level}_e AS (SELECT *, CASE WHEN fl THEN cap WHEN w > 0 THEN (lft * w) // open_w ELSE 0 END AS share FROM {level}_d),
+{level}_f AS (SELECT *, lft - sum(CASE WHEN fl THEN 0 ELSE share END) OVER ({by}) AS odd, sum(CASE WHEN NOT fl AND w > 0 THEN 1 ELSE 0 END) OVER ({by} ORDER BY {name}) AS turn FROM {level}_e),
+{level} AS (SELECT {keep}, (share + CASE WHEN NOT fl AND w > 0 AND turn <= odd THEN 1 ELSE 0 END)::BIGINT AS target FROM {level}_f)"""
+
+
+def _mix_sql() -> str:
+    case = lambda col, w: "CASE " + " ".join(f"WHEN {col} = '{k}' THEN {v}" for k, v in w.items()) + " ELSE 1 END" if w else "1"
+    return f"""
+WITH base AS (SELECT doc_id, CASE WHEN g < '4' THEN 'web' WHEN g < '8' THEN 'news' WHEN g < 'c' THEN 'forum' ELSE 'books' END AS domain,
+  coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, n FROM (
+  SELECT doc_id, substr(md5(coalesce(source, '')), 1, 1) AS g, lang, source, len({_WORDS})::BIGINT AS n FROM documents)),
+leaf AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens, (sum(n) * 4)::BIGINT AS cap FROM base GROUP BY ALL),
+total AS (SELECT least(coalesce(sum(tokens), 0) // 2, coalesce(sum(cap), 0))::HUGEINT AS budget FROM leaf),
+a_n AS (SELECT domain, sum(cap)::HUGEINT AS cap, any_value(budget) AS budget FROM leaf, total GROUP BY 1),
+{_split_sql("a", [], "domain", case("domain", MIX_WEIGHTS[0]))},
+b_n AS (SELECT l.domain, l.lang, sum(cap)::HUGEINT AS cap, any_value(target)::HUGEINT AS budget FROM leaf l JOIN a ON a.domain = l.domain GROUP BY 1, 2),
+{_split_sql("b", ["domain"], "lang", case("lang", MIX_WEIGHTS[1]))},
+c_n AS (SELECT l.domain, l.lang, l.source, sum(cap)::HUGEINT AS cap, any_value(target)::HUGEINT AS budget FROM leaf l JOIN b ON b.domain = l.domain AND b.lang = l.lang GROUP BY 1, 2, 3),
+{_split_sql("c", ["domain", "lang"], "source", "1")},
+plan AS (SELECT l.*, target // tokens AS epochs, target % tokens AS lack FROM leaf l JOIN c USING (domain, lang, source) WHERE target > 0 AND tokens > 0),
+h AS (SELECT base.*, epochs, lack, md5('17:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')) AS h FROM base JOIN plan USING (domain, lang, source)),
+o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) - sum(n) OVER (PARTITION BY domain, lang, source, h) AS done FROM h)
+SELECT doc_id, domain, lang, source, n AS n_tokens, (epochs + CASE WHEN done < lack THEN 1 ELSE 0 END)::INTEGER AS copies FROM o WHERE epochs + CASE WHEN done < lack THEN 1 ELSE 0 END > 0"""
+
+
+ORACLE["op4_mixing"] = _mix_sql()
+
+
+@query
+def op2_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from orrery.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+_VEC = "embedding IS NOT NULL AND len(list_filter(embedding, z -> z IS NULL OR NOT isfinite(z))) = 0 AND len(list_filter(embedding, z -> z <> 0)) > 0"
+
+
+@query
+def op7_embedding_dedup(spark, sf_dir):
+    from orrery.llm.embedding_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+ORACLE["op7_embedding_dedup"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE {_VEC}),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN c ON c.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id"""
+
+
+@query
+def op10_nearest(spark, sf_dir):
+    from orrery.llm.nearest import search
+
+    base = table(spark, sf_dir, "embeddings")
+    return search(base, base.where("vec_id % 20 = 0"), k=20)
+
+
+ORACLE["op10_nearest"] = f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE {_VEC}),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 20"""
+
+
+@query
+def op3_token_store(spark, sf_dir):
+    import public_tokenizers
+
+    from orrery.llm import token_store
+    from orrery.llm.scratch import Scratch
+
+    path = Scratch(spark, "store").path("ids")
+    token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, by_word=True, vocab=49_408)
+    return token_store.with_crc(token_store.read(spark, path))
