@@ -129,7 +129,7 @@ def op2_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-_VEC = "embedding IS NOT NULL AND len(list_filter(embedding, z -> z IS NULL OR NOT isfinite(z))) = 0 AND len(list_filter(embedding, z -> z <> 0)) > 0"
+_VEC = "embedding IS NOT NULL AND len([z FOR z IN embedding IF z IS NULL OR NOT isfinite(z)]) = 0 AND len([z FOR z IN embedding IF z <> 0]) > 0"
 
 
 @query
@@ -172,3 +172,30 @@ def op3_token_store(spark, sf_dir):
     path = Scratch(spark, "store").path("ids")
     token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, by_word=True, vocab=49_408)
     return token_store.with_crc(token_store.read(spark, path))
+
+
+@query
+def op6_warc(spark, sf_dir):
+    from orrery.llm import warc
+    from orrery.llm.scratch import Scratch
+
+    path = Scratch(spark, "warc").path("store")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).drop("payload")
+
+
+ORACLE["op6_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
+  CASE WHEN strlen(h) >= 100 AND page_id > f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(h) >= 100 AND page_id > f THEN f END AS refers_to FROM q"""
+
+
+@query
+def op8_quality(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from orrery.llm.quality import classify
+
+    # documents carry no URL: the source is the host, and the language its first path segment
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
