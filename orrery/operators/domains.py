@@ -28,7 +28,7 @@ def grow_regions(cells: DataFrame, n: int, target: int) -> DataFrame:
         w[pdf["cell"].to_numpy()] = pdf["weight"].to_numpy()
         return pd.DataFrame({"cell": np.arange(n**3), "domain": _grow(w, n, target)})
 
-    return cells.groupBy(F.lit(0)).applyInPandas(grow, "cell long, domain int")
+    return cells.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(grow, "cell long, domain int")
 
 
 def _grow(weight: np.ndarray, n: int, target: int) -> np.ndarray:
