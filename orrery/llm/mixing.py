@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.llm.scratch import Scratch
+from orrery.llm.scratch import Scratch, fresh
 
 _NONE = "(none)"
 #: Documents that one stretch of a leaf's order holds, about.
@@ -55,7 +55,7 @@ def _split(nodes: DataFrame, parent: list[str], name: str, weights: dict[str, in
     line = over.orderBy(F.col("ratio").asc_nulls_last(), name)
     before = line.rowsBetween(Window.unboundedPreceding, -1)
     n = n.withColumns({"filled": F.coalesce(F.sum("cap").over(before), F.lit(0)), "rest_w": F.sum("w").over(over) - F.coalesce(F.sum("w").over(before), F.lit(0))})
-    n = n.withColumn("full", _big(F.col("cap")) * _big(F.col("rest_w")) <= _big(F.col("budget") - F.col("filled")) * F.col("w"))
+    n = n.withColumn("full", (F.col("w") > 0) & (_big(F.col("cap")) * _big(F.col("rest_w")) <= _big(F.col("budget") - F.col("filled")) * F.col("w")))
     n = n.withColumns({"left": F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(over), F.lit(0)), "open_w": F.sum(F.when(~F.col("full"), F.col("w"))).over(over)})
     n = n.withColumn("share", F.when(F.col("full"), F.col("cap")).when(F.col("w") > 0, F.expr("cast(left as decimal(38,0)) * w div open_w")).otherwise(0).cast("long"))
     n = n.withColumn("odd", F.col("left") - F.sum(F.when(~F.col("full"), F.col("share")).otherwise(0)).over(over))
@@ -119,7 +119,10 @@ def mix(docs: DataFrame, weights: list[dict[str, int]], budget: int | None = Non
     last = part.groupBy(*names, "stretch", "h").agg(F.sum("n").alias("t"), F.first("lack").alias("lack")).join(ends, [*names, "stretch"])
     inner = Window.partitionBy(*names, "stretch").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     cut = last.withColumn("done", F.col("done") + F.coalesce(F.sum("t").over(inner), F.lit(0))).where("done < lack").groupBy(*names).agg(F.max("h").alias("cut"))
-    final = scratch.cut(plan.join(cut, names, "left").select(*[F.col(n).alias(f"_{n}") for n in names], "epochs", "cut"), "final")
-    out = docs.withColumns(level).join(final, [F.col(n) == F.col(f"_{n}") for n in names])
-    copies = F.col("epochs") + F.when(order(F.col("epochs"), F.col(id_col).cast("string")) <= F.col("cut"), 1).otherwise(0)
+    keys = fresh(docs, *[f"_{n}" for n in names], "_epochs", "_cut")
+    final = plan.join(cut, names, "left").select(*names, "epochs", "cut").withColumnsRenamed(dict(zip([*names, "epochs", "cut"], keys, strict=True)))
+    final = scratch.cut(final, "final")
+    out = docs.withColumns(level).join(final, [F.col(n) == F.col(k) for n, k in zip(names, keys, strict=False)])
+    epochs, end = F.col(keys[-2]), F.col(keys[-1])
+    copies = epochs + F.when(order(epochs, F.col(id_col).cast("string")) <= end, 1).otherwise(0)
     return out.withColumn("copies", copies.cast("int")).where("copies > 0").withColumn("n_tokens", token_count(F.col(text_col))).select(*docs.columns, *names, "n_tokens", "copies")
