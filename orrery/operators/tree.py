@@ -166,6 +166,13 @@ def octree(points: DataFrame, max_depth: int, bucket: int = 1, weight: str | Non
     return kept.select("depth", "key", "n", "mass", "mx", "my", "mz", ((F.col("n") <= bucket) | (F.col("depth") == max_depth)).alias("leaf"))
 
 
+def octree_order(points: DataFrame, depth: int = DEEPEST) -> DataFrame:
+    """``id, row``: points numbered along the octree (Morton code, then id)."""
+    from orrery.sources.particle_files import number_rows
+
+    return number_rows(points.select("id", morton(depth).alias("m")), "m", "id").select("id", "row")
+
+
 def leaf_counts(nodes: DataFrame, max_depth: int) -> DataFrame:
     """``depth, key, leaves`` below every node of an octree."""
     leaf = nodes.where("leaf").select("depth", "key")

@@ -338,6 +338,20 @@ def octree_chunks(spark, sf):
     return tree.chunks(_octree(spark, sf), 100)
 
 
+@query(f"WITH {_P}, m AS (SELECT id, {_morton_sql(12)} AS m FROM p) SELECT id, row_number() OVER (ORDER BY m, id) - 1 AS row FROM m")
+def octree_order(spark, sf):
+    return tree.octree_order(views.particles(spark, sf), 12)
+
+
+@query(f"WITH RECURSIVE {_REFINE}, l AS (SELECT depth, i, j, k, w FROM t WHERE NOT r), s AS (SELECT * FROM (VALUES (-1.0::DOUBLE), (0.0::DOUBLE), (1.0::DOUBLE)) AS t(s)) SELECT depth, i, j, k FROM l WHERE "
+       + " AND ".join(f"EXISTS (SELECT 1 FROM s WHERE {c}*w + s < {hi}::DOUBLE AND {lo}::DOUBLE < ({c}+1)*w + s)" for c, lo, hi in (("i", -0.1, 0.3), ("j", 0.3, 0.5), ("k", 0.35, 0.45)))
+       + " AND NOT (depth >= 3 AND i // CAST(pow(2, greatest(depth-3, 0)) AS BIGINT) = 1 AND j // CAST(pow(2, greatest(depth-3, 0)) AS BIGINT) = 3 AND k // CAST(pow(2, greatest(depth-3, 0)) AS BIGINT) = 3)")
+def leaves_in_box(spark, sf):
+    """Leaves that meet a periodic box, without those below one node."""
+    leaves = tree.refine(spark, tree.sphere_test(_CEN, 0.02, 0.9), 7)
+    return tree.leaves_in_box(leaves, (-0.1, 0.3, 0.35), (0.3, 0.5, 0.45), (3, 1, 3, 3))
+
+
 # --- wave numbers and tables
 
 _SGN = [f"CASE WHEN {e} <= {{h}} THEN {e} ELSE {e} - {{n}} END" for e in ("r.range // ({n}*{n})", "r.range // {n} % {n}", "r.range % {n}")]
@@ -489,6 +503,34 @@ def bh_force(spark, sf):
     return gravity.tree_sum(views.clustered(spark, sf), 0.2, kernels.newton(0.2), theta=0.5, depth=6)
 
 
+@query()
+def log_kernel_force(spark, sf):
+    r = np.exp(np.linspace(np.log(0.01), np.log(0.2), 64))
+    return gravity.log_tree_sum(views.clustered(spark, sf), 0.01, 0.2, 1 / r**3, depth=6)
+
+
+def _pairs_in_domain(pdf):
+    """Neighbours within 0.02 of a domain's own points, ghosts included."""
+    import pandas as pd
+
+    x = pdf[["x", "y", "z"]].to_numpy()
+    own = np.flatnonzero(pdf["own"].to_numpy())
+    n = np.zeros(len(own), np.int64)
+    for a in range(0, len(own), 256):
+        d = x[own[a : a + 256], None] - x[None]
+        d -= np.floor(d + 0.5)
+        n[a : a + 256] = ((d**2).sum(-1) < 0.02 * 0.02).sum(1) - 1
+    return pd.DataFrame({"id": pdf["id"].to_numpy()[own], "n": n})
+
+
+@query(f"WITH {_C}, l AS (SELECT a.id AS i, {_R2} AS r2 FROM c a, c b WHERE a.id <> b.id), k AS (SELECT i, count(*) AS n FROM l WHERE r2 < 0.02::DOUBLE*0.02::DOUBLE GROUP BY i) SELECT id, coalesce(n, 0) AS n FROM c LEFT JOIN k ON i = id")
+def domain_neighbours(spark, sf):
+    """The same counts as a single pass, but domain by domain with ghosts."""
+    c = views.clustered(spark, sf)
+    rows = domains.balanced_domains(c, 0.02, 8, 8)
+    return domains.per_domain(c, rows, _pairs_in_domain, "id long, n long")
+
+
 @query()
 def medium_range(spark, sf):
     return gravity.MediumRange((0.5, 0.5, 0.5), 0.1, 0.1, n=16).accel(views.clustered(spark, sf))
