@@ -46,31 +46,26 @@ def ellipsoid_test(matrix, centre: tuple[float, float, float], theta: float, k:
     return test
 
 
-def _children(df: DataFrame) -> DataFrame:
-    o = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    return df.withColumn("_o", o).select((F.col("depth") + 1).alias("depth"), (F.col("i") * 2 + F.expr("_o div 4")).alias("i"), (F.col("j") * 2 + F.expr("(_o div 2) % 2")).alias("j"), (F.col("k") * 2 + F.col("_o") % 2).alias("k"))
-
-
 def refine(spark: SparkSession, test: Callable[[Column], Column], max_depth: int, max_cells: int | None = None) -> DataFrame:
     """Leaves ``depth, i, j, k`` of the unit cube refined while ``test`` holds.
 
-    Raises if the cells to refine pass ``max_cells`` nodes.
+    A level turns each open cell that is to be refined into its eight children and closes the others: one
+    explode per level in a single lineage, dealt out over all tasks at depth 3. Raises if the cells to
+    refine pass ``max_cells`` nodes.
     """
-    level = spark.range(1).selectExpr("0 as depth", "cast(0 as bigint) as i", "cast(0 as bigint) as j", "cast(0 as bigint) as k")
-    leaves, nodes = [], 0
-    for depth in range(max_depth + 1):
-        want = (test(F.lit(2.0**-depth)) if depth < max_depth else F.lit(False)).alias("_r")
-        marked = level.select("*", want)
-        leaves.append(marked.where(~F.col("_r")).drop("_r"))
-        inner = marked.where("_r").drop("_r")
-        if max_cells is not None and depth < max_depth:
-            nodes += inner.count()
-            if nodes > max_cells:
-                raise MemoryError(f"the tree needs over {max_cells} nodes")
-        level = _children(inner)
-        if depth and depth % 4 == 0:
-            level = cut(level, "level")
-    return reduce(DataFrame.unionByName, leaves)
+    df = spark.range(1).selectExpr("0 as depth", "cast(0 as bigint) as i", "cast(0 as bigint) as j", "cast(0 as bigint) as k", "true as open")
+    child = [F.struct((F.col("depth") + 1).alias("depth"), *[(F.col(c) * 2 + o).alias(c) for c, o in zip("ijk", (q >> 2, q >> 1 & 1, q & 1), strict=True)], F.lit(True).alias("open")) for q in range(8)]
+    same = F.struct("depth", "i", "j", "k", F.lit(False).alias("open"))
+    for depth in range(max_depth):
+        df = df.withColumn("_r", F.col("open") & test(F.lit(2.0**-depth)))
+        if max_cells is not None and 7 * max_cells + 1 < df.agg(F.sum(F.when(F.col("_r"), 8).otherwise(1))).first()[0]:
+            raise MemoryError(f"the tree needs over {max_cells} nodes")
+        df = df.select(F.explode(F.when(F.col("_r"), F.array(*child)).otherwise(F.array(same))).alias("e")).select("e.*")
+        if depth == 2:
+            df = df.repartition("i", "j", "k")
+        if depth % 4 == 3:
+            df = cut(df, "level")
+    return df.drop("open")
 
 
 def force_levels(leaves: DataFrame, levels: list[int]) -> DataFrame:

@@ -564,5 +564,4 @@ def measured_spectrum(spark, sf):
 
 @query()
 def glass_points(spark, sf):
-    p = views.clustered(spark, sf).where("id < 64")
-    return evolve.glass(p, 12, 3)
+    return evolve.glass(views.clustered(spark, sf), 12, 3)

@@ -6,6 +6,8 @@ setting gets a folder below ``/tmp``. Nothing is kept on one executor alone.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ def base(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {_KEY} to a folder that driver and executors share")
         where = f"file:///tmp/orrery-{uuid.uuid4().hex[:12]}"
+        atexit.register(shutil.rmtree, where.removeprefix("file://"), ignore_errors=True)
         spark.conf.set(_KEY, where)
     return where.rstrip("/")
 
