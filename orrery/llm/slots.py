@@ -1,4 +1,4 @@
-"""Fixed-size tables over hashed values: how often each slot was hit, as one byte per slot.
+"""Fixed-size tables over hashed values: how often each slot was hit, on a scale of 16 levels.
 
 A slot table is built from all rows, with a partial count in each task and a sum per range of slots;
 its size depends on ``bits`` alone, which is the proven bound of what is broadcast. Users of a table may
@@ -15,9 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm import textkernel as tk
+
 SCHEMA = "part int, counts binary"
 #: Slots per row of a partial table.
 WIDTH = 1 << 14
+WIDE = 1 << 16
+#: The highest level: 182 hits or more.
+TOP = 15
 
 
 class Partial:
@@ -50,6 +55,26 @@ class Partial:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([data], pa.binary())})
 
 
+class Bits:
+    """Which slots were hit, in one bit each, for large tables."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.hit = np.zeros(1 << (bits - 3), np.uint8)
+
+    def add(self, hashes: np.ndarray) -> None:
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        np.bitwise_or.at(self.hit, slot >> 3, (np.uint8(128) >> (slot & 7).astype(np.uint8)).astype(np.uint8))
+
+    def batches(self):
+        """Arrow batches of (part, counts), the latter with places of bits alone."""
+        for part in range(0, len(self.hit) * 8 // WIDE):
+            cut = self.hit[part * WIDE // 8 : (part + 1) * WIDE // 8]
+            if cut.any():
+                at = np.flatnonzero(np.unpackbits(cut)).astype(np.uint16)
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([at.tobytes()], pa.binary())})
+
+
 def _least(v: np.ndarray):
     return np.dtype(np.uint8 if v.max(initial=0) < 256 else np.uint16)
 
@@ -80,45 +105,60 @@ def _sum_parts(batches):
 
 
 def _quantise(t: np.ndarray) -> np.ndarray:
-    """0, 1, 2, 3 as they are; above, four steps to each doubling."""
-    big = np.minimum(255, np.floor(4 * np.log2(np.maximum(t, 4)) - 4)).astype(np.uint8)
+    """0, 1, 2, 3 as they are; above, two steps to each doubling, up to TOP."""
+    big = np.minimum(TOP, np.floor(2 * np.log2(np.maximum(t, 4)))).astype(np.uint8)
     return np.where(t < 4, t, big).astype(np.uint8)
 
 
-def repeated(partials: DataFrame, bits: int) -> np.ndarray:
-    """One bit per slot that was hit twice or more."""
-    return np.packbits(table(partials, bits) > 1)
-
-
-def test_bits(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bits = (len(packed) * 8).bit_length() - 1
-    slot = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    return (packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
-
-
 def table(partials: DataFrame, bits: int) -> np.ndarray:
-    """Sum (part, counts) rows over all tasks; 2**bits bytes come to the driver."""
+    """Levels of (part, counts) rows summed over all tasks, two to a byte; 2**bits / 2 bytes come to the driver."""
     summed = partials.select("part", "counts").repartition("part").mapInArrow(_sum_parts, SCHEMA)
-    out = np.zeros(1 << bits, np.uint8)
+    out = np.zeros(1 << (bits - 1), np.uint8)
     for r in summed.toLocalIterator():
-        out[r["part"] * WIDTH : (r["part"] + 1) * WIDTH] = np.frombuffer(r["counts"], np.uint8)
+        v = np.frombuffer(r["counts"], np.uint8)
+        out[r["part"] * WIDTH // 2 : (r["part"] + 1) * WIDTH // 2] = v[::2] << 4 | v[1::2]
     return out
 
 
 def lookup(tab: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bits = len(tab).bit_length() - 1
-    return tab[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
+    """Levels of the hashes' slots."""
+    bits = len(tab).bit_length()
+    slot = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return tab[slot >> 1] >> ((~slot & 1) << 2).astype(np.uint8) & np.uint8(15)
 
 
 def members(ids: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A table whose non-zero slots cover every value of a long column."""
-    import orrery.llm.textkernel as tk
+    """A bit table that covers every value of a long column."""
 
     def count(batches):
-        p = Partial(bits)
+        p = Bits(bits)
         for b in batches:
             v = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             p.add(tk.mix(v))
         yield from p.batches()
 
-    return table(ids.select(F.col(column).cast("long").alias("v")).mapInArrow(count, SCHEMA), bits)
+    return bit_table(ids.select(F.col(column).cast("long").alias("v")).mapInArrow(count, SCHEMA), bits)
+
+
+def _or_parts(batches):
+    """As ``_sum_parts``, for the rows of ``Bits``; one bit per slot comes out."""
+    parts: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            parts.setdefault(part, np.zeros(WIDE, bool))[np.frombuffer(data, np.uint16)] = True
+    for part, m in parts.items():
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([np.packbits(m).tobytes()], pa.binary())})
+
+
+def bit_table(partials: DataFrame, bits: int) -> np.ndarray:
+    """The slots that any task hit: 2**bits / 8 bytes come to the driver."""
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in partials.select("part", "counts").repartition("part").mapInArrow(_or_parts, SCHEMA).toLocalIterator():
+        out[r["part"] * WIDE // 8 : (r["part"] + 1) * WIDE // 8] = np.frombuffer(r["counts"], np.uint8)
+    return out
+
+
+def test_bits(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bits = (len(packed) * 8).bit_length() - 1
+    slot = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0

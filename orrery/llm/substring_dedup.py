@@ -6,9 +6,11 @@ the bucket of the minimiser; equal windows share a minimiser, so each bucket can
 tell the first of each exactly.
 
 Plan at scale: windows that repeat inside a run of texts (about a megabyte) are settled there, so that a
-passage in a third of all documents sends one string per run. A first pass counts minimisers in a slot
-table of fixed size; only strings whose minimiser stands in two runs or more travel at all. What comes
-back are spans of words, joined to the texts by id and text hash.
+passage in a third of all documents sends one string per run. Strings are first compared as wholes, by
+128-bit fingerprints: all but the first of equal strings are repeats, and a string whose minimiser has no
+other string is settled too. Only first strings that meet a different one under their minimiser travel
+packed, in a second pass; a bit table of fixed size says which. What comes back are spans of words, joined
+to the texts by id and text hash.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm import slots
 from orrery.llm import textkernel as tk
-from orrery.llm.scratch import Scratch
+from orrery.llm.scratch import Scratch, fresh
 
 U = np.uint64
+_MARK = np.dtype([("fp", "<u8"), ("fp2", "<u8"), ("least", "<u4"), ("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("n", "<i4")])
 _HEAD = np.dtype([("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("n", "<i4")])
 _NO_ID = (1 << 63) - 1
 
@@ -97,61 +101,144 @@ def _strings(row, num, least, keep):
     return i[s], np.diff(np.r_[s, len(i)])
 
 
-def _count(k: int, m: int, bits: int):
+def _fingerprints(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each stretch of word hashes."""
+    out = []
+    for salt, p in ((U(0x2545F4914F6CDD1D), 0xD1342543DE82EF95), (U(0x9FB21C651E98DF25), 0xAF251AF3B0F025B5)):
+        with np.errstate(over="ignore"):
+            up, down = np.full(len(h) + 1, p, U), np.full(len(h) + 1, pow(p, -1, 1 << 64), U)
+            up[0] = down[0] = 1
+            up, down = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+            total = np.zeros(len(h) + 1, U)
+            np.cumsum(tk.mix(h ^ salt) * up[:-1], out=total[1:], dtype=U)
+            out.append(tk.mix((total[end] - total[start]) * down[start] + (end - start).astype(U)))
+    return out[0], out[1]
+
+
+def _instance(fp: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Code of one occurrence of a string."""
+    return tk.mix(fp ^ tk.mix(doc.astype(U) ^ tk.mix(start.astype(U) + U(1))))
+
+
+def _grouped(to: np.ndarray):
+    """(value, from, end) of each stretch of equal values."""
+    cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    return zip(to[cut].tolist(), cut.tolist(), np.r_[cut[1:], len(to)].tolist(), strict=True)
+
+
+_SENT = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("text", pa.int64()), ("data", pa.binary())])
+_SENT_SQL = "bucket int, doc long, text long, data binary"
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SENT, strict=True)], schema=_SENT)
+
+
+def _runs(batches, k: int, m: int):
+    """Of each run: its words, ids, text hashes, windows, and the strings of windows new to it."""
+    for b in batches:
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        texts = b.column(1).to_numpy(zero_copy_only=False)
+        for at0, w in tk.runs(b.column(2)):
+            at, row, num, least, again = _windows(w, ids[at0:], k, m)
+            if len(at):
+                s, n = _strings(row, num, least, ~again)
+                yield w, ids[at0:], texts[at0:], at, row, num, least, again, s, n
+
+
+def _announce(k: int, m: int, buckets: int):
+    """Fingerprints of strings for a bucket, and spans settled in a run (rows with a document), on any."""
+
+    def run(batches):
+        for w, ids, texts, at, row, num, least, again, s, n in _runs(batches, k, m):
+            out: list[tuple] = []
+            r = np.flatnonzero(again)
+            if len(r):
+                for d, i, j in _grouped(row[r]):
+                    out.append((int(ids[d]) % buckets, int(ids[d]), int(texts[d]), _spans(num[r[i:j]], k)))
+            if len(s):
+                mark = np.empty(len(s), _MARK)
+                mark["fp"], mark["fp2"] = _fingerprints(w.hash, at[s], at[s] + n + k - 1)
+                mark["least"], mark["doc"], mark["text"], mark["start"], mark["n"] = least[s] & U(0xFFFFFFFF), ids[row[s]], texts[row[s]], num[s], n
+                to = (tk.mix(least[s]) % U(buckets)).astype(np.int64)
+                o = np.argsort(to, kind="stable")
+                mark = mark[o]
+                out += [(t, None, None, mark[i:j].tobytes()) for t, i, j in _grouped(to[o])]
+            if out:
+                yield _batch(out)
+
+    return run
+
+
+def _compare(k: int):
+    """Of a bucket: spans of strings that repeat an earlier one whole, and (rows without a document) the
+    codes of first strings that meet another under their minimiser."""
+
+    def run(t: pa.Table) -> pa.Table:
+        settled = t.filter(pa.compute.is_valid(t.column("doc"))).select(["doc", "text", "data"])
+        t = t.filter(pa.compute.is_null(t.column("doc")))
+        x = np.frombuffer(b"".join(t.column("data").to_pylist()), _MARK)
+        if not len(x):
+            return settled
+        x = x[np.lexsort((x["start"], x["doc"], x["fp2"], x["fp"]))]
+        head = np.r_[True, (x["fp"][1:] != x["fp"][:-1]) | (x["fp2"][1:] != x["fp2"][:-1])]
+        first = np.flatnonzero(head)[np.cumsum(head) - 1]
+        late = (x["doc"] != x["doc"][first]) | (x["start"] != x["start"][first])
+        own = x[head]
+        kinds = np.sort(own["least"])
+        at = np.searchsorted(kinds, own["least"])
+        many = np.searchsorted(kinds, own["least"], side="right") - at > 1
+        need = np.zeros(len(x), bool)
+        need[~late] = many[(np.cumsum(head) - 1)[~late]]
+        rows = [(None, None, _instance(x["fp"][need], x["doc"][need], x["start"][need]).tobytes())] if need.any() else []
+        y = x[late]
+        y = y[np.lexsort((y["start"], y["text"], y["doc"]))]
+        if len(y):
+            cut = np.flatnonzero(np.r_[True, (y["doc"][1:] != y["doc"][:-1]) | (y["text"][1:] != y["text"][:-1])])
+            for i, j in zip(cut.tolist(), np.r_[cut[1:], len(y)].tolist(), strict=True):
+                rows.append((int(y["doc"][i]), int(y["text"][i]), np.stack([y["start"][i:j], y["start"][i:j] + y["n"][i:j] + k - 1], 1).astype("<i4").tobytes()))
+        cols = list(zip(*rows, strict=True)) or [[], [], []]
+        new = pa.table({"doc": pa.array(cols[0], pa.int64()), "text": pa.array(cols[1], pa.int64()), "data": pa.array(cols[2], pa.binary())})
+        return pa.concat_tables([new, settled])
+
+    return run
+
+
+def _wanted(bits: int):
     def run(batches):
-        p = slots.Partial(bits, np.uint8)
-        total = 0
+        p = slots.Bits(bits)
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for at0, w in tk.runs(b.column(2)):
-                _, row, num, least, again = _windows(w, ids[at0:], k, m)
-                s, _ = _strings(row, num, least, ~again)
-                total += len(s)
-                p.add(np.unique(least[s]))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([-1], pa.int32()), "counts": pa.array([str(total).encode()], pa.binary())})
+            for data in b.column(0).to_pylist():
+                p.add(np.frombuffer(data, "<u8"))
         yield from p.batches()
 
     return run
 
 
-def _send(k: int, m: int, shared, buckets: int):
-    """Rows of kind 0: packed strings for a bucket; of kind 1: spans settled in a run."""
-    schema = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("text", pa.int64()), ("data", pa.binary())])
+def _send(k: int, m: int, wanted, buckets: int):
+    """Packed strings that are wanted, for the bucket of their minimiser."""
 
     def run(batches):
-        table = shared.value
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            texts = b.column(1).to_numpy(zero_copy_only=False)
-            for at0, w in tk.runs(b.column(2)):
-                at, row, num, least, again = _windows(w, ids[at0:], k, m)
-                out: list[tuple] = []
-                r = np.flatnonzero(again)
-                if len(r):
-                    cut = np.flatnonzero(np.r_[True, row[r][1:] != row[r][:-1]])
-                    for x in np.split(r, cut[1:]):
-                        d = at0 + int(row[x[0]])
-                        out.append((-1, int(ids[d]), int(texts[d]), _spans(num[x], k)))
-                s, n = _strings(row, num, least, ~again)
-                ok = slots.test_bits(table, least[s]) if len(s) else np.zeros(0, bool)
-                s, n = s[ok], n[ok]
-                if len(s):
-                    to = (tk.mix(least[s]) % U(buckets)).astype(np.int64)
-                    o = np.argsort(to, kind="stable")
-                    s, n, to = s[o], n[o], to[o]
-                    head = np.empty(len(s), _HEAD)
-                    d = at0 + row[s]
-                    head["doc"], head["text"], head["start"], head["n"] = ids[d], texts[d], num[s], n
-                    size = n + k - 1
-                    words = w.hash[np.repeat(at[s] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                    cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-                    edge = np.r_[0, np.cumsum(size)]
-                    for i, j in zip(cut.tolist(), np.r_[cut[1:], len(to)].tolist(), strict=True):
-                        out.append((int(to[i]), None, None, np.int32(j - i).tobytes() + head[i:j].tobytes() + words[edge[i] : edge[j]].tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    return run, "bucket int, doc long, text long, data binary"
+        table = wanted.value
+        for w, ids, texts, at, row, num, least, again, s, n in _runs(batches, k, m):
+            if not len(s):
+                continue
+            fp, _ = _fingerprints(w.hash, at[s], at[s] + n + k - 1)
+            ok = slots.test_bits(table, _instance(fp, ids[row[s]], num[s]))
+            s, n = s[ok], n[ok]
+            if not len(s):
+                continue
+            to = (tk.mix(least[s]) % U(buckets)).astype(np.int64)
+            o = np.argsort(to, kind="stable")
+            s, n, to = s[o], n[o], to[o]
+            head = np.empty(len(s), _HEAD)
+            head["doc"], head["text"], head["start"], head["n"] = ids[row[s]], texts[row[s]], num[s], n
+            size = n + k - 1
+            words = w.hash[np.repeat(at[s] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            edge = np.r_[0, np.cumsum(size)]
+            yield _batch([(t, None, None, np.int32(j - i).tobytes() + head[i:j].tobytes() + words[edge[i] : edge[j]].tobytes()) for t, i, j in _grouped(to)])
+
+    return run
 
 
 def _sort_bucket(k: int):
@@ -177,7 +264,7 @@ def _sort_bucket(k: int):
             out = [(int(doc[x[0]]), int(text[x[0]]), _spans(start[x], k)) for x in np.split(hit, cut[1:])]
         return pa.table({"doc": pa.array([x[0] for x in out], pa.int64()), "text": pa.array([x[1] for x in out], pa.int64()), "data": pa.array([x[2] for x in out], pa.binary())})
 
-    return run, "doc long, text long, data binary"
+    return run
 
 
 def _cut_texts(text_at: int, names: list[str]):
@@ -203,13 +290,14 @@ def _cut_texts(text_at: int, names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, bits: int = 26, strings_per_bucket: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, bits: int = 27, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return ``docs`` with ``kept_text``, ``n_words``, ``n_removed`` appended.
 
     Words are runs of non-space characters (ASCII space and controls 9-13), unchanged. A word goes if a
     window of ``window`` words of its document covers it whose word sequence also starts earlier
     (smaller id, or same id and earlier start) in the input. Kept words are joined by one space.
-    ``bits`` bounds the broadcast filter (2**bits / 8 bytes).
+    ``bits`` bounds the broadcast filter (2**bits / 8 bytes), ``bucket_bytes`` the text whose strings meet in
+    one bucket, about.
 
     Null text: no words, empty kept text. Null id: after all other ids; rows with null ids are one
     document, as are rows that repeat an id, so windows at equal starts of them do not remove each other.
@@ -222,20 +310,22 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, bits: int =
     docs = docs.drop(*added)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     src = docs.select(key.alias("doc"), F.xxhash64(F.col(text_col)).alias("text"), F.col(text_col).alias("body"))
-    counted = scratch.cut(src.mapInArrow(_count(window, gram, bits), slots.SCHEMA), "count")
-    total = counted.where("part < 0").agg(F.sum(F.col("counts").cast("string").cast("long"))).first()[0] or 0
-    shared = spark.sparkContext.broadcast(slots.repeated(counted.where("part >= 0"), bits))
-    scratch.drop(counted)
-    run, schema = _send(window, gram, shared, max(64, -(-total // strings_per_bucket)))
-    sent = scratch.cut(src.mapInArrow(run, schema), "sent")
-    run, schema = _sort_bucket(window)
-    found = sent.where("bucket >= 0").select("bucket", "data").groupBy("bucket").applyInArrow(run, schema)
-    spans = found.union(sent.where("bucket < 0").select("doc", "text", "data"))
+    total = src.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    buckets = max(64, -(-total // bucket_bytes))
+    told = src.mapInArrow(_announce(window, gram, buckets), _SENT_SQL)
+    spans_sql = "doc long, text long, data binary"
+    told = scratch.cut(told.groupBy("bucket").applyInArrow(_compare(window), spans_sql), "told")
+    wanted = slots.bit_table(told.where("doc is null").select("data").mapInArrow(_wanted(bits), slots.SCHEMA), bits)
+    wanted = spark.sparkContext.broadcast(wanted)
+    sent = src.mapInArrow(_send(window, gram, wanted, buckets), _SENT_SQL)
+    spans = sent.groupBy("bucket").applyInArrow(_sort_bucket(window), spans_sql).union(told.where("doc is not null"))
     spans = scratch.cut(spans, "spans").groupBy("doc", "text").agg(F.collect_list("data").alias("_spans"))
-    scratch.drop(sent)
+    scratch.drop(told)
+    wanted.destroy()
     names = docs.columns
-    keyed = docs.select("*", key.alias("_doc"), F.xxhash64(F.col(text_col)).alias("_text"))
-    joined = keyed.join(spans.withColumnsRenamed({"doc": "_doc", "text": "_text"}), ["_doc", "_text"], "left").select(*names, "_spans")
+    d, t, found = fresh(docs, "_doc", "_text", "_spans")
+    keyed = docs.select("*", key.alias(d), F.xxhash64(F.col(text_col)).alias(t))
+    joined = keyed.join(spans.withColumnsRenamed({"doc": d, "text": t, "_spans": found}), [d, t], "left").select(*names, found)
     schema = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return joined.mapInArrow(_cut_texts(names.index(text_col), [*names, *added]), schema)
 

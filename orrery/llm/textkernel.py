@@ -63,22 +63,27 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of a run of texts: byte spans, hashes and each text's range of words."""
+    """The words of a run of texts: byte spans, hashes and each text's range of words.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, sep: np.ndarray):
-        o = offsets - offsets[0]
-        d = data[offsets[0] : offsets[-1]]
+    ``sep`` says which bytes separate (bool), or gives classes of bytes: 0 separates, words are runs of
+    one class, and those of class 2 single bytes.
+    """
+
+    def __init__(self, data: np.ndarray, edges: np.ndarray, lower: bool, sep: np.ndarray):
+        o, d = edges, data
         if lower:
             d = _LOWER[d]
         self.bytes, self.edges = d, o
         n = len(d)
-        word = ~sep[d]
+        kind = sep[d] if sep.dtype != bool else (~sep[d]).view(np.uint8)
+        word = kind > 0
         first, last = word.copy(), word.copy()
         if n:
             edge = np.zeros(n + 1, bool)
             edge[o] = True
-            first[1:] &= ~word[:-1] | edge[1:n]
-            last[:-1] &= ~word[1:] | edge[1:n]
+            turn = (kind[1:] != kind[:-1]) | (kind[1:] == 2) | edge[1:n]
+            first[1:] &= turn
+            last[:-1] &= turn
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.doc = np.searchsorted(self.start, o)
         pw, self._inv = _powers(n + 1)
@@ -93,9 +98,8 @@ class Words:
             return mix(h + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
-def runs(column: pa.Array, lower: bool = False, sep: np.ndarray = SPACES):
-    """Yield (first row, Words) for runs of about RUN_BYTES of text; nulls count as empty."""
-    column = pa.array(column) if not isinstance(column, (pa.Array, pa.ChunkedArray)) else column
+def raw_runs(column: pa.Array):
+    """Yield (first row, bytes, edges) for runs of about RUN_BYTES of text; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary())
@@ -110,10 +114,16 @@ def runs(column: pa.Array, lower: bool = False, sep: np.ndarray = SPACES):
     while at < len(column):
         to = int(np.searchsorted(offsets, offsets[at] + RUN_BYTES, side="right")) - 1
         to = min(max(to, at + 1), len(column))
-        yield at, Words(data, offsets[at : to + 1], lower, sep)
+        yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
 
+def runs(column: pa.Array, lower: bool = False, sep: np.ndarray = SPACES):
+    """Yield (first row, Words) for runs of texts."""
+    for at, data, edges in raw_runs(column):
+        yield at, Words(data, edges, lower, sep)
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive hashes (len(h) - k + 1 values; k is at most len(h))."""
     with np.errstate(over="ignore"):
