@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from orrery.llm import slots
 from orrery.llm import textkernel as tk
 from orrery.llm.components import components
-from orrery.llm.scratch import Scratch
+from orrery.llm.scratch import Scratch, fresh
 
 U = np.uint64
 _PREFIX = np.dtype([("token", "<u8"), ("set", "<i8"), ("size", "<i4"), ("pos", "<i4")])
@@ -80,8 +80,8 @@ def _prefixes(words: int, num: int, den: int, level, buckets: int, hot: int):
     """Packed prefix entries, one row per run of texts and bucket of tokens.
 
     An entry's token holds its level (how frequent its slot is) in the top byte, so that ascending
-    tokens are the global order. A set that repeats in a run is sent once. Tokens whose slot
-    has over ``hot`` hits are dealt over more buckets by set.
+    tokens are the global order. A set that repeats in a run is sent once. Tokens of the level ``hot``
+    or above are dealt over all buckets, by token and set.
     """
 
     def run(batches):
@@ -107,9 +107,8 @@ def _prefixes(words: int, num: int, den: int, level, buckets: int, hot: int):
                     continue
                 e = np.concatenate(rows)
                 kb = (tk.mix(e["token"]) % U(buckets)).astype(np.int64)
-                many = (e["token"] >> U(56)).astype(np.int64)
-                spread = np.where(many > hot, (tk.mix(e["set"].astype(U)) % U(16)).astype(np.int64) * 7919, 0)
-                kb = (kb + spread) % buckets
+                many = (e["token"] >> U(56)).astype(np.int64) >= hot
+                kb[many] = (tk.mix(e["token"][many] ^ tk.mix(e["set"][many].astype(U))) % U(buckets)).astype(np.int64)
                 o = np.argsort(kb, kind="stable")
                 kb, e = kb[o], e[o]
                 at = np.flatnonzero(np.r_[True, kb[1:] != kb[:-1]])
@@ -132,7 +131,7 @@ def _repeated(hot: int):
         eq = e["token"][1:] == e["token"][:-1]
         keep[1:] |= eq
         keep[:-1] |= eq
-        keep |= (e["token"] >> U(56)).astype(np.int64) > hot
+        keep |= (e["token"] >> U(56)).astype(np.int64) >= hot
         e = e[keep]
         return pa.table({"token": e["token"].astype(np.int64), "part_id": e["set"].astype(np.int64), "size": e["size"].astype(np.int32), "pos": e["pos"].astype(np.int32)})
 
@@ -144,7 +143,7 @@ def _sets_of(words: int, wanted):
         tab = wanted.value
         for b in batches:
             ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-            hit = np.flatnonzero((slots.lookup(tab, tk.mix(ids)) > 0) & ~np.asarray(b.column(0).is_null()))
+            hit = np.flatnonzero((slots.test_bits(tab, tk.mix(ids))) & ~np.asarray(b.column(0).is_null()))
             if not len(hit):
                 continue
             b = b.take(pa.array(hit))
@@ -252,13 +251,13 @@ def _tile(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 26, block: int = 512, bucket_entries: int = 400_000, hot_level: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 26, block: int = 512, bucket_entries: int = 400_000, hot_level: int = slots.TOP) -> DataFrame:
     """Return ``doc_id, n_shingles, set_id, component_id`` for every row of ``docs``.
 
     ``threshold`` (num, den): documents link when den * intersection >= num * union of their sets of
     ``words``-word shingles (A-Z lower-cased, words split at ASCII space; fewer words: one shingle).
     ``component_id`` is the smallest id reachable by links. ``sketch_bits`` bounds the broadcast order
-    table (2**sketch_bits bytes), ``block`` the sets in a tile.
+    table (2**sketch_bits / 2 bytes), ``block`` the sets in a tile.
 
     Null or empty text: size 0, linked with nothing, component its own id. Null id: its size, a null
     component, links nothing. Repeated ids name one node: rows sharing an id share its component.
@@ -298,11 +297,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     sizes = keyed.groupBy("grp", "cls").agg(F.ceil(load).cast("int").alias("blocks"))
     placed = keyed.join(sizes, ["grp", "cls"]).select("rep", "grp", "cls", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("blk"))
     placed = scratch.cut(placed, "placed")
-    wanted = spark.sparkContext.broadcast(slots.members(placed, "rep", 24))
+    wanted = spark.sparkContext.broadcast(slots.members(placed, "rep", 27))
     sets = src.mapInArrow(_sets_of(words, wanted), "rep long, set_id binary, shingles binary").groupBy("rep", "set_id").agg(F.first("shingles").alias("shingles"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
     tiles = placed.join(sets, "rep").select("rep", "shingles", "grp", "cls", "blk", other).select("rep", "shingles", "grp", "cls", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
     edges = scratch.cut(tiles.groupBy("grp", "cls", "i", "j").applyInArrow(_tile(num, den), "src long, dst long"), "links")
+    level.destroy()
+    wanted.destroy()
     linked = components(edges, scratch)
     named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     low = own.join(named, "set_id", "left")
@@ -316,5 +317,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     Null ids stay. Of rows that repeat one id, all stay or none.
     """
     found = jaccard_components(docs, id_col=id_col, **options)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
