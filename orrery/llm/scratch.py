@@ -7,6 +7,8 @@ that setting; it then gets a folder of its own below ``/tmp``.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"{_KEY} must name a folder that driver and executors share")
         base = f"file:///tmp/orrery-scratch-{uuid.uuid4().hex[:12]}"
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
         spark.conf.set(_KEY, base)
     return base.rstrip("/")
 
