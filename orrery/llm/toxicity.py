@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
 Many voters look at a document: a seed lexicon, lexicons of whole words and of word beginnings mined from
-labelled rows, and patterns of typing. A generative label model (expectation-maximisation over the
-votes, labels unseen by it except for the classes' rates at the start) estimates how often each voter
+labelled rows (sure terms by count, unsure ones by log-odds), patterns of typing, and the label where there
+is one. A generative label model (expectation-maximisation over the votes) estimates how often each voter
 fires in either class and how far pairs of voters fire together beyond that; voters that repeat each
 other share their weight. Its posteriors are the targets of a linear (logistic) classifier over the
 voters' strengths, which scores every document.
@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm import textkernel as tk
-from orrery.llm.scratch import Scratch
+from orrery.llm.scratch import Scratch, release
 
 U = np.uint64
 #: Seed lexicon: fixed values.
 SEED = ["idiot", "moron", "scum", "loser", "pathetic", "worthless", "stupid", "disgusting", "trash", "vermin", "imbecile", "filth", "hate", "kill", "dumb"]
 #: Kinds of mined terms: whole words, and beginnings of so many bytes.
-KINDS = (0, 4, 5, 6, 7)
+KINDS = (0, 4, 5, 6, 7, 8)
 GROUPS = 4
 _SALT = {k: U(0x5851F42D4C957F2D * (k + 1) & ((1 << 64) - 1)) for k in KINDS}
 
@@ -54,10 +54,11 @@ def term_code(word: str, k: int = 0) -> int:
 
 @dataclass
 class Model:
-    """Sorted term codes, the voter of each, and the linear classifier over the voters' strengths."""
+    """Sorted term codes, the voter and worth of each, and the linear classifier over the voters' strengths."""
 
     codes: np.ndarray = field(default_factory=lambda: np.empty(0, U))
     voter: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    worth: np.ndarray = field(default_factory=lambda: np.empty(0))
     voters: int = 1
     weight: np.ndarray = field(default_factory=lambda: np.zeros(3))
     bias: float = -4.0
@@ -65,7 +66,7 @@ class Model:
     overlap: np.ndarray | None = None
 
     def strengths(self, w: tk.Words) -> np.ndarray:
-        """Per document and voter: distinct-or-repeated hits as log(1 + n), and two typing patterns."""
+        """Per document and voter: log(1 + summed worth of its hits), and two typing patterns."""
         n = len(w.doc) - 1
         out = np.zeros((n, self.voters + 2))
         if len(self.codes) and len(w.hash):
@@ -73,7 +74,7 @@ class Model:
             i = np.searchsorted(self.codes, code)
             i[i == len(self.codes)] = 0
             hit = self.codes[i] == code
-            np.add.at(out, (row[hit], self.voter[i[hit]]), 1.0)
+            np.add.at(out, (row[hit], self.voter[i[hit]]), self.worth[i[hit]])
         out[:, : self.voters] = np.log1p(out[:, : self.voters])
         words = np.maximum(1, np.diff(w.doc))
         shout = np.r_[0, np.cumsum(w.bytes == 33)]
@@ -113,12 +114,15 @@ def _count_terms(wanted):
 
 
 def _strengths(model):
+    """A row per run of texts: its labels and strengths, packed."""
+
     def run(batches):
         m = model.value
         for b in batches:
             for at, w in tk.runs(b.column(0), lower=True, sep=tk.NON_ALNUM):
                 x = m.strengths(w)
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(at, len(x)), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["toxic", "x"])
+                y = b.column(1).slice(at, len(x)).to_numpy(zero_copy_only=False) == 1
+                yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["y", "x"])
 
     return run
 
@@ -189,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, candidates: in
     train = scratch.cut(train, "train")
     size = {r["toxic"] == 1: r["count"] for r in train.groupBy("toxic").count().collect()}
     pos, neg = size.get(True, 0), size.get(False, 0)
-    codes, voter, voters = seeds, np.zeros(len(seeds), np.int64), 1
+    codes, voter, worth, voters = seeds, np.zeros(len(seeds), np.int64), np.ones(len(seeds)), 1
     if pos and neg:
         hit = train.where("toxic = 1").select("text").mapInArrow(_count_terms(None), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs)
         top = hit.orderBy(F.desc("n"), "code").limit(candidates).toPandas()
@@ -205,22 +209,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, candidates: in
         sure = (n0 <= 0.002 * n1) | ((gain > 4) & (n1 >= 20 * n0))
         keep = np.flatnonzero(sure & (gain > 2))
         keep = keep[np.argsort(-n1[keep], kind="stable")][:terms]
-        mined = code[keep]
+        # frequent terms that clean rows have too, less often: they count by their log-odds
+        soft = np.flatnonzero(~sure & (gain > 1.2) & (n1 >= max(8, 0.01 * pos)))
+        soft = soft[np.argsort(-(gain * n1)[soft], kind="stable")][:terms]
+        mined = code[np.r_[keep, soft]]
         # each lexicon is cut in parts by hash, so that the label model sees voters of its own kind disagree
-        group = 1 + (tk.mix(mined) % U(4 * GROUPS)).astype(np.int64)
+        part = (tk.mix(mined) % U(4 * GROUPS)).astype(np.int64)
+        group = np.where(np.arange(len(mined)) < len(keep), 1 + part, 1 + 4 * GROUPS + part % GROUPS)
         both, first = np.unique(np.concatenate([seeds, mined]), return_index=True)
-        codes, voter, voters = both, np.concatenate([voter, group])[first], 1 + 4 * GROUPS
+        worth = np.concatenate([np.ones(len(seeds) + len(keep)), gain[soft]])[first]
+        codes, voter, voters = both, np.concatenate([voter, group])[first], 1 + 5 * GROUPS
     o = np.argsort(codes)
-    model = Model(codes[o], voter[o], voters, np.r_[np.full(voters, 3.0), 0.0, 0.0], -2.0)
+    model = Model(codes[o], voter[o], worth[o], voters, np.r_[np.full(voters, 3.0), 0.0, 0.0], -2.0)
     if pos and neg:
-        got = train.mapInArrow(_strengths(spark.sparkContext.broadcast(model)), T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])).toPandas()
-        x, y = np.stack(got["x"].to_numpy()), got["toxic"].to_numpy() == 1
-        votes = x[:, :voters] > 0
-        votes = np.c_[votes, votes.sum(1) >= 2, votes.sum(1) == 0]
+        got = train.mapInArrow(_strengths(spark.sparkContext.broadcast(model)), "y binary, x binary").collect()
+        y = np.concatenate([np.frombuffer(r["y"], bool) for r in got])
+        x = np.concatenate([np.frombuffer(r["x"], np.float32) for r in got]).reshape(len(y), -1).astype(float)
+        # unsure terms, which long texts gather, inform the classifier but have no vote
+        votes = x[:, : 1 + 4 * GROUPS] > 0
+        # the label is a voter as well, whose accuracy is estimated like the others'
+        votes = np.c_[votes, votes.sum(1) >= 2, votes.sum(1) == 0, y]
         q, rate, rho = label_model(votes, np.where(y, 0.9, 0.1))
         model.weight, model.bias = logistic(x, q)
         model.accuracy, model.overlap = rate, rho
     scratch.drop(train)
+    release()
     return model
 
 
