@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from orrery.llm import slots
 from orrery.llm import textkernel as tk
 from orrery.llm.components import components
-from orrery.llm.scratch import Scratch, fresh
+from orrery.llm.scratch import Scratch, fresh, release
 
 U = np.uint64
 _PREFIX = np.dtype([("token", "<u8"), ("set", "<i8"), ("size", "<i4"), ("pos", "<i4")])
@@ -282,6 +282,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     entries = packed.groupBy("bucket").applyInArrow(run, schema)
     parts = classes.select("part_id", "rep")
     entries = scratch.cut(entries.join(parts, "part_id").select("token", "rep", "size", "pos"), "entries")
+    level.destroy()
 
     # candidate groups: each entry hangs on the least set of its list, so a list never leaves its group
     star = entries.groupBy("token").agg(F.min("rep").alias("pivot"))
@@ -302,8 +303,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
     tiles = placed.join(sets, "rep").select("rep", "shingles", "grp", "cls", "blk", other).select("rep", "shingles", "grp", "cls", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
     edges = scratch.cut(tiles.groupBy("grp", "cls", "i", "j").applyInArrow(_tile(num, den), "src long, dst long"), "links")
-    level.destroy()
     wanted.destroy()
+    del level, wanted
+    release()
     linked = components(edges, scratch)
     named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     low = own.join(named, "set_id", "left")

@@ -8,6 +8,9 @@ that setting; it then gets a folder of its own below ``/tmp``.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import uuid
 
@@ -62,6 +65,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give the driver's memory of a finished step back to the system."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc: the allocator decides
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have."""
     have = {c.lower() for c in df.columns}

@@ -9,6 +9,7 @@ a filter that lets too much through.
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +102,7 @@ def _sum_parts(batches):
             hit, n = unpack(data)
             t[hit] += n
     for part, t in total.items():
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([_quantise(t).tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([_shrink(_quantise(t))], pa.binary())})
 
 
 def _quantise(t: np.ndarray) -> np.ndarray:
@@ -110,13 +111,17 @@ def _quantise(t: np.ndarray) -> np.ndarray:
     return np.where(t < 4, t, big).astype(np.uint8)
 
 
+def _shrink(level: np.ndarray) -> bytes:
+    """Levels two to a byte, compressed."""
+    return zlib.compress((level[::2] << 4 | level[1::2]).tobytes(), 1)
+
+
 def table(partials: DataFrame, bits: int) -> np.ndarray:
     """Levels of (part, counts) rows summed over all tasks, two to a byte; 2**bits / 2 bytes come to the driver."""
     summed = partials.select("part", "counts").repartition("part").mapInArrow(_sum_parts, SCHEMA)
     out = np.zeros(1 << (bits - 1), np.uint8)
     for r in summed.toLocalIterator():
-        v = np.frombuffer(r["counts"], np.uint8)
-        out[r["part"] * WIDTH // 2 : (r["part"] + 1) * WIDTH // 2] = v[::2] << 4 | v[1::2]
+        out[r["part"] * WIDTH // 2 : (r["part"] + 1) * WIDTH // 2] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return out
 
 
@@ -147,14 +152,14 @@ def _or_parts(batches):
         for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             parts.setdefault(part, np.zeros(WIDE, bool))[np.frombuffer(data, np.uint16)] = True
     for part, m in parts.items():
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([np.packbits(m).tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([zlib.compress(np.packbits(m).tobytes(), 1)], pa.binary())})
 
 
 def bit_table(partials: DataFrame, bits: int) -> np.ndarray:
     """The slots that any task hit: 2**bits / 8 bytes come to the driver."""
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in partials.select("part", "counts").repartition("part").mapInArrow(_or_parts, SCHEMA).toLocalIterator():
-        out[r["part"] * WIDE // 8 : (r["part"] + 1) * WIDE // 8] = np.frombuffer(r["counts"], np.uint8)
+        out[r["part"] * WIDE // 8 : (r["part"] + 1) * WIDE // 8] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return out
 
 

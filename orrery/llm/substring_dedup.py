@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from orrery.llm import slots
 from orrery.llm import textkernel as tk
-from orrery.llm.scratch import Scratch, fresh
+from orrery.llm.scratch import Scratch, fresh, release
 
 U = np.uint64
 _MARK = np.dtype([("fp", "<u8"), ("fp2", "<u8"), ("least", "<u4"), ("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("n", "<i4")])
@@ -322,6 +322,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, bits: int =
     spans = scratch.cut(spans, "spans").groupBy("doc", "text").agg(F.collect_list("data").alias("_spans"))
     scratch.drop(told)
     wanted.destroy()
+    del wanted
+    release()
     names = docs.columns
     d, t, found = fresh(docs, "_doc", "_text", "_spans")
     keyed = docs.select("*", key.alias(d), F.xxhash64(F.col(text_col)).alias(t))
