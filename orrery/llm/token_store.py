@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,43 +29,148 @@ from orrery.llm.scratch import Scratch
 
 U = np.uint64
 WINDOW, AVERAGE, LEAST, MOST = 16, 256, 64, 1024
-CACHE = 400_000
-#: White space other than these four is left to the library to judge.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+#: Words whose ids a Python worker keeps.
+CACHE = 1_200_000
+_RECENT = 1 << 16
 _ROW = "doc_id long, leaf binary, kind int, n_tokens long, names binary, sizes binary, data binary, refs binary"
+#: Classes of bytes: 0 white space, 1 letters (ASCII, and both bytes of Latin-1 letters), 2 digits, 3 others.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[9, 10, 13, 32]] = 0
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
+_CLASS[48:58] = 2
+#: ASCII bytes that the fast way leaves to the library: controls, and the apostrophe of contractions.
+_ODD = np.zeros(256, bool)
+_ODD[:32] = _ODD[127] = _ODD[39] = True
+_ODD[[9, 10, 13]] = False
+
+
+def plain_texts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Which texts hold ASCII and Latin-1 letters alone, with none of _ODD and no special token."""
+    bad = _ODD[data]
+    high = data >= 128
+    lead = data == 0xC3
+    after = np.zeros(len(data), bool)
+    after[1:] = lead[:-1]
+    bad |= high & ~lead & ~after
+    bad |= after & ((data == 0x97) | (data == 0xB7) | (data < 128))
+    bad[:-1] |= (data[:-1] == 60) & (data[1:] == 124)  # how special tokens begin
+    total = np.r_[0, np.cumsum(bad)]
+    return total[edges[1:]] == total[edges[:-1]]
+
+
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """A-Z and the Latin-1 capitals, as UTF-8 bytes, to lower case."""
+    out = data.copy()
+    out[(data >= 65) & (data <= 90)] += 32
+    up = np.zeros(len(data), bool)
+    up[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
+    out[up] += 32
+    return out
 
 
 class Encoder:
-    """The tokenizers library, with the ids of recent words kept.
+    """The tokenizers library over runs of texts, with the ids of recent words kept.
 
-    Splitting at white space first is exact for a tokenizer whose pre-tokenizer drops white space and
-    never joins over it; any other tokenizer gets whole texts (``by_word`` False).
+    ``by_word`` is for a tokenizer that lower-cases, drops white space, and splits in contractions, runs
+    of letters, single digits, and runs of the rest. Plain texts (see ``plain_texts``) are then split on
+    whole runs at once, and each word not met before goes to the library's model alone: the same ids,
+    without its bookkeeping of offsets. All other texts, and all texts of other tokenizers, go to
+    the library whole. Words are told apart by 64-bit hashes.
     """
 
     def __init__(self, spec: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        from orrery.llm.bpe import byte_letters
+
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_padding()
         self.tok.no_truncation()
+        self.model = self.tok.model
         self.by_word = by_word
-        self.cache: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.letters = byte_letters()
+        self._forget()
+
+    def _forget(self) -> None:
+        # hashes of known words, sorted, with their number; the latest are in a dict until they are merged
+        self.keys, self.number = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.recent: dict[int, int] = {}
+        self.count = 0
+        self.start = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int32)
+        self.flat = np.zeros(1 << 18, "<u4")
+        self.used = 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, keys: list[int], words: list[bytes]) -> np.ndarray:
+        """Number new words and keep their ids."""
+        tokenize, letters = self.model.tokenize, self.letters
+        lists = [[t.id for t in tokenize(w.decode() if w.isascii() else "".join([letters[x] for x in w]))] for w in words]
+        size = np.fromiter(map(len, lists), np.int32, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
+        n, to, used = self.count, self.count + len(words), self.used + len(ids)
+        while to > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        while used > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.start[n:to], self.size[n:to] = self.used + np.cumsum(size) - size, size
+        self.flat[self.used : used] = ids
+        self.recent.update(zip(keys, range(n, to), strict=True))
+        self.count, self.used = to, used
+        return np.arange(n, to)
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Numbers of sorted hashes, -1 where unknown."""
+        if len(self.recent) > _RECENT:
+            keys = np.concatenate([self.keys, np.array(list(self.recent), np.uint64)])
+            number = np.concatenate([self.number, np.array(list(self.recent.values()), np.int32)])
+            o = np.argsort(keys)
+            self.keys, self.number, self.recent = keys[o], number[o], {}
+        where = np.full(len(key), -1, np.int64)
+        if len(self.keys):
+            at = np.searchsorted(self.keys, key)
+            at[at == len(self.keys)] = 0
+            hit = self.keys[at] == key
+            where[hit] = self.number[at[hit]]
+        for m in np.flatnonzero(where < 0).tolist():
+            where[m] = self.recent.get(int(key[m]), -1)
+        return where
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.by_word or _ODD_SPACE.search(text):
-            return np.frombuffer(self.whole(text), "<u4")
-        words = text.split()
-        new = list(set(words).difference(self.cache))
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False) if new else (), strict=True):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4")
+        return self.encode_all(pa.array([text]))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (null: none)."""
+        out: list[np.ndarray] = []
+        if not self.by_word:
+            return [self.whole(t or "") for t in texts.to_pylist()]
+        for at, data, edges in tk.raw_runs(texts):
+            plain = plain_texts(data, edges)
+            if self.count > CACHE:
+                self._forget()
+            w = tk.Words(lower_latin(data), edges, False, _CLASS)
+            key, back = np.unique(w.hash, return_inverse=True)
+            where = self._find(key)
+            miss = np.flatnonzero(where < 0)
+            if len(miss):
+                first = np.full(len(key), -1, np.int64)
+                inside = np.flatnonzero(np.repeat(plain, np.diff(w.doc)))
+                first[back[inside]] = inside  # one occurrence in a plain text
+                miss = miss[first[miss] >= 0]
+                all_bytes, i = w.bytes.tobytes(), first[miss]
+                words = [all_bytes[x:y] for x, y in zip(w.start[i].tolist(), w.end[i].tolist(), strict=True)]
+                where[miss] = self._learn(key[miss].tolist(), words)
+            word = np.maximum(where, 0)[back]
+            size = np.where(where[back] < 0, 0, self.size[word]).astype(np.int64)
+            ends = np.cumsum(size)
+            ids = self.flat[np.repeat(self.start[word] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+            edge = np.r_[0, ends][w.doc]
+            for k, ok in enumerate(plain.tolist()):
+                out.append(ids[edge[k] : edge[k + 1]] if ok else self.whole(texts[at + k].as_py() or ""))
+        return out
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -107,17 +213,18 @@ def _encode(spec, by_word: bool, end_id: int, width: int):
     def run(batches):
         enc = _encoder(spec, by_word)
         end = np.array([end_id], "<u4")
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             for c in range(0, b.num_rows, 256):
                 part = b.slice(c, 256)
                 rows = []
-                for t in part.column(1).to_pylist():
-                    ids = np.concatenate([enc.encode(t or ""), end])
+                for ids in enc.encode_all(part.column(1)):
+                    ids = np.concatenate([ids, end])
                     size = cuts(ids)
                     data = ids.astype(kind).tobytes()
                     edge = np.r_[0, np.cumsum(size)] * width
                     names = b"".join(hashlib.sha256(data[x:y]).digest() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
-                    rows.append((hashlib.sha256(names).digest(), 1, len(ids), names, size.astype("<u2").tobytes(), data, None))
+                    rows.append((hashlib.sha256(names).digest(), 1, len(ids), names, size.astype("<u2").tobytes(), pack(data), None))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.binary())], names=["doc_id", "leaf", "kind", "n_tokens", "names", "sizes", "data", "refs"])
 
@@ -144,6 +251,7 @@ def _strip(width: int):
 
     def run(batches):
         shard, start, refs, last = TaskContext.get().partitionId(), 0, {}, None
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows = []
             for r in b.to_pylist():
@@ -160,7 +268,9 @@ def _strip(width: int):
                 size = np.frombuffer(r["sizes"], "<u2").astype(np.int64) * width
                 edge = np.r_[0, np.cumsum(size)]
                 gone = set(out.tolist())
-                data = r["data"] if not gone else b"".join(r["data"][edge[i] : edge[i + 1]] for i in range(len(size)) if i not in gone)
+                data = unpack(r["data"])
+                if gone:
+                    data = b"".join(data[edge[i] : edge[i + 1]] for i in range(len(size)) if i not in gone)
                 rows.append((r["doc_id"], shard, start, r["n_tokens"], r["leaf"], r["names"], r["sizes"], data, np.sort(out).astype("<i4").tobytes(), np.sort(lent).astype("<i4").tobytes()))
                 start += r["n_tokens"]
                 last = key
