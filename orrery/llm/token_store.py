@@ -30,7 +30,7 @@ from orrery.llm.scratch import Scratch
 U = np.uint64
 WINDOW, AVERAGE, LEAST, MOST = 16, 256, 64, 1024
 #: Words whose ids a Python worker keeps.
-CACHE = 1_200_000
+CACHE = 600_000
 _RECENT = 1 << 16
 _ROW = "doc_id long, leaf binary, kind int, n_tokens long, names binary, sizes binary, data binary, refs binary"
 #: Classes of bytes: 0 white space, 1 letters (ASCII, and both bytes of Latin-1 letters), 2 digits, 3 others.
