@@ -7,7 +7,8 @@ fires in either class and how far pairs of voters fire together beyond that; vot
 other share their weight. Its posteriors are the targets of a linear (logistic) classifier over the
 voters' strengths, which scores every document.
 
-Fitting reads a bounded sample of labelled rows (``sample``); scoring is one pass over all texts without a
+Fitting reads a bounded sample of labelled rows (``sample``), which count as many rows as they stand for, so that
+class shares are those of all labelled rows at every size; scoring is one pass over all texts without a
 shuffle, with a model of a few hundred kilobytes (``terms`` bounds it).
 """
 
@@ -127,24 +128,27 @@ def _strengths(model):
     return run
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30):
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, weight: np.ndarray | None = None):
     """EM for binary votes: posterior of class 1, firing rates (2, voters), and pair correlations.
 
-    ``start`` is the first posterior. Correlation is what is left of two voters' co-firing inside the
+    ``start`` is the first posterior; a row counts ``weight`` times (once). Correlation is what is left of two voters' co-firing inside the
     classes; a voter's evidence is divided by one plus the sum of its positive correlations.
     """
     v = votes.astype(float)
     q = start.astype(float)
+    c = np.ones(len(v)) if weight is None else weight
+    total = c.sum()
     share = np.ones(v.shape[1])
     rho = np.zeros((v.shape[1], v.shape[1]))
     rate = np.full((2, v.shape[1]), 0.5)
     for _ in range(rounds):
-        prior = (q.sum() + 1) / (len(q) + 2)
-        rate = np.stack([(((1 - q) @ v) + 0.05) / ((1 - q).sum() + 1), ((q @ v) + 0.05) / (q.sum() + 1)])
+        q1, q0 = c * q, c * (1 - q)
+        prior = (q1.sum() + 1) / (total + 2)
+        rate = np.stack([((q0 @ v) + 0.05) / (q0.sum() + 1), ((q1 @ v) + 0.05) / (q1.sum() + 1)])
         rate = np.clip(rate, 1e-6, 1 - 1e-6)
         res = v - ((1 - q)[:, None] * rate[0] + q[:, None] * rate[1])
-        sd = np.sqrt((res**2).mean(0)) + 1e-9
-        rho = (res.T @ res) / len(v) / np.outer(sd, sd)
+        sd = np.sqrt((c @ res**2) / total) + 1e-9
+        rho = ((res * c[:, None]).T @ res) / total / np.outer(sd, sd)
         np.fill_diagonal(rho, 0)
         share = 1 / (1 + np.maximum(rho, 0).sum(1))
         on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
@@ -157,16 +161,17 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30):
     return q, rate, rho
 
 
-def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Newton's method for soft targets; the bias is not shrunk."""
+def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 40, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Newton's method for soft targets; a row counts ``weight`` times (once), the bias is not shrunk."""
     a = np.c_[x, np.ones(len(x))]
+    c = np.ones(len(x)) if weight is None else weight
     w = np.zeros(a.shape[1])
     pen = np.full(len(w), ridge)
     pen[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - target) + pen * w
-        h = (a * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ a + np.diag(pen)
+        g = a.T @ (c * (p - target)) + pen * w
+        h = (a * (c * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a + np.diag(pen)
         step = np.linalg.solve(h, g)
         big = np.abs(step).max()
         w -= step * min(1.0, 5 / max(big, 1e-12))
@@ -178,7 +183,10 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, candidates: int = 60_000, terms: int = 8_192, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``sample`` labelled rows whose crc32(id as text) mod 5 is not 0.
 
-    The sample takes the rows with the smallest hash of the id, up to half of it toxic ones first.
+    The sample takes the rows with the smallest hash of the id, up to half of it toxic ones first. A sampled
+    row counts as many rows as its class has for each one sampled, in the label model, the classifier
+    and the rule for sure terms. Where clean rows were left out, a sure term needs a rate among toxic rows 55 times
+    (exp 4) that among clean ones, even if no clean row that was read has it.
     Rows with a null id, label or text are not used. Without labelled rows of both classes, the seed
     lexicon alone decides.
     """
@@ -187,12 +195,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, candidates: in
     seeds = np.array([term_code(x) for x in SEED], U)
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0))
     rows = rows.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).dropDuplicates(["_id"])
-    some = [rows.where(c).orderBy(F.xxhash64("_id"), "_id").limit(n) for c, n in (("toxic = 1", sample // 2), ("toxic <> 1", sample - sample // 2))]
+    quota = {True: sample // 2, False: sample - sample // 2}
+    some = [rows.where(c).orderBy(F.xxhash64("_id"), "_id").limit(quota[t]) for c, t in (("toxic = 1", True), ("toxic <> 1", False))]
     picked = F.broadcast(some[0].union(some[1]))  # at most ``sample`` ids
     train = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(picked, "_id").where("text is not null").select("text", "toxic")
     train = scratch.cut(train, "train")
     size = {r["toxic"] == 1: r["count"] for r in train.groupBy("toxic").count().collect()}
     pos, neg = size.get(True, 0), size.get(False, 0)
+    # rows of its class that a sampled one stands for
+    stands = {t: 1.0 for t in quota}
+    if pos and neg:
+        stands |= {r["t"]: max(1.0, r["n"] / quota[r["t"]]) for r in rows.groupBy((F.col("toxic") == 1).alias("t")).agg(F.count("*").alias("n")).collect()}
     codes, voter, worth, voters = seeds, np.zeros(len(seeds), np.int64), np.ones(len(seeds)), 1
     if pos and neg:
         hit = train.where("toxic = 1").select("text").mapInArrow(_count_terms(None), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs)
@@ -206,7 +219,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, candidates: in
             back = train.where("toxic <> 1").select("text").mapInArrow(_count_terms(wanted), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
             n0[np.searchsorted(code, back["code"].to_numpy(np.int64).view(U))] = back["n"].to_numpy(float)
         gain = np.log((n1 + 0.5) / (pos + 1)) - np.log((n0 + 0.5) / (neg + 1))
-        sure = (n0 <= 0.002 * n1) | ((gain > 4) & (n1 >= 20 * n0))
+        # of all labelled rows, toxic and clean ones with the term; gain compares their rates
+        all1, all0 = stands[True] * n1, stands[False] * n0
+        sure = (gain > 4) & (all1 >= 20 * all0)
+        if stands[False] == 1:  # all clean rows were read: absence from them is a fact
+            sure |= all0 <= 0.002 * all1
         keep = np.flatnonzero(sure & (gain > 2))
         keep = keep[np.argsort(-n1[keep], kind="stable")][:terms]
         # frequent terms that clean rows have too, less often: they count by their log-odds
@@ -229,8 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, candidates: in
         votes = x[:, : 1 + 4 * GROUPS] > 0
         # the label is a voter as well, whose accuracy is estimated like the others'
         votes = np.c_[votes, votes.sum(1) >= 2, votes.sum(1) == 0, y]
-        q, rate, rho = label_model(votes, np.where(y, 0.9, 0.1))
-        model.weight, model.bias = logistic(x, q)
+        weight = np.where(y, stands[True], stands[False])
+        q, rate, rho = label_model(votes, np.where(y, 0.9, 0.1), weight=weight)
+        model.weight, model.bias = logistic(x, q, weight=weight)
         model.accuracy, model.overlap = rate, rho
     scratch.drop(train)
     release()

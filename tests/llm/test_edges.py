@@ -252,3 +252,30 @@ def test_components(spark):
     assert components(edges.limit(0), Scratch(spark, "t")).count() == 0
 
 
+
+
+def test_toxicity_weights_count_as_repeats():
+    rng = np.random.RandomState(5)
+    x, y = rng.rand(300, 3), rng.rand(300) < 0.3
+    v, n = np.c_[x > 0.6, y], np.where(y, 1, 4)
+    one, more = toxicity.label_model(v, y, weight=n), toxicity.label_model(v.repeat(n, 0), y.repeat(n))
+    assert np.allclose(one[0].repeat(n), more[0]) and np.allclose(one[1], more[1]) and np.allclose(one[2], more[2])
+    one, more = toxicity.logistic(x, one[0], weight=n), toxicity.logistic(x.repeat(n, 0), more[0])
+    assert np.allclose(one[0], more[0]) and np.isclose(one[1], more[1])
+
+
+def test_toxicity_of_a_thin_sample(spark):
+    """Leaving out most clean rows of the sample leaves the classifier as it is."""
+    rng = np.random.RandomState(7)
+    kind = rng.choice(3, 6000, p=[0.83, 0.12, 0.05])  # plain, clean with the vague word, toxic
+    bad = ["vilest", "foulest", "grossest"]
+    texts = []
+    for k in kind:
+        words = [f"w{j}" for j in rng.randint(0, 300, 20)] + ["blargh"] * int(k > 0)
+        texts.append(" ".join(words + list(rng.permutation(bad)[:2]) * int(k == 2 and rng.rand() < 0.5)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k == 2)) for i, k in enumerate(kind)], "doc_id long, toxic int")
+    whole, thin = (toxicity.fit(docs, labels, sample=n) for n in (40_000, 480))
+    assert abs(whole.bias - thin.bias) < 0.5  # one class read 19 times thinner moves it by about ln 19 if nothing corrects that
+    a, b = (toxicity.score(docs, m).toPandas().sort_values("doc_id") for m in (whole, thin))
+    assert (a.predicted.to_numpy() == b.predicted.to_numpy()).all() and b.score[kind == 1].mean() < 0.008
