@@ -8,9 +8,10 @@ tell the first of each exactly.
 Plan at scale: windows that repeat inside a run of texts (about a megabyte) are settled there, so that a
 passage in a third of all documents sends one string per run. Strings are first compared as wholes, by
 128-bit fingerprints: all but the first of equal strings are repeats, and a string whose minimiser has no
-other string is settled too. Only first strings that meet a different one under their minimiser travel
-packed, in a second pass; a bit table of fixed size says which. What comes back are spans of words, joined
-to the texts by id and text hash.
+other string is settled too. Only minimisers with different strings travel packed, in a second pass; a bit
+table of fixed size says which. The second pass may meet other runs than the first (file splits and shuffles
+differ between jobs), so it goes by minimiser, not by string, and settles the repeats in its own runs
+anew. What comes back are spans of words, joined to the texts by id and text hash.
 """
 
 from __future__ import annotations
@@ -115,9 +116,9 @@ def _fingerprints(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return out[0], out[1]
 
 
-def _instance(fp: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Code of one occurrence of a string."""
-    return tk.mix(fp ^ tk.mix(doc.astype(U) ^ tk.mix(start.astype(U) + U(1))))
+def _kind(least: np.ndarray) -> np.ndarray:
+    """Code of a minimiser in the bit table."""
+    return tk.mix(least & U(0xFFFFFFFF))
 
 
 def _grouped(to: np.ndarray):
@@ -146,16 +147,17 @@ def _runs(batches, k: int, m: int):
                 yield w, ids[at0:], texts[at0:], at, row, num, least, again, s, n
 
 
+def _settled(ids, texts, row, num, r: np.ndarray, k: int, buckets: int) -> list[tuple]:
+    """Rows with the spans of the windows r, on any bucket."""
+    return [(int(ids[d]) % buckets, int(ids[d]), int(texts[d]), _spans(num[r[i:j]], k)) for d, i, j in _grouped(row[r])] if len(r) else []
+
+
 def _announce(k: int, m: int, buckets: int):
     """Fingerprints of strings for a bucket, and spans settled in a run (rows with a document), on any."""
 
     def run(batches):
         for w, ids, texts, at, row, num, least, again, s, n in _runs(batches, k, m):
-            out: list[tuple] = []
-            r = np.flatnonzero(again)
-            if len(r):
-                for d, i, j in _grouped(row[r]):
-                    out.append((int(ids[d]) % buckets, int(ids[d]), int(texts[d]), _spans(num[r[i:j]], k)))
+            out = _settled(ids, texts, row, num, np.flatnonzero(again), k, buckets)
             if len(s):
                 mark = np.empty(len(s), _MARK)
                 mark["fp"], mark["fp2"] = _fingerprints(w.hash, at[s], at[s] + n + k - 1)
@@ -172,7 +174,7 @@ def _announce(k: int, m: int, buckets: int):
 
 def _compare(k: int):
     """Of a bucket: spans of strings that repeat an earlier one whole, and (rows without a document) the
-    codes of first strings that meet another under their minimiser."""
+    codes of minimisers with different strings."""
 
     def run(t: pa.Table) -> pa.Table:
         settled = t.filter(pa.compute.is_valid(t.column("doc"))).select(["doc", "text", "data"])
@@ -188,9 +190,7 @@ def _compare(k: int):
         kinds = np.sort(own["least"])
         at = np.searchsorted(kinds, own["least"])
         many = np.searchsorted(kinds, own["least"], side="right") - at > 1
-        need = np.zeros(len(x), bool)
-        need[~late] = many[(np.cumsum(head) - 1)[~late]]
-        rows = [(None, None, _instance(x["fp"][need], x["doc"][need], x["start"][need]).tobytes())] if need.any() else []
+        rows = [(None, None, _kind(np.unique(own["least"][many]).astype(U)).tobytes())] if many.any() else []
         y = x[late]
         y = y[np.lexsort((y["start"], y["text"], y["doc"]))]
         if len(y):
@@ -216,17 +216,19 @@ def _wanted(bits: int):
 
 
 def _send(k: int, m: int, wanted, buckets: int):
-    """Packed strings that are wanted, for the bucket of their minimiser."""
+    """Packed strings whose minimiser is wanted, for its bucket, and (rows with a document) spans of windows
+    of wanted minimisers that repeat in the run."""
 
     def run(batches):
         table = wanted.value
         for w, ids, texts, at, row, num, least, again, s, n in _runs(batches, k, m):
-            if not len(s):
-                continue
-            fp, _ = _fingerprints(w.hash, at[s], at[s] + n + k - 1)
-            ok = slots.test_bits(table, _instance(fp, ids[row[s]], num[s]))
+            r = np.flatnonzero(again)
+            out = _settled(ids, texts, row, num, r[slots.test_bits(table, _kind(least[r]))], k, buckets)
+            ok = slots.test_bits(table, _kind(least[s]))
             s, n = s[ok], n[ok]
             if not len(s):
+                if out:
+                    yield _batch(out)
                 continue
             to = (tk.mix(least[s]) % U(buckets)).astype(np.int64)
             o = np.argsort(to, kind="stable")
@@ -236,13 +238,17 @@ def _send(k: int, m: int, wanted, buckets: int):
             size = n + k - 1
             words = w.hash[np.repeat(at[s] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
             edge = np.r_[0, np.cumsum(size)]
-            yield _batch([(t, None, None, np.int32(j - i).tobytes() + head[i:j].tobytes() + words[edge[i] : edge[j]].tobytes()) for t, i, j in _grouped(to)])
+            yield _batch(out + [(t, None, None, np.int32(j - i).tobytes() + head[i:j].tobytes() + words[edge[i] : edge[j]].tobytes()) for t, i, j in _grouped(to)])
 
     return run
 
 
 def _sort_bucket(k: int):
     def run(t: pa.Table) -> pa.Table:
+        settled = t.filter(pa.compute.is_valid(t.column("doc"))).select(["doc", "text", "data"])
+        t = t.filter(pa.compute.is_null(t.column("doc")))
+        if not len(t):
+            return settled
         heads, words = [], []
         for d in t.column("data").to_pylist():
             n = int(np.frombuffer(d, "<i4", 1)[0])
@@ -262,7 +268,8 @@ def _sort_bucket(k: int):
         if len(hit):
             cut = np.flatnonzero(np.r_[True, (doc[hit][1:] != doc[hit][:-1]) | (text[hit][1:] != text[hit][:-1])])
             out = [(int(doc[x[0]]), int(text[x[0]]), _spans(start[x], k)) for x in np.split(hit, cut[1:])]
-        return pa.table({"doc": pa.array([x[0] for x in out], pa.int64()), "text": pa.array([x[1] for x in out], pa.int64()), "data": pa.array([x[2] for x in out], pa.binary())})
+        new = pa.table({"doc": pa.array([x[0] for x in out], pa.int64()), "text": pa.array([x[1] for x in out], pa.int64()), "data": pa.array([x[2] for x in out], pa.binary())})
+        return pa.concat_tables([new, settled])
 
     return run
 

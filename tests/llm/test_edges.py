@@ -98,6 +98,47 @@ def test_substring_dedup(odd, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("splits", [("apart", "joined"), ("joined", "apart")])
+def test_substring_dedup_with_other_splits_in_each_pass(spark, tmp_path, monkeypatch, splits):
+    """The second pass may read the files in other partitions than the first."""
+    rng = np.random.RandomState(2)
+    word = lambda n: [f"v{j}" for j in rng.randint(0, 10**6, n)]
+    shared = word(80)
+    texts = [word(30) + shared[a : a + n] + word(30) for a, n in ((0, 60), (10, 60), (20, 60), (0, 80), (5, 40), (30, 50))]
+    for i, t in enumerate(texts):
+        spark.createDataFrame([(i, " ".join(t))], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path))
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    old, table = {k: spark.conf.get(k, None) for k in keys}, substring_dedup.slots.bit_table
+
+    def split(how):
+        for k, v in zip(keys, ("1m", "1m", "1") if how == "apart" else ("128m", "0", "1"), strict=True):
+            spark.conf.set(k, v)
+
+    def between(*args):
+        out = table(*args)
+        split(splits[1])
+        return out
+
+    monkeypatch.setattr(substring_dedup.slots, "bit_table", between)
+    try:
+        split(splits[0])
+        docs = spark.read.schema("doc_id long, text string").parquet(str(tmp_path))
+        parts = docs.rdd.getNumPartitions()
+        got = {r["doc_id"]: r["kept_text"] for r in substring_dedup.remove_repeats(docs).collect()}
+        assert parts == (6 if splits[0] == "apart" else 1) and docs.select("*").rdd.getNumPartitions() == 7 - parts
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        gone = set()
+        for j in range(len(t) - 19):
+            gone.update(range(j, j + 20) if tuple(t[j : j + 20]) in seen else ())
+            seen.add(tuple(t[j : j + 20]))
+        want[i] = " ".join(x for j, x in enumerate(t) if j not in gone)
+    assert got == want
+
+
 def test_mixing(odd, none, spark):
     out = mixing.mix(odd, MIX_WEIGHTS, max_epochs=3)
     assert out.columns == [*odd.columns, "mix_domain", "mix_lang", "mix_source", "n_tokens", "copies"]
