@@ -2,11 +2,11 @@
 
 Method: set-relation skipping. Shingles are put in one global order, rare first, and each set is indexed
 under its prefix (no two sets reach the threshold without a common prefix token). An index list is laid
-out in blocks by the position at which its token stands in a set; sizes and positions bound the overlap
-that a pair can still have, so blocks are skipped whole. Answers are derived from those of similar
-sets: equal sets share all answers and are joined once; inside a group, each set is compared with the
-pivots found so far, and the distance of two sets to a common pivot bounds their own distance (Jaccard
-distance is a metric), so a set takes over the accepted and the refused answers of a pivot close to it.
+out in blocks by component; a block whose sets have the answer already is skipped whole. Sizes and positions
+bound the overlap that a pair can still have, entry by entry. Equal sets share all answers and are joined
+once; the distances of two sets to a common pivot bound their own from below (Jaccard distance is a
+metric) and refuse pairs, every other pair is compared in full. Blocks by position and answers derived
+from the most similar set, which belong to the method, are not implemented.
 
 Plan at scale: two passes over the texts. The first counts shingles in a slot table of fixed size (the
 order) and digests each set; the second sends packed prefixes to buckets of shingle ranges. Only tokens
@@ -179,8 +179,8 @@ def links(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None =
     Index lists hold, per prefix token, blocks of (position, set). A block whose sets have the answer of
     the set at hand (they are in its component) is skipped whole; other entries are skipped where size
     and positions leave too small an overlap.
-    Distances to a few pivots are kept, and decide pairs without a comparison where they can: with a
-    common pivot p, d(x, y) is at least |d(x, p) - d(y, p)|, and at most the sum.
+    Distances to a few pivots are kept, and refuse pairs without a comparison where they can: with a
+    common pivot p, d(x, y) is at least |d(x, p) - d(y, p)|.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
