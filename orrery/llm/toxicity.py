@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
 Many voters look at a document: a seed lexicon, lexicons of whole words and of word beginnings mined from
-labelled rows (sure terms by count, unsure ones by log-odds), patterns of typing, and the label where there
-is one. A generative label model (expectation-maximisation over the votes) estimates how often each voter
+labelled rows (sure terms by count), and the label where there is one. Unsure terms (by log-odds) and two
+patterns of typing have no vote; they inform the classifier alone. A generative label model (expectation-maximisation over the votes) estimates how often each voter
 fires in either class and how far pairs of voters fire together beyond that; voters that repeat each
 other share their weight. Its posteriors are the targets of a linear (logistic) classifier over the
 voters' strengths, which scores every document.
