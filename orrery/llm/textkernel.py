@@ -71,6 +71,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, edges: np.ndarray, lower: bool, sep: np.ndarray):
         o, d = edges, data
+        self.raw = data
         if lower:
             d = _LOWER[d]
         self.bytes, self.edges = d, o

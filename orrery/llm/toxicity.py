@@ -1,11 +1,16 @@
 """Toxicity by weak supervision.
 
-Many voters look at a document: a seed lexicon, lexicons of whole words and of word beginnings mined from
-labelled rows (sure terms by count), and the label where there is one. Unsure terms (by log-odds) and two
-patterns of typing have no vote; they inform the classifier alone. A generative label model (expectation-maximisation over the votes) estimates how often each voter
-fires in either class and how far pairs of voters fire together beyond that; voters that repeat each
-other share their weight. Its posteriors are the targets of a linear (logistic) classifier over the
-voters' strengths, which scores every document.
+Many voters look at a document, none of which is its label: three lexicons written by hand (insults, contempt,
+threats); lexicons mined from labelled rows, one for whole words and one for word beginnings of each of five
+lengths (sure terms, terms that a text repeats, and likely and unsure terms where they stand dense); two and
+four sure words; and patterns (shouting, capitals, an insult addressed to somebody, insults that come again). A
+generative label model (expectation-maximisation over the votes) estimates how often each voter fires in
+either class and how far pairs of voters fire together beyond that; voters that repeat each other share
+their weight. Its posteriors are the targets of a linear (logistic) classifier over the voters' strengths,
+which scores every document. Labels choose the mined terms; neither votes nor targets are made of them.
+
+A mined term needs more evidence than the luckiest of all candidates would have by chance (its log-likelihood
+ratio beats the logarithm of their number), so a lexicon fits the rows it is mined from no better than others.
 
 Fitting reads a bounded sample of labelled rows (``sample``), which count as many rows as they stand for, so that
 class shares are those of all labelled rows at every size; scoring is one pass over all texts without a
@@ -26,25 +31,46 @@ from orrery.llm import textkernel as tk
 from orrery.llm.scratch import Scratch, release
 
 U = np.uint64
-#: Seed lexicon: fixed values.
-SEED = ["idiot", "moron", "scum", "loser", "pathetic", "worthless", "stupid", "disgusting", "trash", "vermin", "imbecile", "filth", "hate", "kill", "dumb"]
+#: Lexicons written by hand: fixed values.
+INSULTS = ["idiot", "moron", "loser", "stupid", "imbecile", "dumb", "fool", "jerk", "dimwit", "halfwit", "cretin", "dunce"]
+CONTEMPT = ["scum", "pathetic", "worthless", "disgusting", "trash", "vermin", "filth", "garbage", "subhuman", "parasite", "degenerate"]
+THREATS = ["kill", "hate", "shoot", "stab", "murder", "strangle", "slaughter"]
+ADDRESS = ["you", "your", "youre", "u", "ur", "du", "ihr", "tu", "vous", "usted"]
+SEEDS = [INSULTS, CONTEMPT, THREATS]
 #: Kinds of mined terms: whole words, and beginnings of so many bytes.
 KINDS = (0, 4, 5, 6, 7, 8)
-GROUPS = 4
+#: A density votes where it is beyond that of this share of clean rows.
+RARE = 0.99
+#: Log rate ratios from which a term is sure, and from which it is likely.
+SURE, LIKELY = 5.0, 3.5
+#: A repeated term counts from so many occurrences in a text.
+AGAIN = 3
+PATTERNS = ["shouting", "capitals", "addressed", "insulted again", "length"]
 _SALT = {k: U(0x5851F42D4C957F2D * (k + 1) & ((1 << 64) - 1)) for k in KINDS}
+_SURE, _REPEATED, _LIKELY, _UNSURE, LEXICONS = (len(SEEDS) + i * len(KINDS) for i in range(5))
+_CAPITAL = np.zeros(256, bool)
+_CAPITAL[65:91] = True
+_LETTER = _CAPITAL.copy()
+_LETTER[97:123] = True
 
 
-def features(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Term codes of a run and the row of each: words, and beginnings of longer words."""
-    row = np.repeat(np.arange(len(w.doc) - 1), np.diff(w.doc))
+def features(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term codes of a run, the word of each, and the place of its kind in KINDS."""
+    word = np.arange(len(w.start))
     size = w.end - w.start
-    codes, rows = [], []
-    for k in KINDS:
+    codes, words, kinds = [], [], []
+    for i, k in enumerate(KINDS):
         on = size > k if k else size > 0
         h = w.hash[on] if not k else w.span_hash(w.start[on], w.start[on] + k)
         codes.append(tk.mix(h ^ _SALT[k]))
-        rows.append(row[on])
-    return np.concatenate(codes), np.concatenate(rows)
+        words.append(word[on])
+        kinds.append(np.full(len(h), i, np.int8))
+    return np.concatenate(codes), np.concatenate(words), np.concatenate(kinds)
+
+
+def _rows(w: tk.Words) -> np.ndarray:
+    """The row of each word."""
+    return np.repeat(np.arange(len(w.doc) - 1), np.diff(w.doc))
 
 
 def term_code(word: str, k: int = 0) -> int:
@@ -53,65 +79,144 @@ def term_code(word: str, k: int = 0) -> int:
     return int(tk.mix(h ^ _SALT[k])[0])
 
 
+def _occurrences(code: np.ndarray, row: np.ndarray, *more: np.ndarray):
+    """Distinct (row, code) pairs, how often each occurs, and the further arrays at its first occurrence."""
+    o = np.lexsort((row, code))
+    code, row = code[o], row[o]
+    at = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])][: len(code)])
+    return code[at], row[at], np.diff(np.r_[at, len(code)]), *(m[o][at] for m in more)
+
+
+_WHOLE = {x: term_code(x) for words in [*SEEDS, ADDRESS] for x in words}
+_SEED_CODE = np.sort(np.array([_WHOLE[x] for words in SEEDS for x in words], U))
+_ADDRESS_CODE = np.sort(np.array([_WHOLE[x] for x in ADDRESS], U))
+
+
+def _among(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    i = np.minimum(np.searchsorted(table, codes), len(table) - 1)
+    return table[i] == codes
+
+
+def patterns(w: tk.Words) -> np.ndarray:
+    """PATTERNS of each text of a run, 0 to 1."""
+    n = len(w.doc) - 1
+    words = np.maximum(1, np.diff(w.doc))
+    row = _rows(w)
+    e = w.edges
+
+    def per_text(mask):
+        c = np.r_[0, np.cumsum(mask)]
+        return c[e[1:]] - c[e[:-1]]
+
+    whole = tk.mix(w.hash ^ _SALT[0])
+    seed, named = _among(whole, _SEED_CODE), _among(whole, _ADDRESS_CODE)
+    near = np.zeros(len(seed), bool)
+    for d in (1, 2, 3):
+        near[d:] |= named[:-d] & (row[d:] == row[:-d])
+    hits = np.bincount(row[seed], minlength=n)
+    return np.stack([
+        np.minimum(1.0, per_text(w.bytes == 33) / words),
+        per_text(_CAPITAL[w.raw]) / np.maximum(1, per_text(_LETTER[w.raw])),
+        np.minimum(1.0, np.bincount(row[seed & near], minlength=n) / 2),
+        np.minimum(1.0, np.maximum(0, hits - 1) / 4),
+        np.minimum(1.0, words / 1000.0),
+    ], 1)
+
+
 @dataclass
 class Model:
-    """Sorted term codes, the voter and worth of each, and the linear classifier over the voters' strengths."""
+    """Sorted term codes, the voters and worth of each, vote thresholds, and the linear classifier."""
 
     codes: np.ndarray = field(default_factory=lambda: np.empty(0, U))
-    voter: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    voter: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # counts with each occurrence; -1: none
     worth: np.ndarray = field(default_factory=lambda: np.empty(0))
-    voters: int = 1
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    bias: float = -4.0
+    again: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # counts once, if a text repeats it; -1: none
+    dense: np.ndarray = field(default_factory=lambda: np.full(2 * len(KINDS), np.inf))
+    weight: np.ndarray = field(default_factory=lambda: np.r_[np.full(_LIKELY, 3.0), np.zeros(2 * len(KINDS) + 1 + len(PATTERNS))])
+    bias: float = -2.0
+    prior: float | None = None
     accuracy: np.ndarray | None = None
     overlap: np.ndarray | None = None
 
     def strengths(self, w: tk.Words) -> np.ndarray:
-        """Per document and voter: log(1 + summed worth of its hits), and two typing patterns."""
+        """Per document: log(1 + summed worth of hits) of each lexicon, log(1 + words hit for sure), the patterns.
+
+        A word counts in one lexicon of occurrences only, that where it is worth most.
+        """
         n = len(w.doc) - 1
-        out = np.zeros((n, self.voters + 2))
+        out = np.zeros((n, LEXICONS + 1))
         if len(self.codes) and len(w.hash):
-            code, row = features(w)
+            code, word, _ = features(w)
             i = np.searchsorted(self.codes, code)
             i[i == len(self.codes)] = 0
             hit = self.codes[i] == code
-            np.add.at(out, (row[hit], self.voter[i[hit]]), self.worth[i[hit]])
-        out[:, : self.voters] = np.log1p(out[:, : self.voters])
-        words = np.maximum(1, np.diff(w.doc))
-        shout = np.r_[0, np.cumsum(w.bytes == 33)]
-        ends = w.edges
-        out[:, self.voters] = np.minimum(1.0, (shout[ends[1:]] - shout[ends[:-1]]) / words)
-        out[:, self.voters + 1] = np.minimum(1.0, words / 1000.0)
-        return out
+            i, word = i[hit], word[hit]
+            row = _rows(w)[word]
+            one = np.flatnonzero(self.voter[i] >= 0)
+            one = one[np.lexsort((self.voter[i[one]], -self.worth[i[one]], word[one]))]
+            one = one[np.r_[True, word[one][1:] != word[one][:-1]][: len(one)]]
+            np.add.at(out, (row[one], self.voter[i[one]]), self.worth[i[one]])
+            sure = one[self.voter[i[one]] < _REPEATED]
+            np.add.at(out, (row[sure], LEXICONS), 1.0)
+            i, row, times = _occurrences(i, row)
+            rep = (self.again[i] >= 0) & (times >= AGAIN)
+            np.add.at(out, (row[rep], self.again[i[rep]]), 1.0)
+        return np.c_[np.log1p(out), patterns(w)]
+
+    def votes(self, x: np.ndarray) -> np.ndarray:
+        """Binary votes from strengths: sure and repeated lexicons, two and four sure words, dense lexicons, patterns."""
+        many = x[:, LEXICONS : LEXICONS + 1] > np.log1p([1.5, 3.5])
+        pat = x[:, LEXICONS + 1 :] > np.array([0.2, 0.5, 0.0, 0.0, np.inf])
+        return np.c_[x[:, :_LIKELY] > 0, many, _density(x) > self.dense, pat[:, :-1]]
 
     def score(self, strengths: np.ndarray) -> np.ndarray:
         z = strengths @ self.weight + self.bias
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _count_terms(wanted):
-    """Document counts of terms among the sample: of toxic rows, or of wanted terms in the others."""
+def _density(x: np.ndarray) -> np.ndarray:
+    """Worth of likely and unsure terms to the length of a text (which counts as 1,000 words at most)."""
+    return np.expm1(x[:, _LIKELY:LEXICONS]) / (0.02 + x[:, -1:])
 
-    def run(batches):
-        acc_c, acc_n = np.empty(0, U), np.empty(0, np.int64)
-        for b in batches:
-            for at, w in tk.runs(b.column(0), lower=True, sep=tk.NON_ALNUM):
-                code, row = features(w)
-                if wanted is not None:
-                    i = np.minimum(np.searchsorted(wanted.value, code), len(wanted.value) - 1)
-                    ok = wanted.value[i] == code
-                    code, row = code[ok], row[ok]
-                o = np.lexsort((row, code))
-                code, row = code[o], row[o]
-                once = np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])][: len(code)]
-                c, n = np.unique(code[once], return_counts=True)
-                both = np.concatenate([acc_c, c])
-                acc_c, inv = np.unique(both, return_inverse=True)
-                acc_n = np.bincount(inv, np.concatenate([acc_n, n]), len(acc_c)).astype(np.int64)
-        if len(acc_c):
-            yield pa.RecordBatch.from_arrays([pa.array(acc_c.astype(np.int64)), pa.array(acc_n)], names=["code", "n"])
 
-    return run
+_COUNTS = "code long, kind byte, again boolean, n1 long, n0 long"
+
+
+def _count_terms(batches, most: int = 1 << 21):
+    """Rows of each class that have a term, and that have it AGAIN times; partial sums of at most ``most`` terms."""
+    held = None
+
+    def total(c, k, a, y, n):
+        key = np.stack([c, (k.astype(U) << U(1)) | a.astype(U)], 1)
+        o = np.lexsort((key[:, 1], key[:, 0]))
+        key, y, n = key[o], y[o], n[o]
+        at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)][: len(key)])
+        n1 = np.add.reduceat(np.where(y, n, 0), at) if len(at) else n[:0]
+        n0 = np.add.reduceat(np.where(y, 0, n), at) if len(at) else n[:0]
+        return key[at, 0], (key[at, 1] >> U(1)).astype(np.int8), key[at, 1] & U(1) > 0, n1, n0
+
+    def rows(h):
+        return pa.RecordBatch.from_arrays([pa.array(h[0].view(np.int64)), pa.array(h[1], pa.int8()), pa.array(h[2]), pa.array(h[3]), pa.array(h[4])], names=["code", "kind", "again", "n1", "n0"])
+
+    for b in batches:
+        toxic = b.column(1).to_numpy(zero_copy_only=False) == 1
+        for at, w in tk.runs(b.column(0), lower=True, sep=tk.NON_ALNUM):
+            code, word, kind = features(w)
+            code, row, times, kind = _occurrences(code, _rows(w)[word], kind)
+            rep = times >= AGAIN
+            y = toxic[at:][row]
+            c, k, a, y = np.r_[code, code[rep]], np.r_[kind, kind[rep]], np.r_[np.zeros(len(code), bool), np.ones(rep.sum(), bool)], np.r_[y, y[rep]]
+            new = total(c, k, a, y, np.ones(len(c), np.int64))
+            if held is not None:
+                two = [np.concatenate(x) for x in zip(held, new, strict=True)]
+                half = np.zeros(len(two[0]), bool)
+                new = total(np.r_[two[0], two[0]], np.r_[two[1], two[1]], np.r_[two[2], two[2]], np.r_[~half, half], np.r_[two[3], two[4]])
+            held = new
+            if len(held[0]) > most:
+                yield rows(held)
+                held = None
+    if held is not None:
+        yield rows(held)
 
 
 def _strengths(model):
@@ -180,19 +285,50 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, candidates: int = 60_000, terms: int = 8_192, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def _mine(train: DataFrame, pos: int, neg: int, terms: int, least_docs: int):
+    """Terms that toxic rows have oftener than chance explains, with their log rate ratio (``gain``).
+
+    All terms of the sample are counted in both classes. With n1 toxic and n0 clean rows, the evidence is
+    the log-likelihood ratio of their share against the classes' shares; it must beat the logarithm of
+    the number of candidates (terms of ``least_docs`` toxic rows or more). Beyond ``terms`` terms of a list
+    those with the most evidence stay. Lists: sure (no clean row has it, or ``gain`` is over SURE), repeated,
+    likely, unsure; each with code, kind and gain.
+    """
+    scratch = Scratch(train.sparkSession, "terms")
+    counts = train.select("text", "toxic").mapInArrow(_count_terms, _COUNTS)
+    counts = counts.groupBy("code", "kind", "again").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") >= least_docs)
+    n1, n0 = F.col("n1"), F.col("n0")
+    base = pos / (pos + neg)
+    share = n1 / (n1 + n0)
+    part = F.when(n0 > 0, n0 * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    gain = F.log((n1 + 0.5) / (pos + 1)) - F.log((n0 + 0.5) / (neg + 1))
+    counts = counts.withColumns({"gain": gain, "evidence": n1 * F.log(share / base) + part})
+    counts = scratch.cut(counts.select("code", "kind", "again", "gain", "evidence", (n0 == 0).alias("never")), "terms")
+    need = float(np.log(max(1, counts.count())))
+    good = counts.where((F.col("gain") > 1.2) & (F.col("evidence") > need))
+    once, gain = good.where("not again"), F.col("gain")
+    sure = (gain > SURE) | F.col("never")
+    lists = [once.where(sure), good.where("gain > 3 and again"), once.where((gain > LIKELY) & ~sure), once.where((gain <= LIKELY) & ~sure)]
+    out = [x.orderBy(F.desc("evidence"), "code").limit(terms).toPandas() for x in lists]
+    scratch.drop(counts)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, terms: int = 8_192, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``sample`` labelled rows whose crc32(id as text) mod 5 is not 0.
 
-    The sample takes the rows with the smallest hash of the id, up to half of it toxic ones first. A sampled
-    row counts as many rows as its class has for each one sampled, in the label model, the classifier
-    and the rule for sure terms. Where clean rows were left out, a sure term needs a rate among toxic rows 55 times
-    (exp 4) that among clean ones, even if no clean row that was read has it.
-    Rows with a null id, label or text are not used. Without labelled rows of both classes, the seed
-    lexicon alone decides.
+    The sample takes the rows with the smallest hash of the id, up to half of it toxic ones. A sampled row
+    counts as many rows as its class has for each one sampled. Mined terms need ``least_docs`` toxic rows
+    and more evidence than chance gives the best of all candidates; the four lists of them (sure, repeated,
+    likely, unsure) hold at most ``terms`` terms each, those with the most evidence.
+    Rows with a null id, label or text are not used. Without labelled rows of both classes, the lexicons
+    written by hand decide.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
-    seeds = np.array([term_code(x) for x in SEED], U)
+    seed = [(term_code(x), v) for v, words in enumerate(SEEDS) for x in words]
+    codes, voter = np.array([c for c, _ in seed], U), np.array([v for _, v in seed])
+    worth, again = np.ones(len(seed)), np.full(len(seed), -1)
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0))
     rows = rows.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).dropDuplicates(["_id"])
     quota = {True: sample // 2, False: sample - sample // 2}
@@ -200,61 +336,60 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, candidates: in
     picked = F.broadcast(some[0].union(some[1]))  # at most ``sample`` ids
     train = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(picked, "_id").where("text is not null").select("text", "toxic")
     train = scratch.cut(train, "train")
-    size = {r["toxic"] == 1: r["count"] for r in train.groupBy("toxic").count().collect()}
+    size = {r["toxic"] == 1: r["count"] for r in train.groupBy(F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic")).count().collect()}
     pos, neg = size.get(True, 0), size.get(False, 0)
-    # rows of its class that a sampled one stands for
-    stands = {t: 1.0 for t in quota}
-    if pos and neg:
-        stands |= {r["t"]: max(1.0, r["n"] / quota[r["t"]]) for r in rows.groupBy((F.col("toxic") == 1).alias("t")).agg(F.count("*").alias("n")).collect()}
-    codes, voter, worth, voters = seeds, np.zeros(len(seeds), np.int64), np.ones(len(seeds)), 1
     if pos and neg:
-        hit = train.where("toxic = 1").select("text").mapInArrow(_count_terms(None), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs)
-        top = hit.orderBy(F.desc("n"), "code").limit(candidates).toPandas()
-        code = top["code"].to_numpy(np.int64).view(U)
-        o = np.argsort(code)
-        code, n1 = code[o], top["n"].to_numpy(float)[o]
-        n0 = np.zeros(len(code))
-        if len(code):
-            wanted = spark.sparkContext.broadcast(code)
-            back = train.where("toxic <> 1").select("text").mapInArrow(_count_terms(wanted), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-            n0[np.searchsorted(code, back["code"].to_numpy(np.int64).view(U))] = back["n"].to_numpy(float)
-        gain = np.log((n1 + 0.5) / (pos + 1)) - np.log((n0 + 0.5) / (neg + 1))
-        # of all labelled rows, toxic and clean ones with the term; gain compares their rates
-        all1, all0 = stands[True] * n1, stands[False] * n0
-        sure = (gain > 4) & (all1 >= 20 * all0)
-        if stands[False] == 1:  # all clean rows were read: absence from them is a fact
-            sure |= all0 <= 0.002 * all1
-        keep = np.flatnonzero(sure & (gain > 2))
-        keep = keep[np.argsort(-n1[keep], kind="stable")][:terms]
-        # frequent terms that clean rows have too, less often: they count by their log-odds
-        soft = np.flatnonzero(~sure & (gain > 1.2) & (n1 >= max(8, 0.01 * pos)))
-        soft = soft[np.argsort(-(gain * n1)[soft], kind="stable")][:terms]
-        mined = code[np.r_[keep, soft]]
-        # each lexicon is cut in parts by hash, so that the label model sees voters of its own kind disagree
-        part = (tk.mix(mined) % U(4 * GROUPS)).astype(np.int64)
-        group = np.where(np.arange(len(mined)) < len(keep), 1 + part, 1 + 4 * GROUPS + part % GROUPS)
-        both, first = np.unique(np.concatenate([seeds, mined]), return_index=True)
-        worth = np.concatenate([np.ones(len(seeds) + len(keep)), gain[soft]])[first]
-        codes, voter, voters = both, np.concatenate([voter, group])[first], 1 + 5 * GROUPS
+        # rows of its class that a sampled one stands for
+        stands = {r["t"]: max(1.0, r["n"] / quota[r["t"]]) for r in rows.groupBy((F.col("toxic") == 1).alias("t")).agg(F.count("*").alias("n")).collect()}
+        lists = _mine(train, pos, neg, terms, least_docs)
+        mined = [np.concatenate([x["code"].to_numpy(np.int64) for x in lists]).view(U)]
+        kind = np.concatenate([x["kind"].to_numpy(np.int64) for x in lists])
+        group = np.repeat([_SURE, _REPEATED, _LIKELY, _UNSURE], [len(x) for x in lists])
+        alone = np.r_[np.full(len(seed), True), group != _REPEATED]
+        codes = np.concatenate([codes, *mined])
+        voter = np.concatenate([voter, group + kind])
+        worth = np.concatenate([worth, *(x["gain"].to_numpy(float) for x in lists)])
+        every = np.unique(codes)
+        at = np.searchsorted(every, codes)
+        one, two, value = np.full(len(every), -1), np.full(len(every), -1), np.zeros(len(every))
+        # a seed word that is mined as well votes as what was mined
+        one[at[alone]], value[at[alone]] = voter[alone], worth[alone]
+        two[at[~alone]] = voter[~alone]
+        codes, voter, worth, again = every, one, value, two
     o = np.argsort(codes)
-    model = Model(codes[o], voter[o], worth[o], voters, np.r_[np.full(voters, 3.0), 0.0, 0.0], -2.0)
+    model = Model(codes[o], voter[o], worth[o], again[o])
     if pos and neg:
         got = train.mapInArrow(_strengths(spark.sparkContext.broadcast(model)), "y binary, x binary").collect()
         y = np.concatenate([np.frombuffer(r["y"], bool) for r in got])
         x = np.concatenate([np.frombuffer(r["x"], np.float32) for r in got]).reshape(len(y), -1).astype(float)
-        # unsure terms, which long texts gather, inform the classifier but have no vote
-        votes = x[:, : 1 + 4 * GROUPS] > 0
-        # the label is a voter as well, whose accuracy is estimated like the others'
-        votes = np.c_[votes, votes.sum(1) >= 2, votes.sum(1) == 0, y]
         weight = np.where(y, stands[True], stands[False])
-        q, rate, rho = label_model(votes, np.where(y, 0.9, 0.1), weight=weight)
+        model.dense = np.maximum(np.quantile(_density(x[~y]), RARE, axis=0), 1e-9)
+        votes = model.votes(x)
+        # sure and repeated lexicons start the estimate
+        q, rate, rho = label_model(votes, np.where(votes[:, :_LIKELY].any(1), 0.9, 0.02), weight=weight)
         model.weight, model.bias = logistic(x, q, weight=weight)
-        model.accuracy, model.overlap = rate, rho
+        model.prior, model.accuracy, model.overlap = float((q * weight).sum() / weight.sum()), rate, rho
     scratch.drop(train)
     release()
     return model
 
 
+def cross_validate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", **options) -> DataFrame:
+    """``doc_id, label, fold, score, predicted`` of the labelled rows that ``fit`` may learn from, each scored
+    by a model that did not see its fold (crc32(id as text) mod 5, from 1 to 4). Rows of remainder 0 have no part,
+    so choices made by these figures leave the held-out rows unseen.
+    """
+    fold = F.crc32(F.col(id_col).cast("string")) % 5
+    out = None
+    for k in (1, 2, 3, 4):
+        rows = labels.where((fold == k) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("label"))
+        some = docs.join(rows, F.col(id_col) == F.col("_id")).drop("_id")
+        part = score(some, fit(docs, labels.where(fold != k), id_col=id_col, label_col=label_col, **options))
+        part = part.select(F.col(id_col).alias("doc_id"), "label", F.lit(k).alias("fold"), "score", "predicted")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def _score(model, text_at: int, names: list[str]):
     def run(batches):
         m = model.value

@@ -2,6 +2,8 @@
 
 import gzip
 import hashlib
+import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -319,4 +321,66 @@ def test_toxicity_of_a_thin_sample(spark):
     whole, thin = (toxicity.fit(docs, labels, sample=n) for n in (40_000, 480))
     assert abs(whole.bias - thin.bias) < 0.5  # one class read 19 times thinner moves it by about ln 19 if nothing corrects that
     a, b = (toxicity.score(docs, m).toPandas().sort_values("doc_id") for m in (whole, thin))
-    assert (a.predicted.to_numpy() == b.predicted.to_numpy()).all() and b.score[kind == 1].mean() < 0.008
+    assert (a.predicted.to_numpy() == b.predicted.to_numpy()).all() and np.abs(a.score.to_numpy() - b.score.to_numpy()).max() < 0.03
+
+
+def test_label_model_equals_a_plain_loop():
+    """The same estimates, one row and one voter at a time."""
+    rng = np.random.RandomState(11)
+    y = rng.rand(60) < 0.3
+    v = np.stack([np.where(rng.rand(60) < a, y, ~y) for a in (0.9, 0.8, 0.7)], 1).astype(float)
+    q = v.mean(1)
+    got, rate, _ = toxicity.label_model(v, q, rounds=3)
+    for _ in range(3):
+        prior = (q.sum() + 1) / 62
+        fires = [[min(max((sum((q[i] if c else 1 - q[i]) * v[i][j] for i in range(60)) + 0.05) / (sum(q[i] if c else 1 - q[i] for i in range(60)) + 1), 1e-6), 1 - 1e-6) for j in range(3)] for c in (0, 1)]
+        left = [[v[i][j] - (1 - q[i]) * fires[0][j] - q[i] * fires[1][j] for j in range(3)] for i in range(60)]
+        spread = [(sum(left[i][j] ** 2 for i in range(60)) / 60) ** 0.5 + 1e-9 for j in range(3)]
+        rho = [[sum(left[i][a] * left[i][b] for i in range(60)) / 60 / (spread[a] * spread[b]) for b in range(3)] for a in range(3)]
+        share = [1 / (1 + sum(max(0, rho[a][b]) for b in range(3) if b != a)) for a in range(3)]
+        new = []
+        for i in range(60):
+            z = np.log(prior / (1 - prior))
+            for j in range(3):
+                z += share[j] * (np.log(fires[1][j] / fires[0][j]) if v[i][j] else np.log((1 - fires[1][j]) / (1 - fires[0][j])))
+            new.append(1 / (1 + np.exp(-z)))
+        q = np.array(new)
+    assert np.allclose(got, q) and np.allclose(rate, fires)
+
+
+def test_toxicity_scores_equal_a_plain_reading(spark):
+    """Strengths and scores of a fitted model, word by word."""
+    rng = np.random.RandomState(2)
+    vile = ["grobbly", "grobbish", "snarkest"]
+    texts, marks = [], []
+    for i in range(600):
+        bad = i % 5 == 1
+        words = [f"w{j}" for j in rng.randint(0, 200, 15)] + list(rng.choice(vile, 4) if bad else []) + (["YOU", "idiot!!"] if i % 35 == 1 else [])
+        texts.append(" ".join(rng.permutation(words)))
+        marks.append((i, int(bad)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    place = {int(c): i for i, c in enumerate(model.codes)}
+    assert toxicity.term_code("grobbly") in place and toxicity.term_code("grobbly", 4) in place
+    got = toxicity.score(docs, model).orderBy("doc_id").toPandas()
+    for text, score in zip(texts[:80], got.score, strict=False):
+        words = re.findall(r"[a-z0-9]+", text.lower())
+        sums, sure, times = [0.0] * toxicity.LEXICONS, 0, Counter()
+        for x in words:
+            found = [place.get(toxicity.term_code(x, k)) for k in toxicity.KINDS if k < len(x)]
+            found = [t for t in found if t is not None]
+            times.update(found)
+            one = max((t for t in found if model.voter[t] >= 0), key=lambda t: (model.worth[t], -model.voter[t]), default=None)
+            if one is not None:
+                sums[model.voter[one]] += model.worth[one]
+                sure += model.voter[one] < toxicity._REPEATED
+        for t, n in times.items():
+            if model.again[t] >= 0 and n >= toxicity.AGAIN:
+                sums[model.again[t]] += 1
+        seeds = [x in {y for z in toxicity.SEEDS for y in z} for x in words]
+        near = sum(s and any(y in toxicity.ADDRESS for y in words[max(0, i - 3) : i]) for i, s in enumerate(seeds))
+        letters = [c for c in text if c.isascii() and c.isalpha()]
+        pat = [min(1, text.count("!") / len(words)), sum(c.isupper() for c in letters) / len(letters), min(1, near / 2), min(1, max(0, sum(seeds) - 1) / 4), min(1, len(words) / 1000)]
+        z = np.dot(np.r_[np.log1p(sums), np.log1p(sure), pat], model.weight) + model.bias
+        assert np.isclose(score, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    assert (got.predicted == [m for _, m in marks]).mean() > 0.99
