@@ -1,17 +1,27 @@
 """N-gram Jaccard join: near-duplicate texts by exact set similarity of word shingles.
 
 Method: set-relation skipping. Shingles are put in one global order, rare first, and each set is indexed
-under its prefix (no two sets reach the threshold without a common prefix token). An index list is laid
-out in blocks by component; a block whose sets have the answer already is skipped whole. Sizes and positions
-bound the overlap that a pair can still have, entry by entry. Equal sets share all answers and are joined
-once; the distances of two sets to a common pivot bound their own from below (Jaccard distance is a
-metric) and refuse pairs, every other pair is compared in full. Blocks by position and answers derived
-from the most similar set, which belong to the method, are not implemented.
-
-Plan at scale: two passes over the texts. The first counts shingles in a slot table of fixed size (the
-order) and digests each set; the second sends packed prefixes to buckets of shingle ranges. Only tokens
-of two or more different sets leave the buckets. Candidate groups are cut in blocks of ``block`` sets,
-and block pairs are tiles; a tile returns a spanning forest of the links it finds, never all pairs.
+under its prefix (no two sets reach the threshold without a common prefix token).
+
+Index-level skipping. The place of a token in a set says how large a partner may be that meets the set there
+first (its ``reach``); a list is laid out in blocks by size, and an entry visits the block of the next
+sizes only if its position lets it reach that far, else the block is skipped whole. Blocks of one component
+carry their least size and greatest reach, so that two blocks which cannot hold a pair, or which have the
+answer already, are skipped without a look at their entries.
+
+Answer-level skipping. Equal sets share all answers and are joined once. A set is first compared with one
+leader, the set that shares most of its lists; where they link, it takes over all that is known of the
+leader (its component), and is never compared inside it. What remains are pairs of blocks of different
+components. There a set's overlaps are derived from those that the most similar earlier set of its block has
+with the other block: the words in which the two differ bound every overlap from both sides, which refuses or
+accepts pairs, and correct the rest to the exact count. One link settles a pair of components.
+
+Plan at scale: two passes over the texts make the index. The first counts shingles in a slot table of fixed size
+(the order) and digests each set; the second sends packed prefixes to buckets of shingle ranges. Only tokens
+of two or more different sets leave the buckets. A round of leaders moves each set at most once, so its
+shuffle is linear; rounds go on, with other leaders, while they still link many. Only members whose
+lists leave a pair of components open go to the last comparison, in tiles of ``block`` sets a side. No step
+forms pairs inside a component, or the closure of anything but links.
 """
 
 from __future__ import annotations
@@ -118,7 +128,12 @@ def _prefixes(words: int, num: int, den: int, level, buckets: int, hot: int):
     return run
 
 
-def _repeated(hot: int):
+def reach(size, pos, num: int, den: int):
+    """Largest partner of a set of ``size`` that may share the token at ``pos`` first and still link."""
+    return (den * size - (num + den) * pos) // num
+
+
+def _repeated(hot: int, num: int, den: int):
     """Of a bucket: entries whose token stands in two different sets or more, or may do so elsewhere."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -132,10 +147,12 @@ def _repeated(hot: int):
         keep[1:] |= eq
         keep[:-1] |= eq
         keep |= (e["token"] >> U(56)).astype(np.int64) >= hot
-        e = e[keep]
-        return pa.table({"token": e["token"].astype(np.int64), "part_id": e["set"].astype(np.int64), "size": e["size"].astype(np.int32), "pos": e["pos"].astype(np.int32)})
+        far = reach(e["size"].astype(np.int64), e["pos"].astype(np.int64), num, den)
+        keep &= far * den >= e["size"].astype(np.int64) * num  # beyond that position it meets nobody
+        e, far = e[keep], far[keep]
+        return pa.table({"token": e["token"].astype(np.int64), "part_id": e["set"].astype(np.int64), "size": e["size"].astype(np.int32), "reach": far.astype(np.int32)})
 
-    return run, "token long, part_id long, size int, pos int"
+    return run, "token long, part_id long, size int, reach int"
 
 
 def _sets_of(words: int, wanted):
@@ -154,114 +171,253 @@ def _sets_of(words: int, wanted):
     return run
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of sorted distinct values."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    i = np.searchsorted(b, a)
+    i[i == len(b)] = 0
+    return int((b[i] == a).sum())
+
+
+def _keyed(batches, keys: int):
+    """Rows of sorted batches as (key, the other columns), one by one."""
+    for b in batches:
+        cols = [c.to_pylist() for c in b.columns]
+        for r in zip(*cols, strict=True):
+            yield r[:keys], r[keys:]
+
+
+_EDGE = "src long, dst long, linked boolean"
+
 
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+def _edges(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_())], names=["src", "dst", "linked"])
 
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
+
+def _against_leader(num: int, den: int):
+    """Rows (leader, part, member?, rep, shingles), sorted, a leader's own rows first: does a member link with it?"""
+
+    def run(batches):
+        at, own, out = None, [], []
+        for (leader, part, member), (rep, data) in _keyed(batches, 3):
+            x = np.frombuffer(data, U)
+            if (leader, part) != at:
+                at, own = (leader, part), []
+            if not member:
+                own.append(x)
+                continue
+            ok = False
+            for y in own:
+                c = _common(x, y)
+                ok |= den * c >= num * (len(x) + len(y) - c)
+            out.append((rep, leader, ok))
+            if len(out) >= 4096:
+                yield _edges(out)
+                out = []
+        if out:
+            yield _edges(out)
+
+    return run
 
 
-def links(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None, pivots: int = 8):
-    """Spanning forest of the links among ``sets`` (between the two sides, if given).
+def first_link(xs: list[np.ndarray], ys: list[np.ndarray], num: int, den: int) -> tuple[int, int] | None:
+    """Some pair (i, j) with xs[i] and ys[j] linked, or None; sets are sorted, distinct and not empty.
 
-    Index lists hold, per prefix token, blocks of (position, set). A block whose sets have the answer of
-    the set at hand (they are in its component) is skipped whole; other entries are skipped where size
-    and positions leave too small an overlap.
-    Distances to a few pivots are kept, and refuse pairs without a comparison where they can: with a
-    common pivot p, d(x, y) is at least |d(x, p) - d(y, p)|.
+    Lists of ``ys`` are sorted by reach, so the stretch that a set's size or position rules out is never read.
+    The overlaps of a set are derived from those of the most similar set before it, where that has them.
     """
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    # a local order, rare tokens first, is as good as a global one once the sets are here
-    every = np.concatenate(sets) if n else np.empty(0, U)
+    if not xs or not ys:
+        return None
+    every = np.concatenate(xs + ys)
     uniq, inv, cnt = np.unique(every, return_inverse=True, return_counts=True)
     rank = np.empty(len(uniq), np.int64)
     rank[np.lexsort((uniq, cnt))] = np.arange(len(uniq))
-    ranked = [np.sort(x) for x in np.split(rank[inv], np.cumsum(size)[:-1])] if n else []
-    freq = np.empty(len(uniq), np.int64)
-    freq[rank] = cnt
-    limit = 1 - num / den
-    forest, edges = _Forest(n), []
-    near = np.full((n, pivots), np.nan)  # distance to each pivot
-    chosen: list[int] = []
-    # index lists, in blocks of entries that one component holds
-    index: dict[int, dict[int, list[tuple[int, int]]]] = {}
-    for x in np.lexsort((np.arange(n), size)).tolist():
-        a = int(size[x])
-        if not a:
+    # a local order, rare tokens first, is as good as a global one once the sets are here
+    ranked = [np.sort(x) for x in np.split(rank[inv], np.cumsum([len(s) for s in xs + ys])[:-1])]
+    xs, ys = ranked[: len(xs)], ranked[len(xs) :]
+    na, nb = np.array([len(s) for s in xs]), np.array([len(s) for s in ys])
+    top = int(max(na.max(), nb.max()) * den // num) + 2
+
+    def prefix(sets, n):
+        p = prefix_length(n, num, den)
+        pos = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+        own = np.repeat(np.arange(len(n)), p)
+        return np.concatenate([s[:k] for s, k in zip(sets, p.tolist(), strict=True)]), own, np.minimum(top - 1, reach(n[own], pos, num, den))
+
+    token, owner, far = prefix(ys, nb)
+    key = token * top + (top - 1 - far)  # by token, the farthest reach first
+    o = np.argsort(key, kind="stable")
+    key, owner = key[o], owner[o]
+    xt, xo, xf = prefix(xs, na)
+    begin = np.searchsorted(key, xt * top)
+    stop = np.searchsorted(key, xt * top + (top - 1 - na[xo]), side="right")
+    many = max(1, len(xs))
+    edge = np.r_[0, np.cumsum(prefix_length(na, num, den))]
+    answers: list[dict[int, int]] = []
+    for i in range(len(xs)):
+        a, x = int(na[i]), xs[i]
+        met: list[np.ndarray] = []
+        for k in range(edge[i], edge[i + 1]):
+            if stop[k] > begin[k]:
+                y = owner[begin[k] : stop[k]]
+                met.append(y[nb[y] <= xf[k]])
+        mine: dict[int, int] = {}
+        answers.append(mine)
+        if not met:
             continue
-        mine = ranked[x]
-        p = prefix_length(a, num, den)
-        tokens = [(i, t) for i, t in enumerate(mine[:p].tolist()) if freq[t] > 1]
-        met: set[int] = set()
-        for i, t in tokens:
-            for key, entries in index.get(t, {}).items():
-                if forest.find(key) == forest.find(x):
-                    continue  # the whole block has x's answer already
-                for j, y in entries:
-                    if y in met or (side is not None and side[x] == side[y]):
-                        continue
-                    b = int(size[y])
-                    if b * den < a * num or 1 + min(a - i - 1, b - j - 1) < min_overlap(a, b, num, den):
-                        continue
-                    met.add(y)
-                    apart = np.abs(near[x] - near[y])
-                    if (apart > limit + 1e-9).any():
-                        continue
-                    c = len(np.intersect1d(mine, ranked[y], assume_unique=True))
-                    if y in chosen:
-                        near[x, chosen.index(y)] = 1 - c / (a + b - c)
-                    elif len(chosen) < pivots:
-                        near[y, len(chosen)], near[x, len(chosen)] = 0.0, 1 - c / (a + b - c)
-                        chosen.append(y)
-                    if den * c >= num * (a + b - c):
-                        edges.append((x, y))
-                        forest.join(x, y)
-                        break
-        root = forest.find(x)
-        for i, t in tokens:
-            index.setdefault(t, {}).setdefault(root, []).append((i, x))
-    return edges
-
-
-def _tile(num: int, den: int):
-    def run(t: pa.Table) -> pa.Table:
-        rep = t.column("rep").to_numpy()
-        o = np.argsort(rep, kind="stable")
-        rep = rep[o]
-        data = t.column("shingles").to_pylist()
-        sets = [np.frombuffer(data[i], U) for i in o.tolist()]
-        side = t.column("blk").to_numpy()[o]
-        two = len(np.unique(side)) > 1
-        e = links(sets, num, den, side if two else None)
-        return pa.table({"src": pa.array([int(rep[i]) for i, _ in e], pa.int64()), "dst": pa.array([int(rep[j]) for _, j in e], pa.int64())})
+        todo = np.unique(np.concatenate(met)).tolist()
+        # the most similar of the few sets before: its overlaps, corrected by what differs, are this set's
+        model, more, less = -1, x, x
+        for m in range(max(0, i - 4), i) if many > 1 else ():
+            if answers[m]:
+                plus, minus = np.setdiff1d(x, xs[m], assume_unique=True), np.setdiff1d(xs[m], x, assume_unique=True)
+                if len(plus) + len(minus) < min(len(more) + len(less), a // 2):
+                    model, more, less = m, plus, minus
+        for j in todo:
+            b = int(nb[j])
+            need = min_overlap(a, b, num, den)
+            c = answers[model].get(j) if model >= 0 else None
+            if c is None:
+                c = _common(x, ys[j])
+            elif c + len(more) < need:
+                continue  # refused by the other's answer
+            elif c - len(less) >= need:
+                return i, j  # accepted by it
+            else:
+                c += _common(more, ys[j]) - _common(less, ys[j])
+            if c >= need:
+                return i, j
+            mine[j] = c
+    return None
+
+
+def _settle(num: int, den: int):
+    """Rows (a, b, i, j, side, rep, shingles), sorted: a link between the two sides of each tile, if any."""
+
+    def run(batches):
+        at, reps, sets, out = None, ([], []), ([], []), []
+
+        def tile():
+            hit = first_link(*sets, num, den)
+            if hit:
+                out.append((reps[0][hit[0]], reps[1][hit[1]], True))
+
+        for key, (side, rep, data) in _keyed(batches, 4):
+            if key != at:
+                if at is not None:
+                    tile()
+                at, reps, sets = key, ([], []), ([], [])
+                if len(out) >= 4096:
+                    yield _edges(out)
+                    out = []
+            reps[side].append(rep)
+            sets[side].append(np.frombuffer(data, U))
+        if at is not None:
+            tile()
+        if out:
+            yield _edges(out)
 
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 26, block: int = 512, bucket_entries: int = 400_000, hot_level: int = slots.TOP) -> DataFrame:
+_SALTS = 32
+
+
+class _Index:
+    """Lists of (token, rep, size, reach), and the sets of their members."""
+
+    def __init__(self, scratch: Scratch, entries: DataFrame, sets: DataFrame, num: int, den: int, hot: int, block: int):
+        self.scratch, self.entries, self.sets, self.num, self.den, self.block = scratch, entries, sets, num, den, block
+        self.step = math.log(den / num)
+        # a list that may be very long is dealt over several tasks wherever it is joined
+        self.long = F.shiftrightunsigned("token", 56) >= hot
+        self.salt = F.when(self.long, F.pmod(F.xxhash64("rep"), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int").alias("salt")
+        self.salts = F.explode(F.when(self.long, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+
+    def named(self, comp: DataFrame | None) -> DataFrame:
+        """Entries with the component of each set."""
+        if comp is None:
+            return self.entries.withColumn("comp", F.col("rep"))
+        return self.entries.join(comp, self.entries["rep"] == comp["node"], "left").select("token", "rep", "size", "reach", F.coalesce("component", "rep").alias("comp"))
+
+    def _class(self, size):
+        return F.floor(F.log(size + F.lit(0.5)) / self.step).cast("int")
+
+    def leaders(self, comp: DataFrame | None, turn: int) -> DataFrame:
+        """(rep, leader): for each set the leader, of another component, with which it shares most lists.
+
+        Each block (token, class of sizes) has one leader. A set looks into the block of its sizes, and into the
+        next one if its position reaches there.
+        """
+        e = self.named(comp).withColumn("cls", self._class(F.col("size")))
+        pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("leader"), F.col("size").alias("l_size"), F.col("reach").alias("l_reach"), F.col("comp").alias("l_comp"))).alias("l")
+        lead = e.groupBy("token", "cls").agg(pick).select("token", "cls", "l.*").select("*", self.salts)
+        further = self._class(F.col("reach")) > F.col("cls")
+        seek = e.withColumn("cls", F.explode(F.when(further, F.array(F.col("cls"), F.col("cls") + 1)).otherwise(F.array("cls")))).select("*", self.salt)
+        can = seek.join(lead, ["token", "cls", "salt"]).where("comp <> l_comp and l_size <= reach and size <= l_reach")
+        shared = can.groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("n"))
+        best = shared.groupBy("rep").agg(F.max(F.struct("n", -F.col("leader"), "leader")).alias("m"))
+        return best.select("rep", F.col("m.leader").alias("leader"))
+
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """(src, dst, linked) of (rep, leader) pairs; a leader of many is compared in parts."""
+        parts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / self.block).cast("int").alias("parts"))
+        member = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("member"), "rep")
+        heads = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"), F.col("leader").alias("rep"))
+        rows = member.union(heads).join(self.sets, "rep").select("leader", "part", "member", "rep", "shingles")
+        rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "member")
+        return rows.mapInArrow(_against_leader(self.num, self.den), _EDGE)
+
+    def open_pairs(self, comp: DataFrame | None, refused: DataFrame) -> DataFrame:
+        """(a, b, side, rep): members that may link components a < b, as far as the lists tell."""
+        e = self.named(comp)
+        spread = e.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        e = e.join(spread, "token", "left_semi")
+        block = e.groupBy("token", "comp").agg(F.min("size").alias("least"), F.max("reach").alias("reach"))
+        two = block.alias("x").join(block.alias("y"), "token").where("x.comp < y.comp and x.least <= y.reach and y.least <= x.reach")
+        two = two.selectExpr("token", "x.comp as a", "y.comp as b", "x.least as a_least", "x.reach as a_reach", "y.least as b_least", "y.reach as b_reach")
+        # single sets that were compared as member and leader need no second look
+        done = refused.selectExpr("least(src, dst) as a", "greatest(src, dst) as b").distinct()
+        if comp is not None:
+            done = done.join(comp, done["a"] == comp["node"], "left_anti").join(comp, done["b"] == comp["node"], "left_anti")
+        two = two.join(done, ["a", "b"], "left_anti")
+        out = None
+        for side, me, you in ((0, "a", "b"), (1, "b", "a")):
+            part = two.select("token", F.col(me).alias("comp"), "a", "b", F.col(f"{you}_least").alias("o_least"), F.col(f"{you}_reach").alias("o_reach"))
+            part = part.join(e, ["token", "comp"]).where("size <= o_reach and o_least <= reach").select("a", "b", F.lit(side).alias("side"), "rep")
+            out = part if out is None else out.union(part)
+        return out.distinct()
+
+    def settle(self, halves: DataFrame) -> DataFrame:
+        """Links between the components of open pairs, in tiles of ``block`` sets a side."""
+        n = lambda side: F.ceil(F.count(F.when(F.col("side") == side, 1)) / self.block).cast("int")
+        count = halves.groupBy("a", "b").agg(n(0).alias("na"), n(1).alias("nb")).where("na > 0 and nb > 0")
+        keyed = halves.join(count, ["a", "b"])
+        own = F.pmod(F.xxhash64("rep"), F.when(F.col("side") == 0, F.col("na")).otherwise(F.col("nb"))).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("nb")).otherwise(F.col("na")) - 1)).alias("o")
+        dealt = keyed.select("a", "b", "side", "rep", own.alias("me"), other)
+        i, j = (F.when(F.col("side") == k, F.col("me")).otherwise(F.col("o")) for k in (0, 1))
+        rows = dealt.select("a", "b", i.alias("i"), j.alias("j"), "side", "rep").join(self.sets, "rep").select("a", "b", "i", "j", "side", "rep", "shingles")
+        rows = rows.repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j")
+        return rows.mapInArrow(_settle(self.num, self.den), _EDGE)
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 26, block: int = 512, bucket_entries: int = 400_000, hot_level: int = slots.TOP, rounds: int = 4) -> DataFrame:
     """Return ``doc_id, n_shingles, set_id, component_id`` for every row of ``docs``.
 
     ``threshold`` (num, den): documents link when den * intersection >= num * union of their sets of
     ``words``-word shingles (A-Z lower-cased, words split at ASCII space; fewer words: one shingle).
-    ``component_id`` is the smallest id reachable by links. ``sketch_bits`` bounds the broadcast order
-    table (2**sketch_bits / 2 bytes), ``block`` the sets in a tile.
+    ``component_id`` is the smallest id reachable by links. These decide speed alone: ``sketch_bits`` bounds the
+    broadcast order table (2**sketch_bits / 2 bytes), ``block`` the sets of a tile's side, ``rounds`` the
+    rounds of leaders (pairs that they leave open are settled after them); a task of the first pass counts a
+    repeated set's shingles once, as far as it remembers sets (262,144 digests).
 
     Null or empty text: size 0, linked with nothing, component its own id. Null id: its size, a null
-    component, links nothing. Repeated ids name one node: rows sharing an id share its component.
-    Empty table: no rows. Other columns of ``docs`` are ignored.
+    component, links nothing. Repeated ids name one node: rows sharing an id share its component, whatever
+    their texts. Empty table: no rows. Other columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
     num, den = threshold
@@ -274,44 +430,56 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     scratch.drop(first)
 
     full = own.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("part_id").alias("part_id"), F.min("n_shingles").alias("n"))
+    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("part_id").alias("part_id"))
     total = full.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(64, math.ceil(total * (den - num) / den / bucket_entries))
     packed = src.select("text").mapInArrow(_prefixes(words, num, den, level, buckets, hot_level), "bucket int, entries binary")
-    run, schema = _repeated(hot_level)
+    run, schema = _repeated(hot_level, num, den)
     entries = packed.groupBy("bucket").applyInArrow(run, schema)
-    parts = classes.select("part_id", "rep")
-    entries = scratch.cut(entries.join(parts, "part_id").select("token", "rep", "size", "pos"), "entries")
+    entries = scratch.cut(entries.join(classes.select("part_id", "rep"), "part_id").select("token", "rep", "size", "reach"), "entries")
     level.destroy()
-
-    # candidate groups: each entry hangs on the least set of its list, so a list never leaves its group
-    star = entries.groupBy("token").agg(F.min("rep").alias("pivot"))
-    cand = entries.join(star, "token").where("rep <> pivot").select(F.col("rep").alias("src"), F.col("pivot").alias("dst")).distinct()
-    groups = components(cand, scratch)
-    length = classes.groupBy("rep").agg(F.max("n").alias("n"))
-    groups = groups.join(length, groups["node"] == length["rep"]).select("rep", F.col("component").alias("grp"), "n")
-    # a group over one block is cut by size first: linked sets are in one class of sizes or in neighbours
-    load = F.greatest(F.count(F.lit(1)) / block, F.sum("n") / (block * 1000))
-    whole = groups.groupBy("grp").agg((load > 1).alias("large"))
-    cls = F.floor(F.log(F.col("n") + 0.5) / math.log(den / num)).cast("int")
-    keyed = groups.join(whole, "grp").withColumn("cls", F.explode(F.when(F.col("large"), F.array(cls, cls + 1)).otherwise(F.array(F.lit(-1)))))
-    sizes = keyed.groupBy("grp", "cls").agg(F.ceil(load).cast("int").alias("blocks"))
-    placed = keyed.join(sizes, ["grp", "cls"]).select("rep", "grp", "cls", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("blk"))
-    placed = scratch.cut(placed, "placed")
-    wanted = spark.sparkContext.broadcast(slots.members(placed, "rep", 27))
-    sets = src.mapInArrow(_sets_of(words, wanted), "rep long, set_id binary, shingles binary").groupBy("rep", "set_id").agg(F.first("shingles").alias("shingles"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    tiles = placed.join(sets, "rep").select("rep", "shingles", "grp", "cls", "blk", other).select("rep", "shingles", "grp", "cls", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
-    edges = scratch.cut(tiles.groupBy("grp", "cls", "i", "j").applyInArrow(_tile(num, den), "src long, dst long"), "links")
+    wanted = spark.sparkContext.broadcast(slots.members(entries, "rep", 27))
+    sets = src.mapInArrow(_sets_of(words, wanted), "rep long, set_id binary, shingles binary")
+    same = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("k > 1")
+    same = scratch.cut(same, "repeated")
+    if not same.isEmpty():
+        sets = sets.dropDuplicates(["rep", "set_id"])
+    sets = scratch.cut(sets.select("rep", "shingles"), "sets")
     wanted.destroy()
     del level, wanted
     release()
-    linked = components(edges, scratch)
+
+    # classes that an id is in belong together
+    many = full.join(same.where("lo <> hi").select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_id").distinct()
+    edges = [scratch.cut(many.join(classes, "set_id").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"), F.lit(True).alias("linked")), "same")]
+    index = _Index(scratch, entries, sets, num, den, hot_level, block)
+    comp = None if edges[0].isEmpty() else components(edges[0], scratch)
+    for turn in range(rounds):
+        led = scratch.cut(index.leaders(comp, turn), "leaders")
+        found = scratch.cut(index.compare(led), "round")
+        scratch.drop(led)
+        edges.append(found)
+        tried, won = found.agg(F.count(F.lit(1)), F.count_if("linked")).first()
+        if won:
+            comp = components(_union(edges).where("linked"), scratch)
+        if won * 4 <= tried:
+            break
+    halves = scratch.cut(index.open_pairs(comp, _union(edges).where("not linked")), "open")
+    edges.append(scratch.cut(index.settle(halves), "settled"))
+    linked = components(_union(edges).where("linked"), scratch)
+    scratch.drop(entries, sets, halves, *edges, same)
     named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     low = own.join(named, "set_id", "left")
     return low.select("doc_id", "n_shingles", "set_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Drop every document that is not the smallest id of its near-duplicate component.
 

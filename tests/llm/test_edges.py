@@ -59,8 +59,8 @@ def test_ngram_join(odd, none):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 7, 9, 10, 11]
 
 
-@pytest.mark.parametrize("block", [3, 512])
-def test_ngram_links_equal_all_pairs(spark, block):
+@pytest.mark.parametrize(("block", "rounds"), [(3, 4), (512, 4), (3, 0), (512, 1)])
+def test_ngram_links_equal_all_pairs(spark, block, rounds):
     rng = np.random.RandomState(block)
     rows = []
     for g in range(8):
@@ -81,10 +81,38 @@ def test_ngram_links_equal_all_pairs(spark, block):
                 if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and up[i] != up[j]:
                     up[i] = up[j] = min(up[i], up[j])
                     changed = True
-    got = ngram_join.jaccard_components(df, sketch_bits=16, block=block, hot_level=3).toPandas().sort_values("doc_id")
+    got = ngram_join.jaccard_components(df, sketch_bits=16, block=block, hot_level=3, rounds=rounds).toPandas().sort_values("doc_id")
     assert got.component_id.tolist() == up and got.n_shingles.tolist() == [len(s) for s in sets]
 
 
+def test_ngram_join_of_ids_with_different_texts(spark):
+    """Rows of one id share its component, which joins what their texts link with."""
+    text = [" ".join(f"{p}{i}" for i in range(30)) for p in "abcd"]
+    rows = [(3, text[1]), (5, text[0]), (5, text[1]), (7, text[0]), (7, text[2]), (9, text[2]), (11, text[3]), (11, None)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (7, 3), (9, 3), (11, 11), (11, 11)]
+
+
+def test_first_link_is_found_where_there_is_one():
+    """Against all pairs, with near copies so that overlaps are derived, refused and accepted."""
+    rng = np.random.RandomState(8)
+    found = 0
+    for trial in range(300):
+        base = rng.choice(400, 60, replace=False)
+        far = np.r_[base[: rng.randint(44, 60)], rng.choice(np.arange(400, 800), rng.randint(1, 8), replace=False)]
+
+        def near(x, n):
+            return np.unique(np.r_[x[rng.rand(len(x)) > 0.04], rng.randint(0, 3000, rng.randint(0, 4))]).astype(np.uint64)
+
+        xs = [near(base, 60) for _ in range(rng.randint(1, 9))]
+        ys = [near(far, 60) for _ in range(rng.randint(1, 9))]
+        every = {(i, j) for i, x in enumerate(xs) for j, y in enumerate(ys) if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))}
+        hit = ngram_join.first_link(xs, ys, 80, 100)
+        assert hit in every if every else hit is None
+        found += bool(every)
+    assert 30 < found < 270
+
+
 def test_substring_dedup(odd, none):
     out = substring_dedup.remove_repeats(odd)
     assert out.columns == [*odd.columns, "kept_text", "n_words", "n_removed"]
