@@ -11,17 +11,17 @@ answer already, are skipped without a look at their entries.
 
 Answer-level skipping. Equal sets share all answers and are joined once. A set is first compared with one
 leader, the set that shares most of its lists; where they link, it takes over all that is known of the
-leader (its component), and is never compared inside it. What remains are pairs of blocks of different
-components. There a set's overlaps are derived from those that the most similar earlier set of its block has
-with the other block: the words in which the two differ bound every overlap from both sides, which refuses or
-accepts pairs, and correct the rest to the exact count. One link settles a pair of components.
+leader (its component), and is never compared inside it. Members that the leader refuses are compared with the
+other members below it, in tiles: there a set's overlaps are derived from those of the most similar set before
+it, corrected through the lists of the tokens in which the two differ. A list whose sets are of one
+component, or all below one leader, has all its answers and is dropped. Blocks of different components and
+leaders that remain after some rounds of leaders are compared in the same way.
 
 Plan at scale: two passes over the texts make the index. The first counts shingles in a slot table of fixed size
 (the order) and digests each set; the second sends packed prefixes to buckets of shingle ranges. Only tokens
-of two or more different sets leave the buckets. A round of leaders moves each set at most once, so its
-shuffle is linear; rounds go on, with other leaders, while they still link many. Only members whose
-lists leave a pair of components open go to the last comparison, in tiles of ``block`` sets a side. No step
-forms pairs inside a component, or the closure of anything but links.
+of two or more different sets that may meet there leave the buckets. A round sends each set to one leader, so
+its shuffle is linear; tiles hold ``block`` sets a side and return a forest of their links, never pairs. No step
+forms the closure of anything but links.
 """
 
 from __future__ import annotations
@@ -133,6 +133,18 @@ def reach(size, pos, num: int, den: int):
     return (den * size - (num + den) * pos) // num
 
 
+def _others(v: np.ndarray, head: np.ndarray, pick) -> np.ndarray:
+    """For each value the extreme (``pick``) of the other values of its stretch; stretches begin at ``head``."""
+    at = np.flatnonzero(head)
+    group = np.cumsum(head) - 1
+    none = np.iinfo(np.int64).max if pick is np.minimum else -1
+    best = pick.reduceat(v, at)
+    mine = v == best[group]
+    twice = np.add.reduceat(mine.astype(np.int64), at) > 1
+    second = pick.reduceat(np.where(mine, none, v), at)
+    return np.where(mine & ~twice[group], second[group], best[group])
+
+
 def _repeated(hot: int, num: int, den: int):
     """Of a bucket: entries whose token stands in two different sets or more, or may do so elsewhere."""
 
@@ -150,6 +162,13 @@ def _repeated(hot: int, num: int, den: int):
         far = reach(e["size"].astype(np.int64), e["pos"].astype(np.int64), num, den)
         keep &= far * den >= e["size"].astype(np.int64) * num  # beyond that position it meets nobody
         e, far = e[keep], far[keep]
+        # an entry stays if some other set of its list is small enough for it, and some other reaches as far as it
+        if len(e):
+            head = np.r_[True, e["token"][1:] != e["token"][:-1]]
+            size = e["size"].astype(np.int64)
+            ok = (_others(size, head, np.minimum) <= far) & (_others(far, head, np.maximum) >= size)
+            ok |= (e["token"] >> U(56)).astype(np.int64) >= hot
+            e, far = e[ok], far[ok]
         return pa.table({"token": e["token"].astype(np.int64), "part_id": e["set"].astype(np.int64), "size": e["size"].astype(np.int32), "reach": far.astype(np.int32)})
 
     return run, "token long, part_id long, size int, reach int"
@@ -223,87 +242,68 @@ def _against_leader(num: int, den: int):
     return run
 
 
-def first_link(xs: list[np.ndarray], ys: list[np.ndarray], num: int, den: int) -> tuple[int, int] | None:
-    """Some pair (i, j) with xs[i] and ys[j] linked, or None; sets are sorted, distinct and not empty.
+def links(xs: list[np.ndarray], ys: list[np.ndarray], num: int, den: int, same: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs (i, j) of linked xs[i] and ys[j] that span the components which such links form.
 
-    Lists of ``ys`` are sorted by reach, so the stretch that a set's size or position rules out is never read.
-    The overlaps of a set are derived from those of the most similar set before it, where that has them.
+    Sets are sorted, distinct and not empty; ``same[i]`` is the place in ``ys`` that xs[i] has itself (-1: none).
+    A set's overlaps with all of ``ys`` are derived from those of the most similar set before it: the lists of
+    the tokens in which the two differ correct them. Only the first set, and one that is like no other, reads
+    the lists of all its tokens.
     """
-    if not xs or not ys:
-        return None
-    every = np.concatenate(xs + ys)
-    uniq, inv, cnt = np.unique(every, return_inverse=True, return_counts=True)
-    rank = np.empty(len(uniq), np.int64)
-    rank[np.lexsort((uniq, cnt))] = np.arange(len(uniq))
-    # a local order, rare tokens first, is as good as a global one once the sets are here
-    ranked = [np.sort(x) for x in np.split(rank[inv], np.cumsum([len(s) for s in xs + ys])[:-1])]
-    xs, ys = ranked[: len(xs)], ranked[len(xs) :]
-    na, nb = np.array([len(s) for s in xs]), np.array([len(s) for s in ys])
-    top = int(max(na.max(), nb.max()) * den // num) + 2
-
-    def prefix(sets, n):
-        p = prefix_length(n, num, den)
-        pos = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
-        own = np.repeat(np.arange(len(n)), p)
-        return np.concatenate([s[:k] for s, k in zip(sets, p.tolist(), strict=True)]), own, np.minimum(top - 1, reach(n[own], pos, num, den))
-
-    token, owner, far = prefix(ys, nb)
-    key = token * top + (top - 1 - far)  # by token, the farthest reach first
-    o = np.argsort(key, kind="stable")
-    key, owner = key[o], owner[o]
-    xt, xo, xf = prefix(xs, na)
-    begin = np.searchsorted(key, xt * top)
-    stop = np.searchsorted(key, xt * top + (top - 1 - na[xo]), side="right")
-    many = max(1, len(xs))
-    edge = np.r_[0, np.cumsum(prefix_length(na, num, den))]
-    answers: list[dict[int, int]] = []
-    for i in range(len(xs)):
-        a, x = int(na[i]), xs[i]
-        met: list[np.ndarray] = []
-        for k in range(edge[i], edge[i + 1]):
-            if stop[k] > begin[k]:
-                y = owner[begin[k] : stop[k]]
-                met.append(y[nb[y] <= xf[k]])
-        mine: dict[int, int] = {}
-        answers.append(mine)
-        if not met:
-            continue
-        todo = np.unique(np.concatenate(met)).tolist()
-        # the most similar of the few sets before: its overlaps, corrected by what differs, are this set's
-        model, more, less = -1, x, x
-        for m in range(max(0, i - 4), i) if many > 1 else ():
-            if answers[m]:
-                plus, minus = np.setdiff1d(x, xs[m], assume_unique=True), np.setdiff1d(xs[m], x, assume_unique=True)
-                if len(plus) + len(minus) < min(len(more) + len(less), a // 2):
-                    model, more, less = m, plus, minus
-        for j in todo:
-            b = int(nb[j])
-            need = min_overlap(a, b, num, den)
-            c = answers[model].get(j) if model >= 0 else None
-            if c is None:
-                c = _common(x, ys[j])
-            elif c + len(more) < need:
-                continue  # refused by the other's answer
-            elif c - len(less) >= need:
-                return i, j  # accepted by it
-            else:
-                c += _common(more, ys[j]) - _common(less, ys[j])
-            if c >= need:
-                return i, j
-            mine[j] = c
-    return None
+    n = len(ys)
+    if not xs or not n:
+        return []
+    size = np.array([len(y) for y in ys])
+    token = np.concatenate(ys)
+    owner = np.repeat(np.arange(n), size)
+    o = np.argsort(token, kind="stable")
+    token, owner = token[o], owner[o]
+
+    def overlaps(t):
+        lo, hi = np.searchsorted(token, t), np.searchsorted(token, t, side="right")
+        k = hi - lo
+        at = np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        return np.bincount(owner[at], minlength=n)
+
+    up = np.arange(len(xs) + n)
+
+    def find(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return int(i)
+
+    if same is not None:
+        for i in np.flatnonzero(same >= 0).tolist():
+            up[find(i)] = find(len(xs) + int(same[i]))
+    out: list[tuple[int, int]] = []
+    kept: list[tuple[np.ndarray, np.ndarray]] = []  # a few sets before, with their overlaps
+    for i, x in enumerate(xs):
+        plus, minus, base = x, x[:0], None
+        for s, c in kept:
+            more, less = np.setdiff1d(x, s, assume_unique=True), np.setdiff1d(s, x, assume_unique=True)
+            if len(more) + len(less) < len(plus) + len(minus):
+                plus, minus, base = more, less, c
+        c = overlaps(plus) if base is None else base + overlaps(plus) - overlaps(minus)
+        kept = [*kept[-3:], (x, c)]
+        for j in np.flatnonzero(den * c >= num * (len(x) + size - c)).tolist():
+            u, v = find(i), find(len(xs) + j)
+            if u != v:
+                up[u] = v
+                out.append((i, j))
+    return out
 
 
 def _settle(num: int, den: int):
-    """Rows (a, b, i, j, side, rep, shingles), sorted: a link between the two sides of each tile, if any."""
+    """Rows (a, b, i, j, side, rep, shingles), sorted: links between the two sides of each tile, without cycles."""
 
     def run(batches):
         at, reps, sets, out = None, ([], []), ([], []), []
 
         def tile():
-            hit = first_link(*sets, num, den)
-            if hit:
-                out.append((reps[0][hit[0]], reps[1][hit[1]], True))
+            place = {r: k for k, r in enumerate(reps[1])}
+            same = np.array([place.get(r, -1) for r in reps[0]], np.int64)
+            out.extend((reps[0][i], reps[1][j], True) for i, j in links(*sets, num, den, same))
 
         for key, (side, rep, data) in _keyed(batches, 4):
             if key != at:
@@ -332,6 +332,7 @@ class _Index:
     def __init__(self, scratch: Scratch, entries: DataFrame, sets: DataFrame, num: int, den: int, hot: int, block: int):
         self.scratch, self.entries, self.sets, self.num, self.den, self.block = scratch, entries, sets, num, den, block
         self.step = math.log(den / num)
+        self.labels: list[str] = []
         # a list that may be very long is dealt over several tasks wherever it is joined
         self.long = F.shiftrightunsigned("token", 56) >= hot
         self.salt = F.when(self.long, F.pmod(F.xxhash64("rep"), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int").alias("salt")
@@ -341,7 +342,22 @@ class _Index:
         """Entries with the component of each set."""
         if comp is None:
             return self.entries.withColumn("comp", F.col("rep"))
-        return self.entries.join(comp, self.entries["rep"] == comp["node"], "left").select("token", "rep", "size", "reach", F.coalesce("component", "rep").alias("comp"))
+        e = self.entries.join(comp, self.entries["rep"] == comp["node"], "left")
+        return e.select(*self.entries.columns, F.coalesce("component", "rep").alias("comp"))
+
+    def advance(self, comp: DataFrame | None, led: DataFrame, label: str) -> None:
+        """Mark entries with the leader of the round (0: none), and drop lists whose sets have all their answers:
+        those of one component, and those whose sets were compared with each other below one leader.
+        """
+        old = self.entries
+        e = self.named(comp).join(led.select("rep", F.col("leader").alias(label)), "rep", "left")
+        # a set without a leader heads, if any, its own group
+        e = e.withColumn(label, F.coalesce(label, "rep"))
+        live = e.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min(label).alias("c"), F.max(label).alias("d"))
+        live = live.where("a <> b and c <> d").select("token")
+        self.entries = self.scratch.cut(e.join(live, "token", "left_semi").drop("comp"), "entries")
+        self.labels.append(label)
+        self.scratch.drop(old)
 
     def _class(self, size):
         return F.floor(F.log(size + F.lit(0.5)) / self.step).cast("int")
@@ -371,28 +387,31 @@ class _Index:
         rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "member")
         return rows.mapInArrow(_against_leader(self.num, self.den), _EDGE)
 
-    def open_pairs(self, comp: DataFrame | None, refused: DataFrame) -> DataFrame:
-        """(a, b, side, rep): members that may link components a < b, as far as the lists tell."""
+    def below_leaders(self, found: DataFrame) -> DataFrame:
+        """Links that members which do not link with their leader have with other members of it."""
+        lost = found.where("not linked").select(F.col("dst").alias("a"), F.col("src").alias("rep"), F.lit(0).alias("side"))
+        every = found.select(F.col("dst").alias("a"), F.col("src").alias("rep"), F.lit(1).alias("side"))
+        return self.settle(lost.union(every).withColumn("b", F.col("a")))
+
+    def open_pairs(self, comp: DataFrame | None) -> DataFrame:
+        """(a, b, side, rep): members that may link components a < b, as far as lists and leaders tell."""
         e = self.named(comp)
-        spread = e.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        e = e.join(spread, "token", "left_semi")
-        block = e.groupBy("token", "comp").agg(F.min("size").alias("least"), F.max("reach").alias("reach"))
-        two = block.alias("x").join(block.alias("y"), "token").where("x.comp < y.comp and x.least <= y.reach and y.least <= x.reach")
-        two = two.selectExpr("token", "x.comp as a", "y.comp as b", "x.least as a_least", "x.reach as a_reach", "y.least as b_least", "y.reach as b_reach")
-        # single sets that were compared as member and leader need no second look
-        done = refused.selectExpr("least(src, dst) as a", "greatest(src, dst) as b").distinct()
-        if comp is not None:
-            done = done.join(comp, done["a"] == comp["node"], "left_anti").join(comp, done["b"] == comp["node"], "left_anti")
-        two = two.join(done, ["a", "b"], "left_anti")
+        by = ["comp", *self.labels]
+        block = e.groupBy("token", *by).agg(F.min("size").alias("least"), F.max("reach").alias("reach"))
+        x, y = block.alias("x"), block.alias("y")
+        two = x.join(y, "token").where("x.comp < y.comp and x.least <= y.reach and y.least <= x.reach")
+        for label in self.labels:
+            two = two.where(f"x.{label} <> y.{label}")
+        two = two.selectExpr("token", "x.comp as a", "y.comp as b", *(f"x.{n} as a_{n}" for n in (*self.labels, "least", "reach")), *(f"y.{n} as b_{n}" for n in (*self.labels, "least", "reach")))
         out = None
         for side, me, you in ((0, "a", "b"), (1, "b", "a")):
-            part = two.select("token", F.col(me).alias("comp"), "a", "b", F.col(f"{you}_least").alias("o_least"), F.col(f"{you}_reach").alias("o_reach"))
-            part = part.join(e, ["token", "comp"]).where("size <= o_reach and o_least <= reach").select("a", "b", F.lit(side).alias("side"), "rep")
+            part = two.select("token", "a", "b", F.col(me).alias("comp"), *(F.col(f"{me}_{n}").alias(n) for n in self.labels), F.col(f"{you}_least").alias("o_least"), F.col(f"{you}_reach").alias("o_reach"))
+            part = part.join(e, ["token", *by]).where("size <= o_reach and o_least <= reach").select("a", "b", F.lit(side).alias("side"), "rep")
             out = part if out is None else out.union(part)
         return out.distinct()
 
     def settle(self, halves: DataFrame) -> DataFrame:
-        """Links between the components of open pairs, in tiles of ``block`` sets a side."""
+        """Links between the two sides of (a, b, side, rep), in tiles of ``block`` sets a side."""
         n = lambda side: F.ceil(F.count(F.when(F.col("side") == side, 1)) / self.block).cast("int")
         count = halves.groupBy("a", "b").agg(n(0).alias("na"), n(1).alias("nb")).where("na > 0 and nb > 0")
         keyed = halves.join(count, ["a", "b"])
@@ -405,7 +424,7 @@ class _Index:
         return rows.mapInArrow(_settle(self.num, self.den), _EDGE)
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 26, block: int = 512, bucket_entries: int = 400_000, hot_level: int = slots.TOP, rounds: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 26, block: int = 512, bucket_entries: int = 400_000, hot_level: int = slots.TOP, rounds: int = 2) -> DataFrame:
     """Return ``doc_id, n_shingles, set_id, component_id`` for every row of ``docs``.
 
     ``threshold`` (num, den): documents link when den * intersection >= num * union of their sets of
@@ -457,17 +476,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     for turn in range(rounds):
         led = scratch.cut(index.leaders(comp, turn), "leaders")
         found = scratch.cut(index.compare(led), "round")
+        edges += [found, scratch.cut(index.below_leaders(found), "below")]
+        comp = components(_union(edges).where("linked"), scratch)
+        index.advance(comp, led, f"leader_{turn}")
         scratch.drop(led)
-        edges.append(found)
-        tried, won = found.agg(F.count(F.lit(1)), F.count_if("linked")).first()
-        if won:
-            comp = components(_union(edges).where("linked"), scratch)
-        if won * 4 <= tried:
+        if index.entries.isEmpty():
             break
-    halves = scratch.cut(index.open_pairs(comp, _union(edges).where("not linked")), "open")
+    halves = scratch.cut(index.open_pairs(comp), "open")
     edges.append(scratch.cut(index.settle(halves), "settled"))
     linked = components(_union(edges).where("linked"), scratch)
-    scratch.drop(entries, sets, halves, *edges, same)
+    scratch.drop(index.entries, sets, halves, *edges, same)
     named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     low = own.join(named, "set_id", "left")
     return low.select("doc_id", "n_shingles", "set_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
