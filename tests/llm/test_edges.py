@@ -273,7 +273,7 @@ def test_embedding_dedup(spark, block):
 
 def test_nearest(spark):
     df = spark.createDataFrame(vector_rows(), VEC)
-    got = nearest.search(df, df.where("vec_id % 5 = 0 or vec_id > 58"), k=6, query_rows=3, block_rows=7, per_group=2).toPandas()
+    got = nearest.search(df, df.where("vec_id % 5 = 0 or vec_id > 58"), k=6, query_rows=3, vector_rows=7).toPandas()
     x = np.array([v for _, v, _ in vector_rows()[:60]], np.float32).astype(float)
     for q in range(0, 60, 5):
         s = [(-sum((a * b for a, b in zip(x[q], x[j], strict=True)), 0.0), j) for j in range(60) if j != q]
@@ -285,6 +285,55 @@ def test_nearest(spark):
     assert nearest.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def extreme_rows():
+    """Very small, very large and mixed components, other lengths, and repeated ids."""
+    rng = np.random.RandomState(4)
+    base = rng.randn(6, 4)
+    rows = [(i, base[i]) for i in range(6)]
+    rows += [(10 + i, base[i] * 1e-170) for i in range(3)] + [(20 + i, base[i] * 1e200) for i in range(3)]
+    rows += [(30, np.array([1e200, 1e-200, 0, 0])), (31, np.array([1e-200, 0, 0, 0]))]
+    other = rng.randn(7)
+    rows += [(40, other), (41, other * 2), (42, -other), (43, other[:6])]
+    rows += [(50, base[5] + 0.01)] * 40 + [(51, base[5])] * 3 + [(51, base[0])] * 2
+    return [(i, [float(z) for z in v]) for i, v in rows]
+
+
+@pytest.mark.parametrize("block", [5, 8192])
+def test_embedding_dedup_of_extreme_vectors(spark, block):
+    rows = extreme_rows()
+    got = {r["vec_id"]: tuple(r)[1:] for r in embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95, block=block).collect()}
+    unit = [(i, np.array(v) / max(map(abs, v))) for i, v in rows]
+    unit = [(i, v / np.linalg.norm(v)) for i, v in unit]
+    ids = sorted({i for i, _ in rows})
+    n, comp = dict.fromkeys(ids, 0), {i: i for i in ids}
+    pairs = [(i, j) for i, u in unit for j, v in unit if i != j and len(u) == len(v) and u @ v >= 0.95]
+    for i, _ in pairs:
+        n[i] += 1
+    for _ in ids:
+        for i, j in pairs:
+            comp[i] = min(comp[i], comp[j])
+    assert got == {i: (n[i], comp[i], comp[i] == i) for i in ids}
+
+
+@pytest.mark.parametrize("rows_to_a_tile", [3, 8192])
+def test_nearest_of_extreme_vectors(spark, rows_to_a_tile):
+    rows = extreme_rows()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.search(df, df, k=4, query_rows=rows_to_a_tile, vector_rows=rows_to_a_tile).orderBy("query_id", "rank").collect()
+    want = []
+    for q in sorted({i for i, _ in rows}):
+        best = {}
+        for i, u in rows:
+            for j, v in rows:
+                if i == q and j != q and len(u) == len(v):
+                    s = 0.0
+                    for a, b in zip(u, v, strict=True):
+                        s += a * b
+                    best[j] = max(best.get(j, -np.inf), -np.inf if np.isnan(s) else s)
+        want += [(q, k + 1, j, s) for k, (j, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:4])]
+    assert [tuple(r) for r in got] == want
+
+
 def test_toxicity(odd, none, spark):
     labels = spark.createDataFrame([(1, 0), (2, None), (None, 1), (6, 0)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
