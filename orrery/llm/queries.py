@@ -181,7 +181,7 @@ def op6_warc(spark, sf_dir):
 
     path = Scratch(spark, "warc").path("store")
     warc.write(table(spark, sf_dir, "pages"), path)
-    return warc.read(spark, path).drop("payload")
+    return warc.resolve(spark, path, warc.read(spark, path))
 
 
 ORACLE["op6_warc"] = """

@@ -4,11 +4,14 @@ Writing: each task streams its pages into one WARC/1.1 file, a gzip member per r
 equal payload of some size, the first by id is a response and the others are revisits to it.
 Index: captures are sorted by a reversed-host URL key and cut in blocks of ``BLOCK`` lines, each compressed;
 a sparse directory holds the first key and place of each block. A lookup searches the directory by
-bisection, unpacks one block (or a few, for a prefix), and reads just the byte ranges of its captures.
+bisection, unpacks one block (or a few, for a prefix), and reads just the byte ranges of its captures. ``Index``
+looks up single URLs, ``find`` a table of them: keys are routed to index files by bisection of the files' key
+ranges, and to blocks by bisection of each file's part of the directory.
 
 Plan at scale: pages meet the first id of their payload by one join on the digest; the index is one sort
-by ranges. Files go to a folder that driver and executors share, under a temporary name until they are
-whole, so a task that runs twice leaves one file.
+by ranges. Files go to a folder that driver and executors share. Each attempt of a task writes a file of
+its own name, and what the committed attempt returns names that file with its offsets; a file that no
+committed row names is never read.
 """
 
 from __future__ import annotations
@@ -35,9 +38,9 @@ DATE = "2024-01-01T00:00:00Z"
 def url_key(url: str | None) -> str:
     """Host labels reversed and joined by commas, then ``)`` and path with query, in lower case.
 
-    Scheme, a leading ``www.``, default ports, user info and fragment are left out. Null: empty.
+    Scheme, a leading ``www.``, default ports, user info and fragment are left out; white space is one space. Null: empty.
     """
-    text = (url or "").strip()
+    text = " ".join((url or "").split())
     try:
         u = urlsplit(text if "//" in text else f"//{text}")
         host, port = (u.hostname or ""), u.port
@@ -64,7 +67,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ki
         "Content-Type: application/http; msgtype=response",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{refers_to}')}>", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{refers_to}')}>", f"WARC-Refers-To-Target-URI: {' '.join((refers_url or '').split())}", f"X-Refers-To-Page: {refers_to}"]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http if kind == "revisit" else http + payload
     head.append(f"Content-Length: {len(block)}")
@@ -80,21 +83,18 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block.split(b"\r\n\r\n", 1)[1]
 
 
-def _put(where: str, name: str, write) -> str:
+def _put(where: str, name: str, write) -> None:
     fs, base = pafs.FileSystem.from_uri(where)
     fs.create_dir(base, recursive=True)
-    part = f"{base}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
         write(out)
-    fs.move(part, f"{base}/{name}")
-    return f"{base}/{name}"
 
 
 def _writer(where: str):
     from pyspark import TaskContext
 
     def run(batches):
-        name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz"
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -108,10 +108,10 @@ def _writer(where: str):
                 yield from batches
 
             for b in every():
-                for i, url, html, digest, ref in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                for i, url, html, digest, ref, ref_url in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                     data = (html or "").encode("utf-8", "surrogatepass")
                     kind = "revisit" if ref is not None else "response"
-                    rec = record(i, url, data, digest, kind, ref)
+                    rec = record(i, url, data, digest, kind, ref, ref_url)
                     out.write(rec)
                     rows.append((i, url_key(url), url, name, at, len(rec), kind, digest, len(data), ref))
                     at += len(rec)
@@ -129,22 +129,22 @@ def _index_writer(where: str):
     from pyspark import TaskContext
 
     def run(batches):
-        name = f"index-{TaskContext.get().partitionId():06d}.gz"
+        name = f"index-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.gz"
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
         rows: list[tuple] = []
 
         def body(out):
-            at, lines, key = 0, [], None
+            at, lines, key, total = 0, [], None, 0
 
             def flush():
-                nonlocal at, lines
+                nonlocal at, lines, total
                 if lines:
                     data = gzip.compress("\n".join(lines).encode(), 6, mtime=0)
                     out.write(data)
-                    rows.append((key, lines[-1].split("\t", 1)[0], name, at, len(data), len(lines)))
-                    at, lines = at + len(data), []
+                    rows.append((key, lines[-1].split("\t", 1)[0], name, at, len(data), len(lines), total))
+                    at, lines, total = at + len(data), [], 0
 
             def every():
                 yield first
@@ -154,13 +154,14 @@ def _index_writer(where: str):
                 for r in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                     if not lines:
                         key = _clean(r[0])
+                    total += r[4]
                     lines.append("\t".join(["" if x is None else _clean(str(x)) for x in r]))
                     if len(lines) == BLOCK:
                         flush()
             flush()
 
         _put(where, name, body)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["first_key", "last_key", "file", "at", "size", "lines"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["first_key", "last_key", "file", "at", "size", "lines", "bytes"])
 
     return run
 
@@ -180,15 +181,17 @@ def write(pages: DataFrame, path: str, least: int = 100, index_rows: int = 100_0
     spark = pages.sparkSession
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"))
-    many = src.where(F.col("n") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1 and first is not null").select("digest", "first")
+    # the response that revisits refer to, with its URL (the least one, should rows repeat the id)
+    many = src.where((F.col("n") >= least) & F.col("id").isNotNull()).groupBy("digest").agg(F.min(F.struct("id", "url")).alias("m"), F.count(F.lit(1)).alias("k"))
+    many = many.where("k > 1").select("digest", F.col("m.id").alias("first"), F.col("m.url").alias("first_url"))
     ref = F.when(F.col("id") > F.col("first"), F.col("first"))
-    jobs = src.join(many, "digest", "left").select("id", "url", "html", "digest", ref.alias("ref"))
+    jobs = src.join(many, "digest", "left").select("id", "url", "html", "digest", ref.alias("ref"), F.when(ref.isNotNull(), F.col("first_url")).alias("ref_url"))
     captures = jobs.mapInArrow(_writer(f"{path}/archive"), _CAPTURE)
     captures.write.option("compression", "zstd").parquet(f"{path}/captures")
     kept = spark.read.parquet(f"{path}/captures")
     parts = max(1, -(-kept.count() // index_rows))
     lines = kept.select("url_key", "page_id", "file", "at", "size").repartitionByRange(parts, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
-    directory = lines.mapInArrow(_index_writer(f"{path}/index"), "first_key string, last_key string, file string, at long, size long, lines int")
+    directory = lines.mapInArrow(_index_writer(f"{path}/index"), "first_key string, last_key string, file string, at long, size long, lines int, bytes long")
     directory.write.parquet(f"{path}/directory")
 
 
@@ -214,14 +217,14 @@ def _reader(where: str):
                 if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError(f"{file} at {at}: the payload does not have its digest")
                 pid, ref = fields["X-Page-Id"] if "X-Page-Id" in fields else "", fields.get("X-Refers-To-Page")
-                rows.append((int(pid) if pid.strip() else None, int(fields["X-Payload-Length"]), digest, kind, int(ref) if ref else None, payload if kind == "response" else None))
+                rows.append((int(pid) if pid.strip() else None, int(fields["X-Payload-Length"]), digest, kind, int(ref) if ref else None, payload if kind == "response" else None, fields.get("WARC-Refers-To-Target-URI")))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "refers_url"])
 
     return run
 
 
-_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, refers_url string"
 
 
 def _unpack_blocks(where: str):
@@ -235,22 +238,112 @@ def _unpack_blocks(where: str):
     return run
 
 
-def read(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+def _in_file_order(found: DataFrame, total: int) -> DataFrame:
+    """Captures (file, at, size) in stretches of files, in order: 64 MB of archive to a task, less where tasks are few."""
+    tasks = max(-(-total // (64 << 20)), min(-(-total // (1 << 20)), 4 * found.sparkSession.sparkContext.defaultParallelism), 1)
+    stretch = F.floor(F.col("at") / max(1 << 18, min(32 << 20, total // (2 * tasks) + 1)))
+    return found.repartition(int(tasks), "file", stretch).sortWithinPartitions("file", "at")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives, reached through the index's blocks by byte ranges.
 
-    Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to, payload``; digests of
+    Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to, payload, refers_url``; digests of
     responses are recomputed and must match. A revisit's payload is null.
     """
-    blocks = spark.read.parquet(f"{path}/directory").select("file", "at", "size")
-    found = blocks.mapInArrow(_unpack_blocks(f"{path}/index"), "file string, at long, size long")
-    # a stretch of a file to one task, in order
-    stretch = F.floor(F.col("at") / (32 << 20))
-    ordered = found.repartition("file", stretch).sortWithinPartitions("file", "at")
-    return ordered.mapInArrow(_reader(f"{path}/archive"), _RECORD)
+    blocks = spark.read.parquet(f"{path}/directory")
+    total = blocks.agg(F.sum("bytes")).first()[0] or 0
+    found = blocks.select("file", "at", "size").mapInArrow(_unpack_blocks(f"{path}/index"), "file string, at long, size long")
+    return _in_file_order(found, total).mapInArrow(_reader(f"{path}/archive"), _RECORD)
+
+
+def _route(files):
+    """(key, page_id) rows to the index files whose key range holds the key."""
+
+    def run(batches):
+        name, first, last = files.value
+        for b in batches:
+            out = []
+            for key, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                i = bisect.bisect_left(last, key)
+                while i < len(name) and first[i] <= key:
+                    out.append((name[i], key, page))
+                    i += 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int64())], names=["index", "key", "page_id"])
+
+    return run
+
+
+def _search(where: str):
+    """Rows (index file, key, page, first_key, at, size) of which a file's directory rows come first, by key: places of captures."""
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(where)
+        held, keys, places, block, rows = None, [], [], None, []
+        for b in batches:
+            out = []
+            for file, key, page, first, at, size in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                if file != held:
+                    held, keys, places, block = file, [], [], None
+                if first is not None:
+                    keys.append(first)
+                    places.append((at, size))
+                    continue
+                # the last block that begins before the key, and those that begin with it
+                i = max(0, bisect.bisect_left(keys, key) - 1)
+                while i < len(keys) and keys[i] <= key:
+                    if block != i:
+                        lines = gzip.decompress(_read_range(fs, f"{base}/{file}", *places[i])).decode().split("\n")
+                        block, rows = i, [x.split("\t") for x in lines]
+                    j = bisect.bisect_left(rows, key, key=lambda r: r[0])
+                    while j < len(rows) and rows[j][0] == key:
+                        if rows[j][1] == str(page):
+                            out.append((rows[j][2], int(rows[j][3]), int(rows[j][4])))
+                        j += 1
+                    i += 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64())], names=["file", "at", "size"])
+
+    return run
+
+
+def find(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Records of the captures that ``wanted`` (url, page_id) names, as ``read`` returns them; others have no row.
+
+    The key ranges of index files (one row per ``index_rows`` captures) come to the driver and are broadcast.
+    """
+    directory = spark.read.parquet(f"{path}/directory")
+    ranges = directory.groupBy("file").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).orderBy("lo", "hi").collect()
+    files = spark.sparkContext.broadcast(([r["file"] for r in ranges], [r["lo"] for r in ranges], [r["hi"] for r in ranges]))
+    keyed = wanted.select("url", F.col("page_id").cast("long").alias("page_id")).mapInArrow(_to_keys, "key string, page_id long").distinct()
+    routed = keyed.mapInArrow(_route(files), "index string, key string, page_id long")
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("first_key", "string"), ("at", "long"), ("size", "long"))]
+    entries = directory.select(F.col("file").alias("index"), F.col("first_key").alias("key"), F.lit(None).cast("long").alias("page_id"), "first_key", "at", "size")
+    rows = entries.union(routed.select("index", "key", "page_id", *nothing)).repartition("index").sortWithinPartitions("index", F.col("first_key").isNull(), "key", "at")
+    found = rows.mapInArrow(_search(f"{path}/index"), "file string, at long, size long")
+    total = directory.agg(F.sum("bytes")).first()[0] or 0
+    return _in_file_order(found, total).mapInArrow(_reader(f"{path}/archive"), _RECORD)
+
+
+def _to_keys(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([_clean(url_key(u)) for u in b.column(0).to_pylist()], pa.string()), b.column(1)], names=["key", "page_id"])
+
+
+def resolve(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
+    """Records (without payload) whose revisits take size and digest from the response they refer to.
+
+    The responses are found through the index. A revisit whose response is not there has nulls.
+    """
+    revisit = F.col("record_type") == "revisit"
+    asked = records.where(revisit).select(F.col("refers_url").alias("url"), F.col("refers_to").alias("page_id")).distinct()
+    heads = find(spark, path, asked).where("record_type = 'response'").select(F.col("page_id").alias("head"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d")).distinct()
+    out = records.join(heads, (F.col("refers_to") == F.col("head")) & (F.col("payload_digest") == F.col("d")), "left")
+    size, digest = (F.when(revisit, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("n", "payload_bytes"), ("d", "payload_digest")))
+    return out.select("page_id", size, digest, "record_type", "refers_to")
 
 
 class Index:
-    """Lookups from one process: the sparse directory in memory, blocks and records by range reads."""
+    """Lookups from one process: the sparse directory in memory (a row per 256 captures), blocks and records by range reads."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.path = path
@@ -265,7 +358,7 @@ class Index:
         out = []
         i = bisect.bisect_left(self.last, key)
         while i < len(self.rows) and self.rows[i][0] <= key:
-            _, _, file, at, size, _ = self.rows[i]
+            file, at, size = self.rows[i][2:5]
             for line in gzip.decompress(_read_range(self.fs, f"{self.base}/index/{file}", at, size)).decode().split("\n"):
                 k, _, archive, a, n = line.split("\t")
                 if k == key:

@@ -236,13 +236,42 @@ def test_warc(spark):
     found = index.lookup("HTTP://example.com/a?q=1")
     assert sorted(f["X-Page-Id"] for f, _ in found) == ["3", "5"] and index.lookup("http://nowhere.org/") == []
     assert warc.url_key("https://www.A.b.org:8443/P?x#y") == "org,b,a:8443)/p?x"
+    want = spark.createDataFrame([("example.com/a?q=1", 5), ("http://b.org/ x", 1), (None, 9), ("http://b.org/ x", 2), ("http://zz.org", 1), ("not a url [", 4)], "url string, page_id long")
+    assert sorted(r["page_id"] for r in warc.find(spark, path, want).collect()) == [1, 4, 5, 9]
+    whole = {r["page_id"]: tuple(r) for r in warc.resolve(spark, path, warc.read(spark, path)).collect()}
+    assert all(whole[i] == (i, len(page_rows()[0][2]), got[3]["payload_digest"], "revisit", 3) for i in (5, 9)) and len(whole) == 9
     path = Scratch(spark, "t").path("warc")
     warc.write(df.limit(0), path)
-    assert warc.read(spark, path).count() == 0
+    assert warc.read(spark, path).count() == 0 and warc.find(spark, path, want).count() == 0
     raw = gzip.decompress(warc.record(1, "u", b"pay", "d", "response", None))
     assert raw.startswith(b"WARC/1.1\r\n") and warc.parse(warc.record(1, "u", b"pay", "d", "response", None))[1] == b"pay"
 
 
+def test_warc_lookups_over_many_blocks(spark):
+    """Equal keys over blocks and files, against the rows themselves."""
+    rows = [(i, f"http://h{i % 7}.org/{'same' if i % 3 else i}", f"{i % 40} " * 60) for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    path = Scratch(spark, "t").path("warc")
+    warc.write(df, path, index_rows=700)
+    asked = [(u, i) for i, u, _ in rows if i % 11 == 0] + [("http://h1.org/none", 1), ("http://h1.org/same", 10**9)]
+    got = warc.find(spark, path, spark.createDataFrame(asked, "url string, page_id long")).toPandas()
+    assert sorted(got.page_id) == list(range(0, 3000, 11))
+    index = warc.Index(spark, path)
+    assert sorted(int(f["X-Page-Id"]) for f, _ in index.lookup("http://h1.org/same")) == [i for i, u, _ in rows if u == "http://h1.org/same"]
+
+
+def test_warc_of_a_task_that_runs_twice(spark):
+    """Two attempts leave two files; what is read is the one that the committed rows name."""
+    path = Scratch(spark, "t").path("warc")
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", "x" * (200 + i)) for i in range(30)], "page_id long, url string, html string").coalesce(1)
+    run = warc._writer(f"{path}/archive")
+    other = df.orderBy(F.desc("page_id")).selectExpr("page_id", "url", "html", "sha2(html, 256)", "cast(null as long)", "cast(null as string)").coalesce(1)
+    assert other.mapInArrow(run, warc._CAPTURE).count() == 30  # an attempt whose rows are lost, in another order
+    warc.write(df, path)
+    got = warc.resolve(spark, path, warc.read(spark, path)).toPandas()
+    assert sorted(got.page_id) == list(range(30)) and (got.payload_bytes == 200 + got.page_id).all()
+
+
 def vector_rows():
     rng = np.random.RandomState(2)
     base = rng.randn(60, 8)
