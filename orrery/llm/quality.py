@@ -4,7 +4,7 @@ A document classifier (logistic, over measures of the text) gives each document
 evidence are then pooled along the tree all, host, path: a path's rate is a posterior mean whose prior is
 its host's rate, and a host's prior is the global rate. Prior strengths are estimated from the spread of
 the rates (method of moments), so a site with few documents stays close to its parent. A document's score
-adds, on the log-odds scale, what its site says beyond the global rate to its own evidence.
+adds, on the log-odds scale, what the rest of its site says beyond the global rate to its own evidence.
 
 Plan at scale: one pass over the texts for the measures; all else is grouped aggregation of sums per host
 and path, combined before the shuffle, and a join of documents with their path's one row.
@@ -85,25 +85,30 @@ def _strength(groups: DataFrame, rate: str, parent: str) -> float:
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample: int = 20_000, evidence_weight: float = 0.25, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Return ``doc_id, evidence, host_rate, path_rate, score, predicted`` for every row of ``docs``.
+    """Return ``doc_id, held_out, evidence, host_rate, path_rate, score, predicted`` for every row of ``docs``.
 
-    The classifier learns from at most ``sample`` labelled rows (those of smallest id hash). A labelled
-    row counts as one document in its site's sums, an unlabelled one as ``evidence_weight`` of a document
-    with its evidence as the outcome. ``score`` is the probability of label 1, ``predicted`` 1 from 0.5.
+    Labels of rows whose crc32(id as text) mod 5 is 0 are held out: nothing learns from them. The classifier learns
+    from at most ``sample`` of the other labelled ids (those of smallest hash). A labelled row counts as one
+    document in its site's sums, any other as ``evidence_weight`` of a document with its evidence as the
+    outcome. The rates that a row is given leave the row itself out, so neither its label nor its evidence
+    comes back to it through its site. ``score`` is the probability of label 1, ``predicted`` 1 from 0.5.
 
     Null or empty text: measures of 0, scored like the rest. Null host or path: the site "(none)". Null
-    ids: scored, never labelled. Several labels of an id: their mean. No labels: the evidence is 0.5.
-    Repeated rows keep their rows. Other columns are ignored. Empty table: no rows.
+    ids: scored, never labelled, not held out. Several labels of an id: their mean; several texts of an id: the
+    classifier learns from that with the least measures. No labels: the evidence is 0.5. Repeated rows
+    keep their rows. Other columns are ignored. Empty table: no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     none = F.lit("(none)")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(host.cast("string"), none).alias("host"), F.coalesce(path.cast("string"), none).alias("path"), F.col(text_col).cast("string").alias("text"))
     seen = scratch.cut(base.mapInArrow(_measure, "doc_id long, host string, path string, x array<double>"), "measures")
-    marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.avg(F.col(label_col).cast("double")).alias("y")).where(~held)
     some = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most ``sample`` rows
-    got = seen.select("doc_id", "x").join(some, "doc_id").select("x", "y").limit(4 * sample).toPandas()
+    got = seen.select("doc_id", "x").join(some, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y")).toPandas()
     if len(got) and 0 < got["y"].mean() < 1:
+        got = got.sort_values("doc_id")
         x = np.stack(got["x"].to_numpy())
         mean, sd = x.mean(0), x.std(0) + 1e-9
         z = (x - mean) / sd
@@ -116,20 +121,29 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sam
         logit = logit + t * float(w[i]) + t * t * float(w[len(FEATURES) + i])
     logit = F.least(F.greatest(logit, F.lit(-12.0)), F.lit(12.0))
     scored = seen.select("doc_id", "host", "path", (1 / (1 + F.exp(-logit))).alias("evidence"))
-    scored = scratch.cut(scored.join(marks, "doc_id", "left"), "scored")
-    weight = F.when(F.col("y").isNotNull(), 1.0).otherwise(evidence_weight)
-    paths = scratch.cut(scored.groupBy("host", "path").agg(F.sum(weight).alias("n"), F.sum(weight * F.coalesce("y", "evidence")).alias("k")), "paths")
+    scored = scored.join(marks, "doc_id", "left").withColumn("own_n", F.when(F.col("y").isNotNull(), 1.0).otherwise(evidence_weight))
+    scored = scratch.cut(scored.withColumn("own_k", F.col("own_n") * F.coalesce("y", "evidence")), "scored")
+    paths = scratch.cut(scored.groupBy("host", "path").agg(F.sum("own_n").alias("n"), F.sum("own_k").alias("k")), "paths")
     top = paths.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     rate = min(1 - 1e-6, max(1e-6, top["k"] / top["n"])) if top["n"] else 0.5
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumns({"raw": F.col("k") / F.col("n"), "up": F.lit(rate)})
-    s = _strength(hosts, "raw", "up")
-    hosts = scratch.cut(hosts.select("host", ((F.col("k") + s * rate) / (F.col("n") + s)).alias("host_rate")), "hosts")
-    paths = paths.join(hosts, "host").withColumn("raw", F.col("k") / F.col("n"))
-    s = _strength(paths, "raw", "host_rate")
-    paths = paths.select("host", "path", "host_rate", ((F.col("k") + s * F.col("host_rate")) / (F.col("n") + s)).alias("path_rate"))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("k").alias("host_k"))
+    sh = _strength(hosts.select(F.col("host_n").alias("n"), (F.col("host_k") / F.col("host_n")).alias("raw"), F.lit(rate).alias("up")), "raw", "up")
+    hosts = scratch.cut(hosts, "hosts")
+    paths = paths.join(hosts, "host")
+    up = (F.col("host_k") + sh * rate) / (F.col("host_n") + sh)
+    sp = _strength(paths.select("n", (F.col("k") / F.col("n")).alias("raw"), up.alias("up")), "raw", "up")
     out = scored.join(paths, ["host", "path"])
+    n, k = F.col("own_n"), F.col("own_k")
+    # sums without the row; a table of one row leaves the global rate as it is
+    all_n = F.lit(float(top["n"] or 0.0)) - n
+    all_rate = F.when(all_n > 1e-9, (F.lit(float(top["k"] or 0.0)) - k) / all_n).otherwise(rate)
+    all_rate = F.least(F.greatest(all_rate, F.lit(1e-6)), F.lit(1 - 1e-6))
+    host_rate = (F.col("host_k") - k + sh * all_rate) / (F.col("host_n") - n + sh)
+    path_rate = (F.col("k") - k + sp * F.col("host_rate")) / (F.col("n") - n + sp)
+    out = out.withColumn("all_rate", all_rate).withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
     lo, hi = F.lit(1e-6), F.lit(1 - 1e-6)
-    site = _logit(F.least(F.greatest("path_rate", lo), hi)) - float(np.log(rate / (1 - rate)))
+    site = _logit(F.least(F.greatest("path_rate", lo), hi)) - _logit(F.col("all_rate"))
     own = _logit(F.least(F.greatest("evidence", lo), hi))
     score = 1 / (1 + F.exp(-(own + site)))
-    return out.select("doc_id", "evidence", "host_rate", "path_rate", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    out = out.withColumn("held_out", F.coalesce(held, F.lit(False)))
+    return out.select("doc_id", "held_out", "evidence", "host_rate", "path_rate", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
