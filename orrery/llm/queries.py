@@ -170,7 +170,7 @@ def op3_token_store(spark, sf_dir):
     from orrery.llm.scratch import Scratch
 
     path = Scratch(spark, "store").path("ids")
-    token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, by_word=True, vocab=49_408)
+    token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocab=49_408)
     return token_store.with_crc(token_store.read(spark, path))
 
 

@@ -14,6 +14,7 @@ ids once by ranges of document id, and on reading only chunks that are shared.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from itertools import chain
@@ -44,6 +45,32 @@ _ODD[:32] = _ODD[127] = _ODD[39] = True
 _ODD[[9, 10, 13]] = False
 
 
+#: The parts of a tokenizer that the fast way of ``Encoder`` stands for. Fixed values.
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def splits_by_word(spec: str) -> bool:
+    """Whether a tokenizer's JSON says that it encodes words one by one, as the fast way of ``Encoder`` takes it to.
+
+    Its normalizer and pre-tokenizer must be those of _BY_WORD, its model a deterministic BPE, and its special tokens
+    must begin with "<|" (texts with that go to the library whole).
+    """
+    d = json.loads(spec)
+    model = d.get("model") or {}
+    added = all(t["content"].startswith("<|") for t in d.get("added_tokens") or [])
+    return added and all(d.get(k) == v for k, v in _BY_WORD.items()) and model.get("type") == "BPE" and not model.get("dropout")
+
+
 def plain_texts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Which texts hold ASCII and Latin-1 letters alone, with none of _ODD and no special token."""
     bad = _ODD[data]
@@ -71,14 +98,14 @@ def lower_latin(data: np.ndarray) -> np.ndarray:
 class Encoder:
     """The tokenizers library over runs of texts, with the ids of recent words kept.
 
-    ``by_word`` is for a tokenizer that lower-cases, drops white space, and splits in contractions, runs
-    of letters, single digits, and runs of the rest. Plain texts (see ``plain_texts``) are then split on
+    Where the tokenizer lower-cases, drops white space, and splits in contractions, runs of letters, single
+    digits, and runs of the rest (``splits_by_word``), plain texts (see ``plain_texts``) are split on
     whole runs at once, and each word not met before goes to the library's model alone: the same ids,
     without its bookkeeping of offsets. All other texts, and all texts of other tokenizers, go to
     the library whole. Words are told apart by 64-bit hashes.
     """
 
-    def __init__(self, spec: str, by_word: bool):
+    def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -88,7 +115,7 @@ class Encoder:
         self.tok.no_padding()
         self.tok.no_truncation()
         self.model = self.tok.model
-        self.by_word = by_word
+        self.by_word = splits_by_word(spec)
         self.letters = byte_letters()
         self._forget()
 
@@ -173,14 +200,14 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple, Encoder] = {}
+_encoders: dict[int, Encoder] = {}
 
 
-def _encoder(spec, by_word: bool) -> Encoder:
-    key = (hash(spec.value), by_word)
+def _encoder(spec) -> Encoder:
+    key = hash(spec.value)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(spec.value, by_word)
+        _encoders[key] = Encoder(spec.value)
     return _encoders[key]
 
 
@@ -207,11 +234,11 @@ def cuts(ids: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _encode(spec, by_word: bool, end_id: int, width: int):
+def _encode(spec, end_id: int, width: int):
     kind = f"<u{width}"
 
     def run(batches):
-        enc = _encoder(spec, by_word)
+        enc = _encoder(spec)
         end = np.array([end_id], "<u4")
         pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
@@ -300,7 +327,7 @@ def _shard_roots(batches):
         yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "docs": pa.array([first[s][0]], pa.int64()), "tokens": pa.array([first[s][1]], pa.int64()), "root": pa.array([merkle(leaves)], pa.binary())})
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, by_word: bool = False, vocab: int = 1 << 16, shard_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, vocab: int = 1 << 16, shard_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode ``docs``, append ``end_id`` to each, and write the store below ``path``.
 
     Ids take two bytes each where ``vocab`` allows, else four. Null text counts as empty; null ids come
@@ -314,7 +341,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
         spec = spark.sparkContext.broadcast(f.read())
     scratch = Scratch(spark, "tokens")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    coded = scratch.cut(src.mapInArrow(_encode(spec, by_word, end, width), _ROW), "coded")
+    coded = scratch.cut(src.mapInArrow(_encode(spec, end, width), _ROW), "coded")
     chunks = coded.select("doc_id", "leaf", "names").mapInArrow(_names, "name binary, doc_id long, leaf binary, place int")
     at = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "leaf", "place")
     twice = chunks.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("owner")).where("n > 1").select("name", "owner")
@@ -422,8 +449,11 @@ def _assemble(width: int):
 def read(spark, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` (little-endian unsigned 32-bit) of every document of a store.
 
-    ``start`` is the number of ids of all documents before. Raises where a digest does not match.
+    ``start`` is the number of ids of all documents before. Raises where a digest does not match: the Merkle tree
+    is recomputed up to the manifest first (one pass over leaves), chunks and recipes as they are read.
     """
+    if not verify(spark, path):
+        raise ValueError(f"the recipes below {path} do not have the manifest's roots")
     stored = spark.read.parquet(f"{path}/documents")
     manifest = spark.read.parquet(f"{path}/manifest")
     width = manifest.first()["width"]

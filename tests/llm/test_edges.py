@@ -200,7 +200,7 @@ def test_bpe(odd, none):
 def test_token_store(odd, none, spark):
     for df, n in ((odd, odd.count()), (none, 0)):
         path = Scratch(spark, "t").path("store")
-        token_store.write(df, path, WORD, end_id=2, by_word=True)
+        token_store.write(df, path, WORD, end_id=2)
         got = token_store.with_crc(token_store.read(spark, path)).toPandas()
         assert len(got) == n and token_store.verify(spark, path)
     got = got if n else token_store.with_crc(token_store.read(spark, path)).toPandas()

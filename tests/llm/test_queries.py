@@ -1,6 +1,7 @@
 """The queries against SQL, against the tokenizers library, and against brute force."""
 
 import hashlib
+import json
 import os
 import random
 import re
@@ -66,7 +67,7 @@ POOL = ["a", "b", "T", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "é", "É"
 def test_encoders_equal_the_library(name):
     spec = open(public_tokenizers.path(name), encoding="utf-8").read()
     t, rng = Tokenizer.from_str(spec), random.Random(5)
-    own = bpe.Bpe(spec) if name.startswith("byte") else token_store.Encoder(spec, True)
+    own = bpe.Bpe(spec) if name.startswith("byte") else token_store.Encoder(spec)
     for _ in range(3000):
         s = "".join(rng.choice(POOL) for _ in range(rng.randint(0, 12)))
         ids = t.encode(s, add_special_tokens=False).ids
@@ -87,7 +88,7 @@ def test_decode_replaces_broken_bytes():
 def test_store_reads_back_and_verifies(spark):
     path = Scratch(spark, "t").path("store")
     docs = docs_of(spark, SF)
-    token_store.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, by_word=True, vocab=49_408, shard_rows=40)
+    token_store.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocab=49_408, shard_rows=40)
     assert token_store.verify(spark, path)
     stored = spark.read.parquet(f"{path}/documents").toPandas()
     names = defaultdict(int)
@@ -97,6 +98,19 @@ def test_store_reads_back_and_verifies(spark):
             names[r.names[32 * i : 32 * i + 32]] += i not in gone
     assert set(names.values()) == {1} and stored.missing.map(len).sum() > 0  # each chunk once, some shared
     assert token_store.read(spark, path).agg(F.sum("n_tokens")).first()[0] == stored.n_tokens.sum()
+    less = Scratch(spark, "t").path("store")  # a shard's rows are lost
+    spark.read.parquet(f"{path}/documents").where("shard <> 1").write.parquet(f"{less}/documents")
+    spark.read.parquet(f"{path}/manifest").write.parquet(f"{less}/manifest")
+    with pytest.raises(ValueError, match="roots"):
+        token_store.read(spark, less)
+
+
+def test_fast_way_is_read_from_the_tokenizer():
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    assert token_store.Encoder(spec).by_word and not token_store.splits_by_word(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    other = json.loads(spec)
+    other["normalizer"]["normalizers"].pop()
+    assert not token_store.splits_by_word(json.dumps(other))
 
 
 def test_op9_learns_outside_the_held_out_rows(spark):
