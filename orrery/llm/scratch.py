@@ -20,14 +20,18 @@ _KEY = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: The folder of a local session without the setting, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
+    context = spark.sparkContext
+    base = spark.conf.get(_KEY, None) or context.getConf().get(_KEY) or _LOCAL.get(context.applicationId)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError(f"{_KEY} must name a folder that driver and executors share")
-        base = f"file:///tmp/orrery-scratch-{uuid.uuid4().hex[:12]}"
+        base = _LOCAL[context.applicationId] = f"file:///tmp/orrery-scratch-{uuid.uuid4().hex[:12]}"
         atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set(_KEY, base)
     return base.rstrip("/")
 
 

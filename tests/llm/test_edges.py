@@ -496,3 +496,29 @@ def test_toxicity_scores_equal_a_plain_reading(spark):
         z = np.dot(np.r_[np.log1p(sums), np.log1p(sure), pat], model.weight) + model.bias
         assert np.isclose(score, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
     assert (got.predicted == [m for _, m in marks]).mean() > 0.99
+
+
+def test_pipeline_stages_take_odd_tables(spark, tmp_path):
+    """Nulls, repeats, long and empty texts, an empty table, and columns that clash with added ones."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int, kept_text string, n_words string, score double, copies string, mix_lang string, n_tokens string, _copy string, component_id string"
+    texts = [PARA, PARA.upper(), None, "", " \t", PARA + " extra", "very long " * 20_000, "x" * 100_000, PARA]
+    rows = [(i if i != 8 else None, t, "en" if i % 2 else None, None if i == 3 else "a", None if t is None else len(t), "k", "w", 0.5, "c", "m", "t", "y", "z") for i, t in enumerate(texts)]
+    rows.append(rows[5])
+    spark.createDataFrame([(1, 0), (2, None), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (rows, []):
+        docs = spark.createDataFrame(table, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name == "bpe":
+                assert (out.count() > 0) == bool(table)
+                continue
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+            docs = Scratch(spark, "t").cut(out, name)
+            ids = sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in docs.select("doc_id").collect())
+            if table and name == "toxicity":
+                assert ids == [-1, 0, 1, 2, 3, 4, 5, 5, 6, 7]
+            elif table and name == "ngram_join":
+                assert ids == [-1, 0, 2, 3, 4, 6, 7]
+            assert bool(ids) == bool(table)
