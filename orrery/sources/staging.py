@@ -15,14 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 _KEY = "spark.checkpoint.dir"
 
 
+#: The folder of a local session without the setting, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def base(spark: SparkSession) -> str:
-    where = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
+    context = spark.sparkContext
+    where = spark.conf.get(_KEY, None) or context.getConf().get(_KEY) or _LOCAL.get(context.applicationId)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {_KEY} to a folder that driver and executors share")
-        where = f"file:///tmp/orrery-{uuid.uuid4().hex[:12]}"
+        where = _LOCAL[context.applicationId] = f"file:///tmp/orrery-{uuid.uuid4().hex[:12]}"
         atexit.register(shutil.rmtree, where.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set(_KEY, where)
     return where.rstrip("/")
 
 
