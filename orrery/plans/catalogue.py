@@ -465,11 +465,6 @@ def kd_domains(spark, sf):
     return domains.kd_domains(views.clustered(spark, sf), 8, 6)
 
 
-@query()
-def spectrum(spark, sf):
-    return fourier.spectrum(fourier.density_modes(lattice.deposit(views.particles(spark, sf), 16), 16), 16, 100.0)
-
-
 @query()
 def displacement_field(spark, sf):
     return fourier.displacement(spark, cosmology.efstathiou(), 16, 100.0, 123)
@@ -483,32 +478,11 @@ def displacement_boost(spark, sf):
 _SPLIT = kernels.ForceSplit("cubic", 0.15, n=16)
 
 
-@query()
-def pm_force(spark, sf):
-    return gravity.mesh_accel(views.clustered(spark, sf), _SPLIT)
-
-
-@query()
-def p3m_force(spark, sf):
-    return gravity.total_accel(views.clustered(spark, sf), _SPLIT)
-
-
-@query()
-def monopole_force(spark, sf):
-    return gravity.monopole_sum(views.clustered(spark, sf), 0.2, kernels.newton(0.2))
-
-
 @query()
 def bh_force(spark, sf):
     return gravity.tree_sum(views.clustered(spark, sf), 0.2, kernels.newton(0.2), theta=0.5, depth=6)
 
 
-@query()
-def log_kernel_force(spark, sf):
-    r = np.exp(np.linspace(np.log(0.01), np.log(0.2), 64))
-    return gravity.log_tree_sum(views.clustered(spark, sf), 0.01, 0.2, 1 / r**3, depth=6)
-
-
 def _pairs_in_domain(pdf):
     """Neighbours within 0.02 of a domain's own points, ghosts included."""
     import pandas as pd
