@@ -39,10 +39,8 @@ def softened(r: np.ndarray, h: float) -> np.ndarray:
     return np.where(a < 0.5, inner, np.where(a <= 1, middle, outer))
 
 
-def split_table(mode: str, rsplit: float, npts: int = 100, r_soft: float | None = None, double_newton: bool = False) -> np.ndarray:
+def split_table(mode: str, rsplit: float, npts: int = 100, r_soft: float | None = None) -> np.ndarray:
     """Short-range kernel on (0, rsplit] of a force split: Newton (softened) less the smooth long range.
-
-    ``double_newton`` keeps a known slip of the softened erf split, which counts Newton twice.
     """
     r, big = nodes(rsplit, npts), rsplit
     h = 2.8 * r_soft if r_soft else None
@@ -58,7 +56,7 @@ def split_table(mode: str, rsplit: float, npts: int = 100, r_soft: float | None
         total = (_erf(r / (2 * rs)) - 1) / r**3 - np.exp(-((r / (2 * rs)) ** 2)) / (math.sqrt(math.pi) * r**2 * rs)
         if not h:
             return total
-        return base + total + (0 if double_newton else 1.0 / r**3)
+        return base + total + 1.0 / r**3
     raise ValueError(f"no force split {mode!r}")
 
 
@@ -96,7 +94,7 @@ class ForceSplit:
     rsplit: float = 0.1
     n: int | None = None
     r_soft: float | None = None
-    deconvolve: bool = True
+    deconvolve: bool = False
 
     def __post_init__(self):
         if self.mode not in ("cubic", "quartic", "erf"):

@@ -40,9 +40,19 @@ def khachiyan(x: np.ndarray, tol: float = 1e-3, rounds: int = 100_000) -> tuple[
     return np.linalg.inv(x.T * u @ x - np.outer(c, c)) / d, c
 
 
-def bounding_ellipsoid(points: DataFrame, tol: float = 1e-3, n: int = 96) -> tuple[np.ndarray, np.ndarray]:
-    """Ellipsoid around all points: fitted to extreme points, then grown until every point is inside."""
-    a, c = khachiyan(extremes(points, n), tol)
-    d = [F.col(v) - float(o) for v, o in zip("xyz", c, strict=True)]
-    r2 = sum((d[i] * d[j] * float(a[i, j]) for i in range(3) for j in range(3)), F.lit(0.0))
-    return a / max(1.0, points.agg(F.max(r2)).first()[0] or 1.0), c
+def bounding_ellipsoid(points: DataFrame, tol: float = 1e-3, n: int = 96, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest ellipsoid around all points, to a relative excess of ``tol``, grown so that every point is inside.
+
+    Starts from extreme points of some directions and fits again with the point that lies farthest out, one pass over
+    the rows each, until none is out by more than ``tol``: those left out so far do not matter to the fit.
+    """
+    support = extremes(points, n)
+    for _ in range(rounds):
+        a, c = khachiyan(support, tol / 10)
+        d = [F.col(v) - float(o) for v, o in zip("xyz", c, strict=True)]
+        r2 = sum((d[i] * d[j] * float(a[i, j]) for i in range(3) for j in range(3)), F.lit(0.0))
+        far = points.agg(F.max(F.struct(r2.alias("r2"), "x", "y", "z")).alias("m")).first()["m"]
+        if far is None or far["r2"] <= 1 + tol:
+            break
+        support = np.concatenate([support, [[far["x"], far["y"], far["z"]]]])
+    return a / max(1.0, far["r2"] if far else 1.0), c

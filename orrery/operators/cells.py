@@ -1,8 +1,8 @@
 """Cell binning, periodic geometry and the radius join that most other operators are made of.
 
 A radius join is an equi-join: one side is copied to the cells around each of its points, and meets the
-other side on the cell number; the exact distance is the residual. Spark is free to broadcast a side it
-measures as small, or to sort-merge and split hot cells at run time.
+other side on the cell number; the exact distance is the residual. It is sort-merged, so that candidates are
+spread over all tasks and Spark can split hot cells at run time.
 """
 
 from __future__ import annotations
@@ -48,11 +48,6 @@ def interval_distance(x0: Column, width: Column) -> Column:
     return F.when((x0 < 0) & (x1 > 0), 0.0).when(x0 < 0, below).otherwise(above)
 
 
-def intervals_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    """Whether two intervals of the unit circle (a0 <= a1, b0 <= b1, each shorter than 1) meet."""
-    return reduce(or_, [(a0 + s < b1) & (b0 < a1 + s) for s in (-1.0, 0.0, 1.0)])
-
-
 def neighbour_cells(df: DataFrame, n: int, r: float, reach: int = 1) -> DataFrame:
     """Copy each point to the cells within ``r`` of it (of those at most ``reach`` away), as ``cell``.
 
@@ -98,7 +93,8 @@ def radius_join(left: DataFrame, right: DataFrame, r: float, periodic: bool = Tr
     d = {f"d{c}": F.col(f"{c}i") - F.col(f"{c}j") for c in AXES}
     if periodic:
         d = {k: min_image(v) for k, v in d.items()}
-    out = a.join(b, "cell").withColumns(d).withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).where(F.col("r2") < r * r)
+    # merged, not broadcast: the work is in the candidates, which one side's few files must not hold in a few tasks
+    out = a.join(b.hint("merge"), "cell").withColumns(d).withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).where(F.col("r2") < r * r)
     if same:
         out = out.where("i <> j")
     return out.select("i", "j", "dx", "dy", "dz", "r2", *(["wj"] if w else []))

@@ -376,11 +376,9 @@ def k_wedge(spark, sf):
 def table_interpolation(spark, sf):
     """Linear interpolation in a table (rows per quantity) at the values of events: lead() makes intervals."""
     t = views.table(spark, sf, "lineitem").groupBy(F.col("l_quantity").cast("double").alias("x0")).agg(F.count(F.lit(1)).cast("double").alias("y0"))
-    w = Window.orderBy("x0")
-    t = t.withColumns({"x1": F.lead("x0").over(w), "y1": F.lead("y0").over(w)})
     e = views.table(spark, sf, "events").select("event_id", "value")
-    v = F.col("y0") + (F.col("value") - F.col("x0")) / (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return e.join(F.broadcast(t.where("x1 is not null")), (F.col("value") >= F.col("x0")) & (F.col("value") < F.col("x1"))).select("event_id", lattice.fixed(v, 1_000_000).alias("v_fx"))
+    v = lattice.interpolate(e, t.selectExpr("x0 as x", "y0 as y"), "value")
+    return v.select("event_id", lattice.fixed(F.col("y"), 1_000_000).alias("v_fx"))
 
 
 # --- steps, sizes, files
@@ -389,10 +387,7 @@ def table_interpolation(spark, sf):
 @query("WITH e AS (SELECT user_id, value, CASE event_type WHEN 'purchase' THEN 1 ELSE 2 END AS o, event_type FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value, o, event_type) AS k FROM e) SELECT user_id, value AS dt, event_type AS why FROM r WHERE k = 1")
 def step_limiter(spark, sf):
     """The least of many limits with its name; ties go to the first in order."""
-    e = views.table(spark, sf, "events")
-    order = F.when(F.col("event_type") == "purchase", 1).otherwise(2)
-    m = e.groupBy("user_id").agg(F.min(F.struct("value", order.alias("o"), "event_type")).alias("m"))
-    return m.select("user_id", F.col("m.value").alias("dt"), F.col("m.event_type").alias("why"))
+    return evolve.least_limits(views.table(spark, sf, "events"), "user_id", "value", "event_type", ["purchase"])
 
 
 def _kdk_sql() -> str:
@@ -423,9 +418,7 @@ def split_files(spark, sf):
     """Rows per file and type when each type goes to four files."""
     p = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (1 + F.col("o_orderkey") % 3).cast("int").alias("ptype"))
     rows = particle_files.number_rows(p, "ptype", "id")
-    size = p.groupBy("ptype").agg(F.count(F.lit(1)).alias("c"))
-    start = size.withColumn("first", F.sum("c").over(Window.orderBy("ptype")) - F.col("c"))
-    f = rows.join(F.broadcast(start), "ptype").withColumn("file", F.expr("(row - first) div (c div 4 + 1)").cast("int"))
+    f = particle_files.file_of(rows, 4)
     return f.groupBy("file", "ptype").agg(F.count(F.lit(1)).alias("n"))
 
 

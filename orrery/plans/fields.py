@@ -19,7 +19,7 @@ from orrery.plans.catalogue import _C, _P, _corner_sql, _fx, _modes_sql, query
 from orrery.sources import views
 
 #: Box, force split and lattice of the queries.
-BOX, N, SPLIT = 100.0, 16, kernels.ForceSplit("cubic", 0.15, n=16)
+BOX, N, SPLIT = 100.0, 16, kernels.ForceSplit("cubic", 0.15, n=16, deconvolve=True)
 AXES = ("x", "y", "z")
 
 

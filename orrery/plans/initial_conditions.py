@@ -67,10 +67,6 @@ def mass_field(points: DataFrame, lattice: DataFrame, n: int, box: float, a: flo
     return dm.unionByName(gas).unionByName(rows(moved.where(~finest), F.col("ptype"), F.lit(0.0), om))
 
 
-def make_snapshot(particles: DataFrame, path: str, a: float, box: float, om: float, ol: float, h: float = 1.0, files: int = 1) -> None:
-    write_gadget(particles, path, a, box, om, ol, h, files)
-
-
 def measure(particles: DataFrame, n: int, box: float) -> DataFrame:
     """Binned spectrum of particles in a box, by mass."""
     unit = particles.select(*[wrap(F.col(c) / box).alias(c) for c in "xyz"], F.col("mass").alias("w"))

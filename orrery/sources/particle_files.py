@@ -154,6 +154,13 @@ def split_counts(counts: list[int], files: int) -> list[list[tuple[int, int]]]:
     return out
 
 
+def file_of(rows: DataFrame, files: int) -> DataFrame:
+    """Add ``file`` to rows numbered by type (ptype, row): a type goes to files by ``split_counts``, in order."""
+    size = rows.groupBy("ptype").agg(F.count(F.lit(1)).alias("_n"), F.min("row").alias("_first"))
+    out = rows.join(F.broadcast(size), "ptype")  # a row per type
+    return out.withColumn("file", F.expr(f"(row - _first) div (_n div {files} + 1)").cast("int")).drop("_n", "_first")
+
+
 def write_gadget(particles: DataFrame, path: str, time: float, boxsize: float, omega0: float, omegalambda: float, h: float = 1.0, files: int = 1, double: bool = False, masses: list[float] | None = None, to_kpc: bool = True) -> None:
     """Write a snapshot directory. Lengths go from Mpc to kpc and masses to 1e10 solar masses with ``to_kpc``.
 

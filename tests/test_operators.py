@@ -172,7 +172,7 @@ def test_spectrum_matches_numpy(spark):
 def test_wave_number_functions(spark):
     for n in (6, 7):
         f = lambda k: (np.cos(k) - np.sin(k) / k) / (4 * np.pi)
-        got = fourier.on_modes(spark, n, 100.0, lambda k: fourier._numpy_only(k, f)).toPandas().sort_values("cell")["f"].to_numpy()
+        got = fourier.on_modes(spark, n, 100.0, f, numpy=True).toPandas().sort_values("cell")["f"].to_numpy()
         k1 = np.arange(n)
         k1 = np.where(k1 <= n // 2, k1, k1 - n) * 2 * np.pi / 100
         k = np.sqrt(k1[:, None, None] ** 2 + k1[None, :, None] ** 2 + k1[None, None, :] ** 2).ravel()
@@ -196,7 +196,6 @@ def test_force_split_tables():
         assert abs(t[-1]) < 1e-6 * abs(t[0])
     soft = kernels.split_table("erf", 0.1, 50, r_soft=0.002)
     assert abs(soft[-1]) < 0.03 * 1000
-    assert abs(kernels.split_table("erf", 0.1, 50, r_soft=0.002, double_newton=True)[-1]) > 1000
     for mode in ("cubic", "quartic", "erf"):
         assert np.allclose(kernels.transfer(mode, np.array([0.0])), 1)
         a = np.array([0.0099, 0.0101])
@@ -298,3 +297,95 @@ def test_levels_are_written_once(spark, tmp_path):
     assert lattice.save_levels(lat, 8, str(tmp_path / "l"), least=2) == [8, 4, 2]
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         lattice.save_levels(lat, 8, str(tmp_path / "l"), least=2)
+
+
+# --- against an independent lattice sum, and at the tolerances that forces are used with
+
+#: Ewald forces of three and of two bodies.
+CLOSE = ([(0.5, 0.5, 0.5), (0.5, 0.6, 0.5), (0.9, 0.3, 0.95)], [1, 2, 3], [[2.04840161, 196.8858954, 1.18571601], [1.63087151, -101.75612334, 0.92870922], [-1.77004821, 2.20878376, -1.01437815]])
+APART = ([(0.2, 0.2, 0.2), (0.7, 0.6, 0.5)], [1, 10], [[0.0, 5.26024612, 7.09533177], [0.0, -0.526024612, -0.709533177]])
+
+
+@pytest.mark.parametrize("case", [CLOSE, APART])
+def test_ewald_sum(spark, case):
+    xyz, w, want = case
+    assert np.allclose(vec(gravity.ewald_sum(points(spark, xyz, w))), want, atol=1e-5)
+
+
+@pytest.mark.parametrize("mode", ["erf", "cubic"])
+def test_short_and_long_range_equal_a_lattice_sum(spark, mode):
+    xyz, w, want = CLOSE
+    got = vec(gravity.total_accel(points(spark, xyz, w), kernels.ForceSplit(mode, 0.105)))
+    assert np.abs(got - want).max() / np.sqrt((np.array(want) ** 2).sum(1).max()) < 1.5e-2
+
+
+def test_long_range_equals_a_lattice_sum(spark):
+    xyz, w, want = APART
+    got = vec(gravity.mesh_accel(points(spark, xyz, w), kernels.ForceSplit("erf", 0.15)))
+    assert np.abs(got - want).max() / np.sqrt((np.array(want) ** 2).sum(1).max()) < 2e-3
+
+
+def all_pairs(xyz, w, rmax, table, periodic):
+    d = xyz[:, None] - xyz[None]
+    if periodic:
+        d -= np.floor(d + 0.5)
+    r = np.sqrt((d**2).sum(-1))
+    k = np.interp(r, rmax * np.arange(len(table) + 1) / len(table), np.r_[0, table]) * (r < rmax)
+    return (d * (k * w[None])[:, :, None]).sum(1)
+
+
+def test_tree_walk(spark):
+    rng = np.random.RandomState(122)
+    xyz, w, table = rng.rand(512, 3), rng.rand(512), np.arange(100) / 99.0
+    want = all_pairs(xyz, w, 2.0, table, False)
+    exact = vec(gravity.tree_sum(points(spark, xyz, w), 2.0, table, theta=0.0, depth=6))
+    assert np.abs(exact - want).max() < 1e-9
+    got = vec(gravity.tree_sum(points(spark, xyz, w), 2.0, table, theta=0.7, depth=6))
+    worst = np.argmax(((got - want) ** 2).sum(1))
+    assert np.sqrt(((got - want)[worst] ** 2).sum() / (want[worst] ** 2).sum()) < 0.05
+
+
+@pytest.mark.parametrize("reach", [2, 3])
+def test_monopole_cells(spark, reach):
+    rng = np.random.RandomState(122)
+    xyz = rng.rand(1000, 3) - 0.5
+    r = np.sqrt((xyz**2).sum(1))
+    xyz = xyz * np.sqrt(0.75) * 0.1 * np.sqrt(r)[:, None] + 0.5
+    w = np.full(1000, 1e-3)
+    want = all_pairs(xyz, w, 0.1, kernels.newton(0.1, 1000), True)
+    got = vec(gravity.monopole_sum(points(spark, xyz, w), 0.1, kernels.newton(0.1, 1000), reach))
+    rms = np.sqrt((want**2).mean() * 3)
+    err = np.sqrt(((got - want) ** 2).sum(1))
+    assert err.max() / rms < 0.015 and (err**2).mean() / rms < 0.015
+
+
+@pytest.mark.parametrize("cut", [0, 2])
+def test_displacement_equals_numpy(spark, cut):
+    n, box, p = 12, 50.0, cosmology.efstathiou()
+    got = fourier.displacement(spark, p, n, box, 9, cut_below=cut).orderBy("cell").toPandas()
+    g = np.random.RandomState(9).standard_normal(2 * n**3).reshape(n, n, n, 2)
+    k = np.fft.fftfreq(n, 1 / n)
+    n2 = k[:, None, None] ** 2 + k[None, :, None] ** 2 + k[None, None, :] ** 2
+    kk = np.where(n2 > 0, np.sqrt(n2), 1) * 2 * np.pi / box
+    f = np.where((n2 > 0) & (n2 >= cut * cut), np.sqrt(p(kk) * (2 * np.pi / box) ** 3) / kk**2, 0)
+    psi = np.fft.fftn(f * (g[..., 0] + 1j * g[..., 1])).real * n / box
+    for axis, name in enumerate("xyz"):
+        r = lambda s: np.roll(psi, -s, axis)  # noqa: B023, E731
+        want = (-r(2) + 8 * r(1) - 8 * r(-1) + r(-2)) / 12
+        assert np.allclose(got[f"v{name}"], want.ravel(), rtol=1e-5, atol=1e-6 * np.abs(want).max())
+
+
+def test_ellipsoid_is_the_smallest(spark):
+    """Against the fit to every point: thin clouds, whose support lies between fixed directions."""
+    rng = np.random.RandomState(3)
+    xyz = rng.randn(3000, 3) * [0.2, 0.01, 0.05] @ np.linalg.qr(rng.randn(3, 3))[0] + 0.5
+    a, c = shape.bounding_ellipsoid(points(spark, xyz))
+    inside = np.einsum("ni,ij,nj->n", xyz - c, a, xyz - c)
+    b, _ = shape.khachiyan(xyz, 1e-4)
+    assert inside.max() <= 1 + 1e-9 and abs(np.sqrt(np.linalg.det(b) / np.linalg.det(a)) - 1) < 0.02
+
+
+def test_interpolation_at_the_ends(spark):
+    t = spark.createDataFrame([(1.0, 10.0), (2.0, 20.0), (4.0, 0.0), (2.0, 25.0), (None, 1.0)], "x double, y double")
+    e = spark.createDataFrame([(i, v) for i, v in enumerate([0.5, 1.0, 1.5, 3.0, 4.0, None])], "id long, at double")
+    assert [tuple(r) for r in lattice.interpolate(e, t, "at").orderBy("id").collect()] == [(1, 1.0, 10.0), (2, 1.5, 15.0), (3, 3.0, 10.0)]
