@@ -125,6 +125,26 @@ def table(partials: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _whole_sums(batches):
+    """As ``_sum_parts``, but the sums themselves."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            t = total.setdefault(part, np.zeros(WIDTH, np.uint64))
+            hit, n = unpack(data)
+            t[hit] += n
+    for part, t in total.items():
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([zlib.compress(t.tobytes(), 1)], pa.binary())})
+
+
+def heavy(partials: DataFrame, bits: int, share: float, least: int) -> np.ndarray:
+    """A bit table of the slots with more than ``share`` of all hits, and more than ``least``; 8 * 2**bits bytes come to the driver."""
+    out = np.zeros(1 << bits, np.uint64)
+    for r in partials.select("part", "counts").repartition("part").mapInArrow(_whole_sums, SCHEMA).toLocalIterator():
+        out[r["part"] * WIDTH : (r["part"] + 1) * WIDTH] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
+    return np.packbits(out > max(least, share * float(out.sum())))
+
+
 def lookup(tab: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Levels of the hashes' slots."""
     bits = len(tab).bit_length()

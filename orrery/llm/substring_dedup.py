@@ -1,11 +1,13 @@
 """Substring dedup: remove words inside passages of ``window`` words that occur earlier.
 
 Method: super-k-mer partitioning. The minimiser of a window is the least hash of the ``gram`` consecutive
-words in it. Consecutive windows that share a minimiser travel as one packed string of word hashes to
+words in it, frequent ones last. Consecutive windows that share a minimiser travel as one packed string of word hashes to
 the bucket of the minimiser; equal windows share a minimiser, so each bucket can sort its windows and
 tell the first of each exactly.
 
-Plan at scale: windows that repeat inside a run of texts (about a megabyte) are settled there, so that a
+Plan at scale: a first pass counts grams in a slot table of fixed size, which tells the frequent ones. A phrase that
+stands in many different contexts is then no window's minimiser unless all of the window is frequent, so no
+bucket gathers its contexts. Windows that repeat inside a run of texts (about a megabyte) are settled there, so that a
 passage in a third of all documents sends one string per run. Strings are first compared as wholes, by
 128-bit fingerprints: all but the first of equal strings are repeats, and a string whose minimiser has no
 other string is settled too. Only minimisers with different strings travel packed, in a second pass; a bit
@@ -16,8 +18,6 @@ anew. What comes back are spans of words, joined to the texts by id and text has
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -72,8 +72,23 @@ def _later(h: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, k:
     return out
 
 
-def _windows(w: tk.Words, ids: np.ndarray, k: int, m: int):
-    """Of a run: word index, row, word number, minimiser and 'repeats here' of every window."""
+def _gram_counts(m: int, bits: int):
+    def run(batches):
+        p = slots.Partial(bits, np.uint16)
+        for b in batches:
+            for _, w in tk.runs(b.column(0)):
+                if len(w.hash) >= m:
+                    p.add(tk.rolling(w.hash, m))
+        yield from p.batches()
+
+    return run
+
+
+def _windows(w: tk.Words, ids: np.ndarray, k: int, m: int, frequent: np.ndarray):
+    """Of a run: word index, row, word number, minimiser and 'repeats here' of every window.
+
+    Grams are ordered by whether they are frequent, then by 63 bits of their hash.
+    """
     n = np.diff(w.doc)
     per = np.maximum(0, n - k + 1)
     row = np.repeat(np.arange(len(n)), per)
@@ -81,7 +96,9 @@ def _windows(w: tk.Words, ids: np.ndarray, k: int, m: int):
     at = w.doc[:-1][row] + num
     if not len(at):
         return at, row, num, np.empty(0, U), np.zeros(0, bool)
-    least = _sliding_min(tk.rolling(w.hash, m), k - m + 1)[at]
+    code = tk.rolling(w.hash, m)
+    code = (code >> U(1)) | (slots.test_bits(frequent, code).astype(U) << U(63))
+    least = _sliding_min(code, k - m + 1)[at]
     return at, row, num, least, _later(w.hash, at, ids[row], num, k)
 
 
@@ -135,13 +152,13 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SENT, strict=True)], schema=_SENT)
 
 
-def _runs(batches, k: int, m: int):
+def _runs(batches, k: int, m: int, frequent: np.ndarray):
     """Of each run: its words, ids, text hashes, windows, and the strings of windows new to it."""
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         texts = b.column(1).to_numpy(zero_copy_only=False)
         for at0, w in tk.runs(b.column(2)):
-            at, row, num, least, again = _windows(w, ids[at0:], k, m)
+            at, row, num, least, again = _windows(w, ids[at0:], k, m, frequent)
             if len(at):
                 s, n = _strings(row, num, least, ~again)
                 yield w, ids[at0:], texts[at0:], at, row, num, least, again, s, n
@@ -152,11 +169,11 @@ def _settled(ids, texts, row, num, r: np.ndarray, k: int, buckets: int) -> list[
     return [(int(ids[d]) % buckets, int(ids[d]), int(texts[d]), _spans(num[r[i:j]], k)) for d, i, j in _grouped(row[r])] if len(r) else []
 
 
-def _announce(k: int, m: int, buckets: int):
+def _announce(k: int, m: int, frequent, buckets: int):
     """Fingerprints of strings for a bucket, and spans settled in a run (rows with a document), on any."""
 
     def run(batches):
-        for w, ids, texts, at, row, num, least, again, s, n in _runs(batches, k, m):
+        for w, ids, texts, at, row, num, least, again, s, n in _runs(batches, k, m, frequent.value):
             out = _settled(ids, texts, row, num, np.flatnonzero(again), k, buckets)
             if len(s):
                 mark = np.empty(len(s), _MARK)
@@ -215,13 +232,13 @@ def _wanted(bits: int):
     return run
 
 
-def _send(k: int, m: int, wanted, buckets: int):
+def _send(k: int, m: int, frequent, wanted, buckets: int):
     """Packed strings whose minimiser is wanted, for its bucket, and (rows with a document) spans of windows
     of wanted minimisers that repeat in the run."""
 
     def run(batches):
         table = wanted.value
-        for w, ids, texts, at, row, num, least, again, s, n in _runs(batches, k, m):
+        for w, ids, texts, at, row, num, least, again, s, n in _runs(batches, k, m, frequent.value):
             r = np.flatnonzero(again)
             out = _settled(ids, texts, row, num, r[slots.test_bits(table, _kind(least[r]))], k, buckets)
             ok = slots.test_bits(table, _kind(least[s]))
@@ -297,13 +314,13 @@ def _cut_texts(text_at: int, names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, bits: int = 27, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, bits: int = 27, gram_bits: int = 22, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return ``docs`` with ``kept_text``, ``n_words``, ``n_removed`` appended.
 
     Words are runs of non-space characters (ASCII space and controls 9-13), unchanged. A word goes if a
     window of ``window`` words of its document covers it whose word sequence also starts earlier
     (smaller id, or same id and earlier start) in the input. Kept words are joined by one space.
-    ``bits`` bounds the broadcast filter (2**bits / 8 bytes), ``bucket_bytes`` the text whose strings meet in
+    ``bits`` bounds the broadcast filter (2**bits / 8 bytes), ``gram_bits`` that of frequent grams, ``bucket_bytes`` the text whose strings meet in
     one bucket, about.
 
     Null text: no words, empty kept text. Null id: after all other ids; rows with null ids are one
@@ -319,17 +336,21 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, bits: int =
     src = docs.select(key.alias("doc"), F.xxhash64(F.col(text_col)).alias("text"), F.col(text_col).alias("body"))
     total = src.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(64, -(-total // bucket_bytes))
-    told = src.mapInArrow(_announce(window, gram, buckets), _SENT_SQL)
+    share = 2.0 ** (5 - gram_bits)  # 32 times a slot's even share
+    frequent = src.select("body").mapInArrow(_gram_counts(gram, gram_bits), slots.SCHEMA)
+    frequent = spark.sparkContext.broadcast(slots.heavy(frequent, gram_bits, share, 500))
+    told = src.mapInArrow(_announce(window, gram, frequent, buckets), _SENT_SQL)
     spans_sql = "doc long, text long, data binary"
     told = scratch.cut(told.groupBy("bucket").applyInArrow(_compare(window), spans_sql), "told")
     wanted = slots.bit_table(told.where("doc is null").select("data").mapInArrow(_wanted(bits), slots.SCHEMA), bits)
     wanted = spark.sparkContext.broadcast(wanted)
-    sent = src.mapInArrow(_send(window, gram, wanted, buckets), _SENT_SQL)
+    sent = src.mapInArrow(_send(window, gram, frequent, wanted, buckets), _SENT_SQL)
     spans = sent.groupBy("bucket").applyInArrow(_sort_bucket(window), spans_sql).union(told.where("doc is not null"))
     spans = scratch.cut(spans, "spans").groupBy("doc", "text").agg(F.collect_list("data").alias("_spans"))
     scratch.drop(told)
     wanted.destroy()
-    del wanted
+    frequent.destroy()
+    del wanted, frequent
     release()
     names = docs.columns
     d, t, found = fresh(docs, "_doc", "_text", "_spans")
@@ -342,7 +363,3 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, bits: int =
 def digest(df: DataFrame) -> DataFrame:
     """``kept_sha256``: lowercase hex SHA-256 of the kept text in UTF-8."""
     return df.withColumn("kept_sha256", F.sha2(F.col("kept_text").cast("binary"), 256))
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

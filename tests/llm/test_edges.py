@@ -134,6 +134,29 @@ def test_substring_dedup(odd, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_a_phrase_in_many_contexts(spark):
+    """A frequent phrase is no minimiser, so its contexts do not meet in one bucket; results stay those of brute force."""
+    rng = np.random.RandomState(6)
+    tk = substring_dedup.tk
+    tries = [f"here is that frequent phrase{i}" for i in range(400)]
+    code = [tk.rolling(next(tk.runs(substring_dedup.pa.array([t])))[1].hash, 5)[0] for t in tries]
+    phrase = tries[int(np.argmin(code))].split() + ["again"]  # one that would often be least
+    texts = [" ".join([*(f"a{x}" for x in rng.randint(0, 10**6, 25)), *phrase, *(f"b{x}" for x in rng.randint(0, 10**6, 25))]) for _ in range(900)]
+    texts += texts[:5] + [" ".join(t.split()[10:50]) for t in texts[5:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substring_dedup.remove_repeats(docs).orderBy("doc_id").toPandas()
+    assert (got.n_removed[:900] == 0).all() and got.n_removed[900:905].tolist() == [56] * 5 and got.n_removed[905:].tolist() == [40] * 5
+    gram = substring_dedup._gram_counts(5, 16)
+    table = substring_dedup.slots.heavy(docs.select("text").mapInArrow(gram, substring_dedup.slots.SCHEMA), 16, 2.0**-11, 500)
+    least = []
+    for frequent in (table, np.zeros_like(table)):
+        counts = Counter()
+        for _, w in tk.runs(substring_dedup.pa.array(texts)):
+            counts.update(substring_dedup._windows(w, np.arange(len(texts)), 20, 5, frequent)[3].tolist())
+        least.append(counts.most_common(1)[0][1])
+    assert least[0] < 60 and least[1] > 900
+
+
 @pytest.mark.parametrize("splits", [("apart", "joined"), ("joined", "apart")])
 def test_substring_dedup_with_other_splits_in_each_pass(spark, tmp_path, monkeypatch, splits):
     """The second pass may read the files in other partitions than the first."""
