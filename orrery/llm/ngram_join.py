@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from orrery.llm import slots
 from orrery.llm import textkernel as tk
 from orrery.llm.components import components
-from orrery.llm.scratch import Scratch, fresh, release
+from orrery.llm.scratch import Scratch, fresh, release, trimmed
 
 U = np.uint64
 _PREFIX = np.dtype([("token", "<u8"), ("set", "<i8"), ("size", "<i4"), ("pos", "<i4")])
@@ -385,7 +385,7 @@ class _Index:
         heads = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"), F.col("leader").alias("rep"))
         rows = member.union(heads).join(self.sets, "rep").select("leader", "part", "member", "rep", "shingles")
         rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", "member")
-        return rows.mapInArrow(_against_leader(self.num, self.den), _EDGE)
+        return rows.mapInArrow(trimmed(_against_leader(self.num, self.den)), _EDGE)
 
     def below_leaders(self, found: DataFrame) -> DataFrame:
         """Links that members which do not link with their leader have with other members of it."""
@@ -421,7 +421,7 @@ class _Index:
         i, j = (F.when(F.col("side") == k, F.col("me")).otherwise(F.col("o")) for k in (0, 1))
         rows = dealt.select("a", "b", i.alias("i"), j.alias("j"), "side", "rep").join(self.sets, "rep").select("a", "b", "i", "j", "side", "rep", "shingles")
         rows = rows.repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j")
-        return rows.mapInArrow(_settle(self.num, self.den), _EDGE)
+        return rows.mapInArrow(trimmed(_settle(self.num, self.den)), _EDGE)
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = 26, block: int = 512, bucket_entries: int = 400_000, hot_level: int = slots.TOP, rounds: int = 2) -> DataFrame:
@@ -443,7 +443,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     scratch = Scratch(spark, "ngram")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     run, schema = _digest(words, sketch_bits)
-    first = scratch.cut(src.mapInArrow(run, schema), "digest")
+    first = scratch.cut(src.mapInArrow(trimmed(run), schema), "digest")
     own = scratch.cut(first.where("part is null").select("doc_id", "n_shingles", "set_id", "part_id"), "own")
     level = spark.sparkContext.broadcast(slots.table(first.where("part is not null"), sketch_bits))
     scratch.drop(first)
@@ -452,13 +452,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("part_id").alias("part_id"))
     total = full.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(64, math.ceil(total * (den - num) / den / bucket_entries))
-    packed = src.select("text").mapInArrow(_prefixes(words, num, den, level, buckets, hot_level), "bucket int, entries binary")
+    packed = src.select("text").mapInArrow(trimmed(_prefixes(words, num, den, level, buckets, hot_level)), "bucket int, entries binary")
     run, schema = _repeated(hot_level, num, den)
     entries = packed.groupBy("bucket").applyInArrow(run, schema)
     entries = scratch.cut(entries.join(classes.select("part_id", "rep"), "part_id").select("token", "rep", "size", "reach"), "entries")
     level.destroy()
     wanted = spark.sparkContext.broadcast(slots.members(entries, "rep", 27))
-    sets = src.mapInArrow(_sets_of(words, wanted), "rep long, set_id binary, shingles binary")
+    sets = src.mapInArrow(trimmed(_sets_of(words, wanted)), "rep long, set_id binary, shingles binary")
     same = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("k > 1")
     same = scratch.cut(same, "repeated")
     if not same.isEmpty():

@@ -70,12 +70,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def release() -> None:
-    """Give the driver's memory of a finished step back to the system."""
+    """Give the memory of a finished step back to the system."""
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # not glibc: the allocator decides
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def trimmed(run):
+    """``run`` over batches, after which the worker, which later tasks use again, gives its memory back."""
+
+    def out(batches):
+        yield from run(batches)
+        release()
+
+    return out
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have."""
     have = {c.lower() for c in df.columns}

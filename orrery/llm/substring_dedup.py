@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from orrery.llm import slots
 from orrery.llm import textkernel as tk
-from orrery.llm.scratch import Scratch, fresh, release
+from orrery.llm.scratch import Scratch, fresh, release, trimmed
 
 U = np.uint64
 _MARK = np.dtype([("fp", "<u8"), ("fp2", "<u8"), ("least", "<u4"), ("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("n", "<i4")])
@@ -216,6 +216,8 @@ def _compare(k: int):
                 rows.append((int(y["doc"][i]), int(y["text"][i]), np.stack([y["start"][i:j], y["start"][i:j] + y["n"][i:j] + k - 1], 1).astype("<i4").tobytes()))
         cols = list(zip(*rows, strict=True)) or [[], [], []]
         new = pa.table({"doc": pa.array(cols[0], pa.int64()), "text": pa.array(cols[1], pa.int64()), "data": pa.array(cols[2], pa.binary())})
+        del x, y, own, head, first, late
+        release()
         return pa.concat_tables([new, settled])
 
     return run
@@ -286,6 +288,8 @@ def _sort_bucket(k: int):
             cut = np.flatnonzero(np.r_[True, (doc[hit][1:] != doc[hit][:-1]) | (text[hit][1:] != text[hit][:-1])])
             out = [(int(doc[x[0]]), int(text[x[0]]), _spans(start[x], k)) for x in np.split(hit, cut[1:])]
         new = pa.table({"doc": pa.array([x[0] for x in out], pa.int64()), "text": pa.array([x[1] for x in out], pa.int64()), "data": pa.array([x[2] for x in out], pa.binary())})
+        del head, h, heads, words, rec, off, doc, start, hit, text
+        release()
         return pa.concat_tables([new, settled])
 
     return run
@@ -337,14 +341,14 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, bits: int =
     total = src.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(64, -(-total // bucket_bytes))
     share = 2.0 ** (5 - gram_bits)  # 32 times a slot's even share
-    frequent = src.select("body").mapInArrow(_gram_counts(gram, gram_bits), slots.SCHEMA)
+    frequent = src.select("body").mapInArrow(trimmed(_gram_counts(gram, gram_bits)), slots.SCHEMA)
     frequent = spark.sparkContext.broadcast(slots.heavy(frequent, gram_bits, share, 500))
-    told = src.mapInArrow(_announce(window, gram, frequent, buckets), _SENT_SQL)
+    told = src.mapInArrow(trimmed(_announce(window, gram, frequent, buckets)), _SENT_SQL)
     spans_sql = "doc long, text long, data binary"
     told = scratch.cut(told.groupBy("bucket").applyInArrow(_compare(window), spans_sql), "told")
     wanted = slots.bit_table(told.where("doc is null").select("data").mapInArrow(_wanted(bits), slots.SCHEMA), bits)
     wanted = spark.sparkContext.broadcast(wanted)
-    sent = src.mapInArrow(_send(window, gram, frequent, wanted, buckets), _SENT_SQL)
+    sent = src.mapInArrow(trimmed(_send(window, gram, frequent, wanted, buckets)), _SENT_SQL)
     spans = sent.groupBy("bucket").applyInArrow(_sort_bucket(window), spans_sql).union(told.where("doc is not null"))
     spans = scratch.cut(spans, "spans").groupBy("doc", "text").agg(F.collect_list("data").alias("_spans"))
     scratch.drop(told)
@@ -357,7 +361,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 5, bits: int =
     keyed = docs.select("*", key.alias(d), F.xxhash64(F.col(text_col)).alias(t))
     joined = keyed.join(spans.withColumnsRenamed({"doc": d, "text": t, "_spans": found}), [d, t], "left").select(*names, found)
     schema = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(_cut_texts(names.index(text_col), [*names, *added]), schema)
+    return joined.mapInArrow(trimmed(_cut_texts(names.index(text_col), [*names, *added])), schema)
 
 
 def digest(df: DataFrame) -> DataFrame:

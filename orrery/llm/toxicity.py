@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm import textkernel as tk
-from orrery.llm.scratch import Scratch, release
+from orrery.llm.scratch import Scratch, release, trimmed
 
 U = np.uint64
 #: Lexicons written by hand: fixed values.
@@ -182,21 +182,18 @@ def _density(x: np.ndarray) -> np.ndarray:
 _COUNTS = "code long, kind byte, again boolean, n1 long, n0 long"
 
 
-def _count_terms(batches, most: int = 1 << 21):
-    """Rows of each class that have a term, and that have it AGAIN times; partial sums of at most ``most`` terms."""
+def _count_terms(batches, most: int = 1 << 19):
+    """Rows of each class that have a term, and that have it AGAIN times; partial sums of some ``most`` terms."""
     held = None
 
-    def total(c, k, a, y, n):
-        key = np.stack([c, (k.astype(U) << U(1)) | a.astype(U)], 1)
-        o = np.lexsort((key[:, 1], key[:, 0]))
-        key, y, n = key[o], y[o], n[o]
-        at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)][: len(key)])
-        n1 = np.add.reduceat(np.where(y, n, 0), at) if len(at) else n[:0]
-        n0 = np.add.reduceat(np.where(y, 0, n), at) if len(at) else n[:0]
-        return key[at, 0], (key[at, 1] >> U(1)).astype(np.int8), key[at, 1] & U(1) > 0, n1, n0
+    def total(code, tag, n1, n0):
+        o = np.lexsort((tag, code))
+        code, tag, n1, n0 = code[o], tag[o], n1[o], n0[o]
+        at = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (tag[1:] != tag[:-1])][: len(code)])
+        return code[at], tag[at], np.add.reduceat(n1, at) if len(at) else n1, np.add.reduceat(n0, at) if len(at) else n0
 
-    def rows(h):
-        return pa.RecordBatch.from_arrays([pa.array(h[0].view(np.int64)), pa.array(h[1], pa.int8()), pa.array(h[2]), pa.array(h[3]), pa.array(h[4])], names=["code", "kind", "again", "n1", "n0"])
+    def rows(code, tag, n1, n0):
+        return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(tag >> 1), pa.array(tag & 1 > 0), pa.array(n1.astype(np.int64)), pa.array(n0.astype(np.int64))], names=["code", "kind", "again", "n1", "n0"])
 
     for b in batches:
         toxic = b.column(1).to_numpy(zero_copy_only=False) == 1
@@ -204,19 +201,17 @@ def _count_terms(batches, most: int = 1 << 21):
             code, word, kind = features(w)
             code, row, times, kind = _occurrences(code, _rows(w)[word], kind)
             rep = times >= AGAIN
-            y = toxic[at:][row]
-            c, k, a, y = np.r_[code, code[rep]], np.r_[kind, kind[rep]], np.r_[np.zeros(len(code), bool), np.ones(rep.sum(), bool)], np.r_[y, y[rep]]
-            new = total(c, k, a, y, np.ones(len(c), np.int64))
+            y = toxic[at:][row].astype(np.int32)
+            y = np.r_[y, y[rep]]
+            new = np.r_[code, code[rep]], np.r_[kind * 2, kind[rep] * 2 + 1].astype(np.int8), y, 1 - y
             if held is not None:
-                two = [np.concatenate(x) for x in zip(held, new, strict=True)]
-                half = np.zeros(len(two[0]), bool)
-                new = total(np.r_[two[0], two[0]], np.r_[two[1], two[1]], np.r_[two[2], two[2]], np.r_[~half, half], np.r_[two[3], two[4]])
-            held = new
+                new = tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+            held = total(*new)
             if len(held[0]) > most:
-                yield rows(held)
+                yield rows(*held)
                 held = None
     if held is not None:
-        yield rows(held)
+        yield rows(*held)
 
 
 def _strengths(model):
@@ -295,7 +290,7 @@ def _mine(train: DataFrame, pos: int, neg: int, terms: int, least_docs: int):
     likely, unsure; each with code, kind and gain.
     """
     scratch = Scratch(train.sparkSession, "terms")
-    counts = train.select("text", "toxic").mapInArrow(_count_terms, _COUNTS)
+    counts = train.select("text", "toxic").mapInArrow(trimmed(_count_terms), _COUNTS)
     counts = counts.groupBy("code", "kind", "again").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") >= least_docs)
     n1, n0 = F.col("n1"), F.col("n0")
     base = pos / (pos + neg)
@@ -359,7 +354,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, terms: int = 8
     o = np.argsort(codes)
     model = Model(codes[o], voter[o], worth[o], again[o])
     if pos and neg:
-        got = train.mapInArrow(_strengths(spark.sparkContext.broadcast(model)), "y binary, x binary").collect()
+        got = train.mapInArrow(trimmed(_strengths(spark.sparkContext.broadcast(model))), "y binary, x binary").collect()
         y = np.concatenate([np.frombuffer(r["y"], bool) for r in got])
         x = np.concatenate([np.frombuffer(r["x"], np.float32) for r in got]).reshape(len(y), -1).astype(float)
         weight = np.where(y, stands[True], stands[False])
@@ -410,7 +405,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(_score(shared, docs.columns.index(text_col), schema.names), schema)
+    return docs.mapInArrow(trimmed(_score(shared, docs.columns.index(text_col), schema.names)), schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
