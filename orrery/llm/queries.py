@@ -199,3 +199,69 @@ def op8_quality(spark, sf_dir):
 
     # documents carry no URL: the source is the host, and the language its first path segment
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
+
+
+@query
+def op11_quality_rules(spark, sf_dir):
+    from orrery.llm.quality_rules import judge
+
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _rules_sql() -> str:
+    # num, factor, den, least spread, two-sided: the parameters of the operator's rates
+    rates = {"mean_length": ("word_chars", 1000, "n_words", 600, True), "symbols": ("n_symbols", 10000, "word_chars", 100, False),
+             "dup_lines": ("n_dup_lines", 1000, "n_lines", 150, False), "repeats": ("n_repeat_words", 1000, "n_words", 90, False)}
+    values = "\n  UNION ALL ".join(f"SELECT doc_id, lang, source, '{r}' AS rate, {a} * {k} // {b} AS x, {s} AS least, {str(two).lower()} AS two FROM m WHERE {b} > 0" for r, (a, k, b, s, two) in rates.items())
+    return f"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+l AS (SELECT doc_id, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS ls FROM w),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, unnest([array_to_string(ws[j:j+7], ' ') FOR j IN range(1, len(ws) - 6)]) AS g FROM w WHERE len(ws) >= 8),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+gap AS (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS n FROM hit),
+m AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM w JOIN l ON l.doc_id = w.doc_id LEFT JOIN (SELECT doc_id, sum(n) AS n FROM gap GROUP BY 1) r ON r.doc_id = w.doc_id),
+v AS ({values}),
+b AS (SELECT *, CASE WHEN x < 128 THEN x ELSE (length(bin(x)) - 7) * 64 + (x >> (length(bin(x)) - 7)) END AS bin FROM v),
+g AS (SELECT bit_count(grouping(lang, source)) AS lev, lang, source, rate, bin, any_value(least) AS least, bool_or(two) AS two, count(*) AS n FROM b
+  GROUP BY GROUPING SETS ((lang, source, rate, bin), (lang, rate, bin), (rate, bin))),
+c AS (SELECT *, sum(n) OVER (PARTITION BY lev, lang, source, rate ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lev, lang, source, rate) AS docs FROM g),
+q AS (SELECT lev, lang, source, rate, any_value(docs) AS docs, any_value(least) AS least, bool_or(two) AS two, min(bin) FILTER (upto * 4 >= docs) AS b1, min(bin) FILTER (upto * 4 >= docs * 3) AS b3 FROM c GROUP BY 1, 2, 3, 4),
+e AS (SELECT * EXCLUDE (b1, b3), CASE WHEN b1 < 128 THEN b1 ELSE (b1 - (b1 // 64 - 1) * 64) << (b1 // 64 - 1) END AS q1, CASE WHEN b3 < 128 THEN b3 ELSE (b3 - (b3 // 64 - 1) * 64) << (b3 // 64 - 1) END AS q3 FROM q),
+f AS (SELECT lev, lang, source, rate, max(docs) OVER (PARTITION BY lev, lang, source) AS docs, CASE WHEN two THEN q1 - 3 * greatest(q3 - q1, least) END AS lo, q3 + 3 * greatest(q3 - q1, least) AS hi FROM e),
+o AS (SELECT v.doc_id, coalesce(bool_or(x > k.hi OR x < coalesce(k.lo, x)), false) AS bad FROM v
+  JOIN (SELECT DISTINCT lev, lang, source, docs FROM f WHERE lev = 0) a ON a.lang IS NOT DISTINCT FROM v.lang AND a.source IS NOT DISTINCT FROM v.source
+  JOIN (SELECT DISTINCT lev, lang, docs FROM f WHERE lev = 1) y ON y.lang IS NOT DISTINCT FROM v.lang
+  JOIN f k ON k.rate = v.rate AND k.lev = CASE WHEN a.docs >= 100 THEN 0 WHEN y.docs >= 100 THEN 1 ELSE 2 END
+   AND (k.lev = 2 OR k.lang IS NOT DISTINCT FROM v.lang) AND (k.lev > 0 OR k.source IS NOT DISTINCT FROM v.source) GROUP BY 1)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT coalesce(bad, false) AS kept FROM m LEFT JOIN o ON o.doc_id = m.doc_id"""
+
+
+ORACLE["op11_quality_rules"] = _rules_sql()
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    from orrery.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
+ORACLE["op13_filter_audit"] = f"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+y AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS tox FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(tox, 0) AS tox, (CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END)
+   || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+   || (CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS bad FROM w LEFT JOIN y ON y.doc_id = w.doc_id),
+p AS (SELECT part, bad, count(*) AS n, sum(good) AS good, sum(tox) AS tox FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a JOIN x b ON b.c <> a.c JOIN x c ON c.c NOT IN (a.c, b.c) JOIN x d ON d.c NOT IN (a.c, b.c, c.c) JOIN x e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+s AS (SELECT part, filter_order, step, filter_order[step] AS flt, n, good, tox, bad, contains(bad, filter_order[step]) AS fails,
+   len([k FOR k IN range(1, step) IF contains(bad, filter_order[k])]) > 0 AS gone FROM p, o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step::INTEGER AS step, any_value(flt) AS flt, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+   coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (bad = flt), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
+   coalesce(sum(tox) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost FROM s GROUP BY 1, 2, 3)
+SELECT * EXCLUDE (flt), (sum(removed) OVER (PARTITION BY part, flt))::BIGINT AS shapley FROM r"""
