@@ -265,3 +265,12 @@ r AS (SELECT part, filter_order, step::INTEGER AS step, any_value(flt) AS flt, c
    coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (bad = flt), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
    coalesce(sum(tox) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost FROM s GROUP BY 1, 2, 3)
 SELECT * EXCLUDE (flt), (sum(removed) OVER (PARTITION BY part, flt))::BIGINT AS shapley FROM r"""
+
+
+@query
+def op12_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    from orrery.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
