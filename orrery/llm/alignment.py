@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.bpe import byte_letters
+from orrery.llm.bpe import SPLIT, byte_letters
 from orrery.llm.scratch import Scratch, trimmed
 
-BLOCK_BYTES = 4 << 20
-CACHE = 300_000
+BLOCK_BYTES = 3 << 20
+CACHE = 200_000
 #: Longer words are not kept.
 SHORT = 32
 #: Links expanded at a time.
 CHUNK = 1 << 20
 _U = np.uint64
+_NEW = object()
 #: Bits of a B id in an id pair, and of an id pair below a document's number in a key: vocabularies hold up to 2**20 ids.
 _ID, _PAIR = 20, 40
 _ODD = re.compile(r" (?=\s|$)")
@@ -48,34 +50,44 @@ class Aligner:
 
     def __init__(self, a_spec: str, b_model: bytes):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         spec = json.loads(a_spec)
         back = {c: b for b, c in enumerate(byte_letters())}
         special = {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
-        self.a = Tokenizer.from_str(a_spec)
-        self.a.no_padding()
-        self.a.no_truncation()
-        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         vocab = spec["model"]["vocab"]
         self.a_bytes = [b""] * (1 + max([*vocab.values(), *special]))
         for t, i in vocab.items():
             self.a_bytes[i] = t.encode() if i in special else bytes(map(back.__getitem__, t))
+        made = [vocab[a + b] for a, b in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])]
+        ordered = all(x < y for x, y in zip(made, made[1:], strict=False)) and len(made) + 256 == len(vocab.keys() - set(special.values()))
+        if ordered and _space_splits(spec):  # ids rise with the order of merges: they are ranks, which the faster library takes
+            ranks = {self.a_bytes[i]: i for i in vocab.values() if i not in special}
+            self.encode_a = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            own = Tokenizer.from_str(a_spec)
+            own.no_padding()
+            own.no_truncation()
+            own.encode_special_tokens = True
+            self.encode_a = lambda t: own.encode(t, add_special_tokens=False).ids
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_len, self.b_len = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         #: no piece has a space after something else, so none goes across a space
         self.by_word = not any(re.search("[^▁]▁", p) for p in pieces) and _space_splits(spec)
         self.width = max(len(self.a_bytes), len(self.b_bytes))
+        #: decimal ids with what follows them: another of the group, the other side, another group
         self.names = [b"%d%s" % (i, end) for end in (b",", b"|", b";") for i in range(self.width)]
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.recent: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
 
     def _encode(self, keys: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of a space and each key, packed; None where the bytes of the tokens are others."""
         out: list = []
-        for x, y, k in zip(self.a.encode_batch_fast([f" {k}" for k in keys], add_special_tokens=False), self.b.encode(keys, num_threads=1), keys, strict=True):
-            raw, x = b" " + k.encode(), x.ids
+        for y, k in zip(self.b.encode(keys, num_threads=1), keys, strict=True):
+            raw, x = b" " + k.encode(), self.encode_a(f" {k}")
             same = b"".join(map(self.a_bytes.__getitem__, x)) == raw and b"".join(map(self.b_bytes.__getitem__, y)) == raw
             out.append((np.array(x, "<u4").tobytes(), np.array(y, "<u4").tobytes()) if same else None)
         return out
@@ -83,25 +95,32 @@ class Aligner:
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts for A and for B, and each text's number of ids of A and of B."""
         split = [[] if not t else t.split(" ") if self.by_word and not _ODD.search(f" {t}") else [t] for t in texts]
-        keys = list(dict.fromkeys(w for ws in split for w in ws))
-        known = self.known
-        new = [k for k in keys if k not in known]
+        keys = list(dict.fromkeys(chain.from_iterable(split)))
+        own = dict(zip(keys, map(self._known, keys), strict=True))
+        new = [k for k in keys if own[k] is _NEW]
         fresh = dict(zip(new, self._encode(new), strict=True))
-        own = {k: fresh[k] if k in fresh else known[k] for k in keys}
-        known |= {k: v for k, v in fresh.items() if len(k) <= SHORT}
-        if len(known) > CACHE:
-            known.clear()
-        split = [[] if any(own[w] is None for w in ws) else ws for ws in split]
-        flat = [own[w] for ws in split for w in ws]
-        ends = np.cumsum([0, *map(len, split)])
+        own |= fresh
+        self.recent |= {k: v for k, v in fresh.items() if len(k) <= SHORT}
+        if len(self.recent) > CACHE // 2:
+            self.older, self.recent = self.recent, {}
+        bad = {k for k in keys if own[k] is None}
+        if bad:
+            split = [ws if bad.isdisjoint(ws) else [] for ws in split]
         out = []
         for side in (0, 1):
-            parts = [v[side] for v in flat]
-            size = np.cumsum(np.concatenate([[0], np.fromiter(map(len, parts), np.int64, len(parts))])) // 4
-            out.append((np.frombuffer(b"".join(parts), "<u4").astype(np.int64), np.diff(size[ends])))
+            ids = {k: v[side] for k, v in own.items() if v}
+            rows = [b"".join(map(ids.__getitem__, ws)) for ws in split]
+            out.append((np.frombuffer(b"".join(rows), "<u4").astype(np.int64), np.fromiter(map(len, rows), np.int64, len(rows)) // 4))
         (a, na), (b, nb) = out
         return a, b, na, nb
 
+    def _known(self, key: str):
+        """What is kept of a word; words that no longer occur go with the older half."""
+        found = self.recent.get(key, _NEW)
+        if found is _NEW and (found := self.older.get(key, _NEW)) is not _NEW:
+            self.recent[key] = found
+        return found
+
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ends of the groups as numbers of tokens of A and of B (popcount rank at each shared cut)."""
         at_a, at_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
@@ -109,15 +128,15 @@ class Aligner:
         cuts = np.flatnonzero(np.unpackbits((bits_a & bits_b).view(np.uint8), bitorder="little"))
         return _rank(bits_a, cuts), _rank(bits_b, cuts)
 
-    def text_of_groups(self, a, b, end_a, end_b) -> list[bytes]:
-        """Each token as decimal bytes with what follows it, in the order of the groups, A's first."""
+    def group_codes(self, a, b, end_a, end_b) -> np.ndarray:
+        """Places in ``names`` of all tokens in the order of the groups, A's first."""
         g_a, g_b = np.repeat(np.arange(len(end_a)), np.diff(end_a, prepend=0)), np.repeat(np.arange(len(end_b)), np.diff(end_b, prepend=0))
         code = np.empty(len(a) + len(b), np.int64)
         code[np.arange(len(a)) + np.concatenate([[0], end_b])[g_a]] = a
         code[np.arange(len(b)) + end_a[g_b]] = b
         code[end_a - 1 + np.concatenate([[0], end_b[:-1]])] += self.width
         code[end_a + end_b - 1] += 2 * self.width
-        return list(map(self.names.__getitem__, code.tolist()))
+        return code
 
 
 def _space_splits(spec: dict) -> bool:
@@ -228,7 +247,7 @@ def _align(shared):
             cut = np.searchsorted(end_a, np.concatenate([[0], stop_a]), "right") if len(end_a) else np.zeros(len(ids) + 1, np.int64)
             size = np.diff(end_a, prepend=0) * np.diff(end_b, prepend=0)
             links = np.concatenate([[0], np.cumsum(size)])
-            names = t.text_of_groups(a, b, end_a, end_b)
+            codes = t.group_codes(a, b, end_a, end_b)
             keys, times = _links(a, b, end_a, end_b, np.repeat(np.arange(len(ids)), n_a))
             doc, pair = keys >> _PAIR, keys & ((1 << _PAIR) - 1)
             pairs, place, n = np.unique(pair, return_inverse=True, return_counts=True)
@@ -241,7 +260,7 @@ def _align(shared):
             docs = []
             for k, i in enumerate(ids):
                 hi = int(stop_a[k] + stop_b[k])
-                sha = hashlib.sha256(b"".join(names[lo:hi])[:-1]).hexdigest() if hi > lo else ""
+                sha = hashlib.sha256(b"".join(map(t.names.__getitem__, codes[lo:hi].tolist()))[:-1]).hexdigest() if hi > lo else ""
                 docs.append((i, int(n_a[k]), int(n_b[k]), int(cut[k + 1] - cut[k]), int(links[cut[k + 1]] - links[cut[k]]), sha, int(first[k + 1] - first[k])))
                 lo = hi
             columns = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_pairs")
@@ -320,7 +339,7 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str, text: str = "text")
     """
     names = ("a_ids", "b_ids", "a_ends", "b_ends")
     docs = docs.drop(*names)
-    at = docs.columns.index(text)
+    at, columns = docs.columns.index(text), [*docs.columns, *names]
     shared = _shared(docs, a_path, b_path)
 
     def run(batches):
@@ -334,7 +353,7 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str, text: str = "text")
                     x, y = a[i - n : i], b[j - m : j]
                     for c, v in zip(cols, (x, y, *t.groups(x, y)), strict=True):
                         c.append(v.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, pa.list_(pa.int32())) for c in cols)], names=[*docs.columns, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, pa.list_(pa.int32())) for c in cols)], names=columns)
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in names)])
     return docs.mapInArrow(run, schema)
