@@ -132,12 +132,13 @@ def fences(sketch: DataFrame) -> DataFrame:
 def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """``lang, source, level, fences``: of every pair of language and source, the fences of the least level with ``LEAST`` documents."""
     f = fences(sketches(measured, lang, source))
-    own = f.where("level = 0").select("lang", "source", F.col("docs").alias("n0"), F.col("fences").alias("f0"), F.lit(2).alias("top"))
-    wide = f.where("level = 1").select(F.col("lang").alias("_l"), F.col("docs").alias("n1"), F.col("fences").alias("f1"))
-    all_ = f.where("level = 2").select(F.col("level").alias("_t"), F.col("fences").alias("f2"))
-    out = own.join(wide, F.col("lang").eqNullSafe(F.col("_l")), "left").join(all_, F.col("top") == F.col("_t"), "left")
-    level = F.when(F.col("n0") >= LEAST, 0).when(F.col("n1") >= LEAST, 1).otherwise(2)
-    return out.select("lang", "source", level.alias("level"), F.when(level == 0, F.col("f0")).when(level == 1, F.col("f1")).otherwise(F.col("f2")).alias("fences"))
+    wide = F.explode(F.array(*map(F.lit, range(3)))).alias("level")
+    asked = f.where("level = 0").select("lang", "source", wide)
+    at_lang, at_source = F.when(F.col("level") < 2, F.col("lang")), F.when(F.col("level") < 1, F.col("source"))
+    f = f.select(F.col("level").alias("_level"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "docs", "fences")
+    found = asked.join(f, (F.col("level") == F.col("_level")) & at_lang.eqNullSafe(F.col("_lang")) & at_source.eqNullSafe(F.col("_source")))
+    found = found.where((F.col("docs") >= LEAST) | (F.col("level") == 2))
+    return found.groupBy("lang", "source").agg(F.min("level").alias("level"), F.min_by("fences", "level").alias("fences"))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
