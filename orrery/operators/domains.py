@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from orrery.operators.cells import cell_of, neighbour_cells
 from orrery.operators.lattice import counts
+from orrery.sources.staging import cut
 
 #: A mask column holds so many domains; rows (``ghost_rows``) hold any number.
 MASK_BITS = 63
@@ -122,43 +123,122 @@ def bisect(points: DataFrame, n: int) -> DataFrame:
     return best.select("axis", (F.col("b.slab") + 1).alias("split"), F.col("b.below").alias("below"), (F.col("b.all") - F.col("b.below")).alias("above"))
 
 
-def kd_domains(points: DataFrame, n: int, domains: int) -> DataFrame:
-    """``cell, domain``: the lattice cut in boxes, breadth first, each time where the worse side of points
-    per domain, with a ghost allowance that grows with the number of domains, is least.
+def running_sums(rows: DataFrame, by: list[str], place: str, value: str, width: int) -> DataFrame:
+    """``rows`` with ``upto``: the sum of ``value`` over the rows of the same ``by`` up to this ``place``, itself included.
 
-    Works on the lattice's counts, which are few; labels run from 1 by falling number of points.
+    Places are whole numbers, one row each. Sums run inside blocks of ``width`` places, and over the blocks' totals;
+    with a width of the root of the range of places, no window is longer than that.
     """
-    c = counts(points, n).toPandas()
-    grid = np.zeros(n**3, np.int64)
-    grid[c["cell"].to_numpy()] = c["n"].to_numpy()
-    grid = grid.reshape(n, n, n)
-    fac = 1.35 * (domains / n**3) ** (1 / 3)
-    todo, done = [((0, n, 0, n, 0, n), domains)], []
-    while todo:
-        box, m = todo.pop(0)
-        size = [box[1] - box[0], box[3] - box[2], box[5] - box[4]]
-        if m == 1 or max(size) == 1:
-            done.append(box)
-            continue
-        sub = grid[box[0] : box[1], box[2] : box[3], box[4] : box[5]]
-        best = None
-        for a in range(3):
-            if size[a] < 2:
-                continue
-            left = np.cumsum(sub.sum(tuple(x for x in range(3) if x != a)))[:-1]
-            right = sub.sum() - left
-            for s in range(size[a] - 1):
-                share = int(m * left[s] / max(1, left[s] + right[s]))
-                for ml in {min(max(share, 1), m - 1), min(max(share + 1, 1), m - 1)}:
-                    score = max((1 + fac * np.log(ml)) * left[s] / ml, (1 + fac * np.log(m - ml)) * right[s] / (m - ml))
-                    if best is None or score < best[0]:
-                        best = (score, a, s + 1, ml)
-        _, a, s, ml = best
-        lo, hi = list(box), list(box)
-        lo[2 * a + 1] = hi[2 * a] = box[2 * a] + s
-        todo += [(tuple(lo), ml), (tuple(hi), m - ml)]
-    done.sort(key=lambda b: -grid[b[0] : b[1], b[2] : b[3], b[4] : b[5]].sum())
-    out = np.zeros((n, n, n), np.int32)
-    for d, b in enumerate(done, 1):
-        out[b[0] : b[1], b[2] : b[3], b[4] : b[5]] = d
-    return points.sparkSession.createDataFrame(pd.DataFrame({"cell": np.arange(n**3), "domain": out.ravel()}), "cell long, domain int")
+    block = F.floor(F.col(place) / width).cast("long").alias("_block")
+    rows = rows.select("*", block)
+    line = Window.partitionBy(*by).orderBy("_block")
+    before = rows.groupBy(*by, "_block").agg(F.sum(value).alias("_k")).select(*by, "_block", (F.sum("_k").over(line) - F.col("_k")).alias("_before"))
+    inner = F.sum(value).over(Window.partitionBy(*by, "_block").orderBy(place))
+    return rows.join(before, [*by, "_block"]).withColumn("upto", inner + F.col("_before")).drop("_block", "_before")
+
+
+def least_load(sums: DataFrame, by: list[str]) -> DataFrame:
+    """``by, split, left, load``: where to part lines of slabs over workers so that the worse side's load is least.
+
+    ``sums``: ``by, place, upto, m, growth``, the running sums of a line of slabs 1 to M with an edge slab at either end
+    (places 0 and M + 1), the workers of the line, and how a side's points grow with the logarithm of its workers, for
+    the ghosts of later cuts. Each side gets its slabs and the next one beyond the cut, and a share of workers by its
+    points, rounded down (or one more, if that is no worse). Of equal loads the first slab counts. Lines of fewer than two
+    slabs or workers give no row.
+    """
+    line = Window.partitionBy(*by).orderBy("place")
+    m, L, R = F.col("m"), F.col("_l"), F.col("_r")
+    c = sums.withColumns({"_l": F.lead("upto").over(line), "_all": F.max("upto").over(Window.partitionBy(*by)), "_low": F.lag("upto").over(line), "_last": F.max("place").over(Window.partitionBy(*by))})
+    c = c.where((F.col("place") > 0) & (F.col("place") < F.col("_last") - 1) & (m > 1)).withColumn("_r", F.col("_all") - F.col("_low"))
+    share = F.when(L + R > 0, F.floor(m * L / (L + R))).otherwise(0).cast("int")
+    c = c.withColumn("_m0", F.least(F.greatest(share, F.lit(1)), m - 1)).withColumn("_m1", F.least(F.col("_m0") + 1, m - 1))
+    side = lambda pts, k: (1 + F.col("growth") * F.ln(k)) * pts / k
+    load = lambda k: F.greatest(side(L, F.col(k)), side(R, m - F.col(k)))
+    best = c.groupBy(*by).agg(*(F.min(F.struct(load(k).alias("load"), F.col("place").alias("split"), F.col(k).alias("left"))).alias(f"b{i}") for i, k in enumerate(("_m0", "_m1"))))
+    pick = F.when(F.col("b0.load") < F.col("b1.load"), F.col("b0")).otherwise(F.col("b1"))
+    return best.withColumn("b", pick).select(*by, F.col("b.split").cast("long").alias("split"), F.col("b.left").cast("int").alias("left"), F.col("b.load").alias("load"))
+
+
+def load_partition(points: DataFrame, axis: str, slabs: int, workers: int, growth: float) -> DataFrame:
+    """``split, left, load``: the best cut of the unit interval's ``slabs`` along ``axis``, with periodic edge slabs."""
+    k = points.groupBy(F.floor(F.col(axis) * slabs).cast("long").alias("slab")).agg(F.count(F.lit(1)).alias("k"))
+    edges = F.array_compact(F.array(F.col("slab") + 1, F.when(F.col("slab") == 0, slabs + 1), F.when(F.col("slab") == slabs - 1, 0)))
+    filled = k.select(F.explode(edges).alias("place"), "k")
+    every = points.sparkSession.range(slabs + 2).select(F.col("id").alias("place"))
+    line = every.join(filled, "place", "left").select(F.lit(0).alias("line"), "place", F.coalesce("k", F.lit(0)).alias("k"))
+    sums = running_sums(line, ["line"], "place", "k", max(1, int(slabs**0.5)))
+    return least_load(sums.withColumns({"m": F.lit(workers), "growth": F.lit(growth)}), ["line"]).drop("line")
+
+
+def summed_area(padded: DataFrame, side: int) -> DataFrame:
+    """``cell, sum``: over all cells of ``padded(i, j, k, n)``, a full lattice of ``side`` per axis, the sum of n up to each.
+
+    One axis after the other; a window holds one line of the lattice.
+    """
+    out = padded
+    for a in "ijk":
+        line = Window.partitionBy(*[b for b in "ijk" if b != a]).orderBy(a)
+        out = out.withColumn("n", F.sum("n").over(line))
+    return out.select(((F.col("i") * side + F.col("j")) * side + F.col("k")).alias("cell"), F.col("n").alias("sum"))
+
+
+#: Fixed value: the ghosts that a cut adds, as a share of the points, grow with 1.35 times the domains' width in cells.
+GHOST_GROWTH = 1.35
+
+
+def kd_boxes(points: DataFrame, n: int, domains: int) -> DataFrame:
+    """``domain, i0, i1, j0, j1, k0, k1, total, shift_i, shift_j, shift_k``: the lattice of n per axis cut in boxes, a row each.
+
+    The lattice is first turned so that its planes 0 lie where least points cross: between the two neighbouring planes
+    that hold the fewest (``shift``; bounds of boxes are in turned cells, the upper ones excluded). Starting with the whole, a
+    box that has several domains is cut at the slab, along the axis and with the shares of domains for which the worse side
+    has the least load (``least_load``), its one cell of ghosts around counted on either side. ``total`` is a box's points
+    with these ghosts; domains are numbered from 1 by falling total, then in the order of the cuts, breadth first.
+
+    A summed-area table of the turned and padded lattice is written once. Each round takes the slab sums of all open
+    boxes from it by an equi-join on corners (3 * n * 8 rows a box), so points and cells are not read again.
+    """
+    spark = points.sparkSession
+    c = cut(counts(points, n), "counts")
+    at = {"i": F.expr(f"cell div {n * n}"), "j": F.expr(f"cell div {n} % {n}"), "k": F.expr(f"cell % {n}")}
+    planes = c.select(F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), v.alias("p"), F.col("n")) for a, v in at.items()))).alias("s")).groupBy("s.axis", "s.p").agg(F.sum("s.n").alias("n"))
+    ring = Window.partitionBy("axis").orderBy("p")
+    cross = planes.withColumn("n", F.col("n") + F.coalesce(F.lag("n").over(ring), F.max_by("n", "p").over(Window.partitionBy("axis"))))
+    shift = {r["axis"]: int(r["p"]) for r in cross.groupBy("axis").agg(F.min_by("p", F.struct("n", "p")).alias("p")).collect()}
+    turned = c.select(*(F.pmod(v - shift[a], F.lit(n)).alias(a) for a, v in at.items()), "n")
+    for a in "ijk":  # a cell more at either end
+        more = F.array_compact(F.array(F.col(a) + 1, F.when(F.col(a) == 0, n + 1), F.when(F.col(a) == n - 1, 0)))
+        turned = turned.withColumn(a, F.explode(more))
+    side = n + 2
+    table = cut(summed_area(turned, side), "summed_area")
+    growth = GHOST_GROWTH * (domains / n**3) ** (1 / 3)
+    start = spark.range(1).select(F.lit("").alias("path"), *(F.lit(x).cast("long").alias(f"{a}{e}") for a in "ijk" for e, x in ((0, 0), (1, n))), F.lit(domains).alias("m"))
+    ends = [[(-1, f"{a}0 - 1"), (1, f"if(axis = '{a}', {a}0 + place, {a}1 + 1)")] for a in "ijk"]
+    corners = ", ".join(f"struct(({x}) * {side * side} + ({y}) * {side} + {z} as cell, {p * q * r} as sign, {x} >= 0 and {y} >= 0 and {z} >= 0 as present)" for p, x in ends[0] for q, y in ends[1] for r, z in ends[2])
+    halves = [", ".join(f"if(b.axis = '{a}', {a}0 + b.split, {a}{e}) as {a}{e}" if e == 1 - right else f"{a}{e}" for a in "ijk" for e in (0, 1)) for right in (0, 1)]
+    done, todo = None, start
+    while True:
+        # sums over the padded box up to each slab of each axis, by the eight corners of the table
+        slabs = todo.selectExpr("*", "explode(array('i', 'j', 'k')) as axis").selectExpr("*", "explode(sequence(0L, case axis when 'i' then i1 - i0 when 'j' then j1 - j0 else k1 - k0 end + 1)) as place")
+        lines = slabs.selectExpr("path", "m", "axis", "place", f"inline(array({corners}))").where("present")
+        sums = lines.join(table, "cell").groupBy("path", "m", "axis", "place").agg(F.sum(F.col("sign") * F.col("sum")).alias("upto"), F.lit(growth).alias("growth"))
+        best = least_load(sums, ["path", "axis"]).groupBy("path").agg(F.min(F.struct("load", "axis", "split", "left")).alias("b"))
+        total = sums.groupBy("path").agg(F.max("upto").alias("total"))
+        cutting = cut(todo.join(total, "path").join(best, "path", "left"), "cuts")
+        # a box of one domain is done, and so is one of one cell, which cannot be cut
+        ready = cutting.where("b is null").drop("b", "m")
+        done = ready if done is None else done.unionByName(ready)
+        todo = cutting.where("b is not null").selectExpr(f"inline(array({', '.join(f"struct(concat(path, '{r}') as path, {h}, {'m - b.left' if r else 'b.left'} as m)" for r, h in enumerate(halves))}))")
+        if todo.isEmpty():
+            break
+    order = Window.orderBy(F.desc("total"), F.length("path"), "path")  # as many rows as domains
+    return done.withColumns({"domain": F.row_number().over(order), **{f"shift_{a}": F.lit(shift[a]) for a in "ijk"}}).drop("path")
+
+
+def kd_domains(points: DataFrame, n: int, domains: int) -> DataFrame:
+    """``cell, domain``: the boxes of ``kd_boxes`` as cells of the lattice before it was turned."""
+    out = kd_boxes(points, n, domains)
+    for a in "ijk":
+        out = out.withColumn(a, F.explode(F.sequence(F.col(f"{a}0"), F.col(f"{a}1") - 1)))
+        out = out.withColumn(a, F.pmod(F.col(a) + F.col(f"shift_{a}"), F.lit(n)))
+    return out.select(((F.col("i") * n + F.col("j")) * n + F.col("k")).alias("cell"), "domain")

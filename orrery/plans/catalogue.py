@@ -453,11 +453,54 @@ def balanced_ghosts(spark, sf):
     return domains.ghost_stats(domains.balanced_domains(views.clustered(spark, sf), 0.02, 8, 8))
 
 
-@query()
+def _load_sql(name: str, lines: str, by: str) -> str:
+    """``name(by, split, mleft, load)`` from ``lines(by, place, upto, m, growth)``: candidates cut by cut, best first."""
+    side = lambda pts, k: f"(1 + growth * ln({k})) * {pts} / {k}"
+    load = lambda k: f"greatest({side('l', k)}, {side('r', f'(m - {k})')})"
+    return f"""{name}_c AS (SELECT *, greatest(1, least(m - 1, CASE WHEN l + r > 0 THEN CAST(floor(m * l / (l + r)) AS INTEGER) ELSE 0 END)) AS m0 FROM (
+  SELECT *, CAST(lead(upto) OVER w AS DOUBLE) AS l, CAST(max(upto) OVER v - lag(upto) OVER w AS DOUBLE) AS r, max(place) OVER v AS last FROM {lines} WINDOW w AS (PARTITION BY {by} ORDER BY place), v AS (PARTITION BY {by}))
+  WHERE m > 1 AND place BETWEEN 1 AND last - 2),
+{name}_d AS (SELECT {by}, place, least(m0 + o, m - 1) AS k, o, l, r, m, growth FROM {name}_c, (SELECT unnest([0, 1]) AS o)),
+{name}_e AS (SELECT {by}, o, place AS split, k AS mleft, {load("k")} AS load FROM {name}_d),
+{name} AS MATERIALIZED (SELECT * EXCLUDE (o, t) FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY load, o DESC, split) AS t FROM {name}_e) WHERE t = 1)"""
+
+
+def _kd_sql(n: int, m: int) -> str:
+    shift = ", ".join(f"(SELECT p FROM (SELECT p, k + coalesce(lag(k) OVER (ORDER BY p), last_value(k) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS c FROM (SELECT {v} AS p, sum(n) AS k FROM g GROUP BY 1)) ORDER BY c, p LIMIT 1) AS s{a}" for a, v in zip("ijk", (f"cell // {n * n}", f"cell // {n} % {n}", f"cell % {n}"), strict=True))
+    pads = "h AS (SELECT (cell // {nn} - si + {n}) % {n} AS i, (cell // {n} % {n} - sj + {n}) % {n} AS j, (cell % {n} - sk + {n}) % {n} AS k, n FROM g, s)".format(nn=n * n, n=n)
+    for a in "ijk":
+        src = {"i": "h", "j": "h_i", "k": "h_j"}[a]
+        rest = ", ".join(x for x in "ijk" if x != a)
+        pads += f", h_{a} AS MATERIALIZED (SELECT {rest}, n, unnest([{a} + 1] || CASE WHEN {a} = 0 THEN [{n + 1}] WHEN {a} = {n - 1} THEN [0] ELSE [] END) AS {a} FROM {src})"
+    parts = [f"b0 AS (SELECT '' AS path, 0 AS i0, {n} AS i1, 0 AS j0, {n} AS j1, 0 AS k0, {n} AS k1, {m} AS m)"]
+    for r in range(m):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT b.*, n, i, j, k FROM b{r} b JOIN h_k ON i BETWEEN i0 AND i1 + 1 AND j BETWEEN j0 AND j1 + 1 AND k BETWEEN k0 AND k1 + 1),
+t{r} AS (SELECT path, sum(n) AS total FROM a{r} GROUP BY 1),
+u{r} AS (SELECT path, axis, m, place, sum(sum(n)) OVER (PARTITION BY path, axis ORDER BY place) AS upto, {1.35 * (m / n**3) ** (1 / 3)!r}::DOUBLE AS growth FROM (
+  SELECT path, m, n, unnest(['i', 'j', 'k']) AS axis, unnest([i - i0, j - j0, k - k0]) AS place FROM a{r}) GROUP BY path, axis, m, place),
+{_load_sql(f"l{r}", f"u{r}", "path, axis")},
+c{r} AS MATERIALIZED (SELECT b.*, t.total, l.axis, l.split, l.mleft FROM b{r} b JOIN t{r} t ON t.path = b.path LEFT JOIN (SELECT * FROM l{r} QUALIFY row_number() OVER (PARTITION BY path ORDER BY load, axis) = 1) l ON l.path = b.path),
+b{r + 1} AS (""" + " UNION ALL ".join(f"SELECT path || '{q}' AS path, " + ", ".join(f"CASE WHEN axis = '{a}' THEN {a}0 + split ELSE {a}{e} END AS {a}{e}" if e == 1 - q else f"{a}{e}" for a in "ijk" for e in (0, 1)) + f", {'m - mleft' if q else 'mleft'} AS m FROM c{r} WHERE axis IS NOT NULL" for q in (0, 1)) + ")")
+    ready = " UNION ALL ".join(f"SELECT path, i0, i1, j0, j1, k0, k1, total FROM c{r} WHERE axis IS NULL" for r in range(m))
+    cell = f"((i + si) % {n} * {n} + (j + sj) % {n}) * {n} + (k + sk) % {n}"
+    return f"""WITH {_C}, n AS (SELECT {_cell(n)} AS cell, count(*) AS k FROM c GROUP BY 1), g AS MATERIALIZED (SELECT r.range AS cell, coalesce(k, 0) AS n FROM range({n**3}) r LEFT JOIN n ON n.cell = r.range),
+s AS MATERIALIZED (SELECT {shift}), {pads}, {", ".join(parts)}, d AS (SELECT *, row_number() OVER (ORDER BY total DESC, length(path), path)::INTEGER AS domain FROM ({ready})),
+x AS (SELECT range AS v FROM range({n}))
+SELECT CAST({cell} AS BIGINT) AS cell, domain FROM d, s JOIN (SELECT v AS i FROM x) ON i >= i0 AND i < i1 JOIN (SELECT v AS j FROM x) ON j >= j0 AND j < j1 JOIN (SELECT v AS k FROM x) ON k >= k0 AND k < k1"""
+
+
+@query(_kd_sql(8, 6))
 def kd_domains(spark, sf):
     return domains.kd_domains(views.clustered(spark, sf), 8, 6)
 
 
+@query(f"""WITH {_P}, f AS (SELECT CAST(floor(x * 64) AS BIGINT) AS b, count(*) AS k FROM p GROUP BY 1), q AS (SELECT r.range AS place, coalesce(k, 0) AS k FROM range(66) r LEFT JOIN f ON b = (r.range + 63) % 64),
+u AS (SELECT 0 AS line, place, sum(k) OVER (ORDER BY place) AS upto, 5 AS m, 0.125::DOUBLE AS growth FROM q), {_load_sql("z", "u", "line")} SELECT CAST(split AS BIGINT) AS split, CAST(mleft AS INTEGER) AS \"left\", {_fx("load", "1000.0::DOUBLE")} AS load_fx FROM z""".replace("\\", ""))
+def load_partition(spark, sf):
+    out = domains.load_partition(views.particles(spark, sf), "x", 64, 5, 0.125)
+    return out.select("split", "left", lattice.fixed(F.col("load"), 1000).alias("load_fx"))
+
+
 @query()
 def displacement_field(spark, sf):
     return fourier.displacement(spark, cosmology.efstathiou(), 16, 100.0, 123)
