@@ -111,34 +111,6 @@ def neighbour_counts(points: DataFrame, r: float) -> DataFrame:
     return points.select("id").join(n, F.col("id") == F.col("i"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def nearest(points: DataFrame, k: int, r: float) -> DataFrame:
-    """``i, rank, j, r2``: the k nearest neighbours of each point, ties to the smaller id.
-
-    Starts at radius ``r`` and doubles it for the points that lack neighbours, up to just below half the
-    box; points that still lack some are compared with all.
-    """
-    todo, found, total = points, None, points.count()
-    rank = F.row_number().over(Window.partitionBy("i").orderBy("r2", "j"))
-    while True:
-        near = radius_join(todo, points, r, same=True).withColumn("rank", rank).where(F.col("rank") <= k).select("i", "rank", "j", "r2")
-        full = near.where(F.col("rank") == min(k, total - 1)).select(F.col("i").alias("id"))
-        done = near.join(full.withColumnRenamed("id", "i"), "i", "left_semi")
-        found = done if found is None else found.unionByName(done)
-        todo = todo.join(full, "id", "left_anti")
-        if r * 2 >= 0.5:
-            break
-        r *= 2
-        if not todo.limit(1).count():
-            return found
-    if todo.limit(1).count():
-        a = todo.select(F.col("id").alias("i"), *[F.col(c).alias(f"{c}i") for c in AXES])
-        b = points.select(F.col("id").alias("j"), *[F.col(c).alias(f"{c}j") for c in AXES])
-        d = [min_image(F.col(f"{c}i") - F.col(f"{c}j")) for c in AXES]
-        far = a.join(b, F.col("i") != F.col("j")).withColumn("r2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-        found = found.unionByName(far.withColumn("rank", rank).where(F.col("rank") <= k).select("i", "rank", "j", "r2"))
-    return found
-
-
 def neighbour_vectors(points: DataFrame, links: DataFrame) -> DataFrame:
     """``i, j, dx, dy, dz``: nearest-image displacement from i to each stored neighbour j."""
     a = points.select(F.col("id").alias("i"), *[F.col(c).alias(f"{c}i") for c in AXES])
@@ -174,27 +146,56 @@ def subcube_flags(points: DataFrame, centre: tuple[float, float, float], half: f
     return points.select("id", (top < half).alias("inside"), (dist2 < ghost * ghost).alias("inside_ghost"), (top > half - ghost).alias("outside_ghost"), (top >= half).alias("outside"))
 
 
+def running_sums(rows: DataFrame, by: list[str], place: str, value: str, width: int) -> DataFrame:
+    """``rows`` with ``upto``: the sum of ``value`` over the rows of the same ``by`` up to this ``place``, itself included.
+
+    Places are whole numbers, one row each. Sums run inside blocks of ``width`` places, and over the blocks' totals;
+    with a width of the root of the range of places, no window is longer than that.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(place) / width).cast("long"))
+    line = Window.partitionBy(*by).orderBy("_block")
+    before = rows.groupBy(*by, "_block").agg(F.sum(value).alias("_k")).select(*by, "_block", (F.sum("_k").over(line) - F.col("_k")).alias("_before"))
+    inner = F.sum(value).over(Window.partitionBy(*by, "_block").orderBy(place))
+    return rows.join(before, [*by, "_block"]).withColumn("upto", inner + F.col("_before")).drop("_block", "_before")
+
+
 def cell_runs(points: DataFrame, n: int) -> DataFrame:
     """``cell, start, stop``: where each filled cell's points lie when points are sorted by cell."""
-    count = points.groupBy(cell_of(n).alias("cell")).agg(F.count(F.lit(1)).alias("k"))
-    before = F.sum("k").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-    return count.select("cell", (before - F.col("k")).alias("start"), before.alias("stop"))
+    count = points.groupBy(cell_of(n).alias("cell")).agg(F.count(F.lit(1)).alias("k"), F.min(F.lit(0)).alias("all"))
+    runs = running_sums(count, ["all"], "cell", "k", max(1, int(n**1.5)))
+    return runs.select("cell", (F.col("upto") - F.col("k")).alias("start"), F.col("upto").alias("stop"))
+
 
+#: Bins per axis of the first pass over events.
+SHIFT_BINS = 1 << 14
 
-def best_shift(points: DataFrame, r: float) -> DataFrame:
+
+def best_shift(points: DataFrame, r: float, bins: int = SHIFT_BINS) -> DataFrame:
     """Per axis, the middle of the stretch of the circle that fewest padded points [p - r, p + r) cover.
 
-    A sweep over +1/-1 events: covered count, then the first stretch of least count.
+    A sweep over +1/-1 events in two levels. Events are first added up in bins (a partial aggregation), whose running sums
+    give the cover at either end of each; a bin cannot go below what it starts with less its -1 events. Only the events
+    of bins that may hold the least cover are sorted, each bin by itself. ``axis, cover, cut``.
     """
-    parts = []
+    items = []
     for a in AXES:
         lo, hi = wrap(F.col(a) - r), wrap(F.col(a) + r)
-        parts.append(points.select(F.lit(a).alias("axis"), F.explode(F.array(F.struct(lo.alias("p"), F.lit(1).alias("d")), F.struct(hi.alias("p"), F.lit(-1).alias("d")))).alias("e"), (lo > hi).cast("int").alias("open")))
-    every = reduce(DataFrame.unionByName, parts).select("axis", "e.p", "e.d", "open")
-    at = every.groupBy("axis", "p").agg(F.sum("d").alias("d"))
-    start = every.groupBy("axis").agg((F.sum("open") / 2).cast("long").alias("start"))
-    line = Window.partitionBy("axis").orderBy("p")
-    swept = at.join(F.broadcast(start), "axis").withColumns({"cover": F.col("start") + F.sum("d").over(line), "nxt": F.lead("p").over(line), "first": F.min("p").over(Window.partitionBy("axis"))})
-    gap = swept.withColumn("stop", F.coalesce("nxt", F.col("first") + 1))
-    best = gap.groupBy("axis").agg(F.min(F.struct("cover", "p", "stop")).alias("b"))
+        items += [F.struct(F.lit(a).alias("axis"), lo.alias("p"), F.lit(1).alias("d"), (lo > hi).cast("int").alias("open")), F.struct(F.lit(a).alias("axis"), hi.alias("p"), F.lit(-1).alias("d"), F.lit(0).alias("open"))]
+    events = points.select(F.inline(F.array(*items))).withColumn("bin", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)))
+    held = events.groupBy("axis", "bin").agg(F.sum("d").alias("d"), F.sum((F.col("d") < 0).cast("long")).alias("ends"), F.sum("open").alias("open"), F.min("p").alias("first"))
+    axis = Window.partitionBy("axis")
+    line = axis.orderBy("bin")  # as many rows as bins
+    after = F.sum("open").over(axis) + F.sum("d").over(line)
+    held = held.withColumns({"start": after - F.col("d"), "after": after, "nxt": F.coalesce(F.lead("first").over(line), F.min("first").over(axis) + 1)})
+    held = held.withColumn("least", F.min("after").over(axis)).where(F.col("start") - F.col("ends") <= F.col("least")).select("axis", "bin", "start", "nxt")
+    at = events.join(F.broadcast(held), ["axis", "bin"]).groupBy("axis", "bin", "p", "start", "nxt").agg(F.sum("d").alias("d"))
+    own = Window.partitionBy("axis", "bin").orderBy("p")
+    swept = at.withColumns({"cover": F.col("start") + F.sum("d").over(own), "stop": F.coalesce(F.lead("p").over(own), F.col("nxt"))})
+    best = swept.groupBy("axis").agg(F.min(F.struct("cover", "p", "stop")).alias("b"))
     return best.select("axis", F.col("b.cover").alias("cover"), wrap((F.col("b.p") + F.col("b.stop")) / 2).alias("cut"))
+
+
+def shift_optimally(points: DataFrame, r: float, bins: int = SHIFT_BINS) -> DataFrame:
+    """``points`` moved round the box so that the best cut of each axis (``best_shift``) lies at 0."""
+    cut = {x["axis"]: x["cut"] for x in best_shift(points, r, bins).collect()}  # three rows
+    return points.withColumns({a: wrap(F.col(a) + (1.0 - cut[a])) for a in AXES}) if cut else points

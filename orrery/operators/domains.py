@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.operators.cells import cell_of, neighbour_cells
+from orrery.operators.cells import cell_of, neighbour_cells, running_sums
 from orrery.operators.lattice import counts
 from orrery.sources.staging import cut
 
@@ -123,20 +123,6 @@ def bisect(points: DataFrame, n: int) -> DataFrame:
     return best.select("axis", (F.col("b.slab") + 1).alias("split"), F.col("b.below").alias("below"), (F.col("b.all") - F.col("b.below")).alias("above"))
 
 
-def running_sums(rows: DataFrame, by: list[str], place: str, value: str, width: int) -> DataFrame:
-    """``rows`` with ``upto``: the sum of ``value`` over the rows of the same ``by`` up to this ``place``, itself included.
-
-    Places are whole numbers, one row each. Sums run inside blocks of ``width`` places, and over the blocks' totals;
-    with a width of the root of the range of places, no window is longer than that.
-    """
-    block = F.floor(F.col(place) / width).cast("long").alias("_block")
-    rows = rows.select("*", block)
-    line = Window.partitionBy(*by).orderBy("_block")
-    before = rows.groupBy(*by, "_block").agg(F.sum(value).alias("_k")).select(*by, "_block", (F.sum("_k").over(line) - F.col("_k")).alias("_before"))
-    inner = F.sum(value).over(Window.partitionBy(*by, "_block").orderBy(place))
-    return rows.join(before, [*by, "_block"]).withColumn("upto", inner + F.col("_before")).drop("_block", "_before")
-
-
 def least_load(sums: DataFrame, by: list[str]) -> DataFrame:
     """``by, split, left, load``: where to part lines of slabs over workers so that the worse side's load is least.
 

@@ -9,8 +9,6 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,30 +152,6 @@ def gradient(lattice: DataFrame, n: int, value: str = "v") -> DataFrame:
     return g.select("cell", *[(F.col(f"g{b}") / 12).alias(f"g{b}") for b in AXES])
 
 
-def interpolate(points: DataFrame, table: DataFrame, at: str, most: int = 1_000_000) -> DataFrame:
-    """Add ``y``: linear interpolation in ``table`` (x, y) at column ``at``; points outside [first, last) are left out.
-
-    The table is sorted on the driver and sent as two arrays, so it may have ``most`` rows; more raise. Of rows with
-    equal x the one with the smallest y counts; null x or y are left out.
-    """
-    rows = table.where("x is not null and y is not null").groupBy("x").agg(F.min("y").alias("y")).orderBy("x").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the table has over {most} rows")
-    x, y = (np.array([r[k] for r in rows], float) for k in (0, 1))
-    schema = T.StructType([*points.schema.fields, T.StructField("y", T.DoubleType())])
-
-    def run(batches):
-        for b in batches:
-            v = b.column(at).to_numpy(zero_copy_only=False).astype(float)
-            i = np.searchsorted(x, v, side="right") - 1
-            ok = (i >= 0) & (i < len(x) - 1) & ~np.isnan(v)
-            i = i[ok]
-            z = y[i] + (v[ok] - x[i]) / (x[i + 1] - x[i]) * (y[i + 1] - y[i]) if len(i) else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*b.filter(pa.array(ok)).columns, pa.array(z)], names=schema.names)
-
-    return points.mapInArrow(run, schema)
-
-
 def full(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n**3).withColumnRenamed("id", "cell")
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.functions import cosmology, kernels, shape
-from orrery.operators import cells, domains, fourier, graph, gravity, lattice, tree
+from orrery.operators import cells, domains, fourier, graph, gravity, lattice, lookup, neighbours, tree
 from orrery.plans import initial_conditions as ics
 from orrery.sources import particle_files, views
 from orrery.streaming import evolve
@@ -155,7 +155,13 @@ def neighbour_count(spark, sf):
 
 @query(f"WITH {_C}, d AS (SELECT a.id AS i, b.id AS j, {_R2} AS r2 FROM c a, c b WHERE a.id <> b.id) SELECT i, rank, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY r2, j)::INTEGER AS rank FROM d) WHERE rank <= 3")
 def nearest_neighbours(spark, sf):
-    return cells.nearest(views.clustered(spark, sf), 3, 0.1).select("i", "rank", "j")
+    return neighbours.nearest(views.clustered(spark, sf), 3).select("i", "rank", "j")
+
+
+@query(f"WITH {_C}, d AS (SELECT a.id AS i, b.id AS j, {_R2} AS r2 FROM c a, c b WHERE a.id <> b.id) SELECT i, rank, j, {_fx('r2')} AS r2_fx FROM (SELECT i, j, r2, row_number() OVER (PARTITION BY i ORDER BY r2, j)::INTEGER AS rank FROM d) WHERE rank <= 40")
+def nearest_forty(spark, sf):
+    """As many neighbours as a smoothing kernel takes, of points that crowd in few places."""
+    return neighbours.nearest(views.clustered(spark, sf), 40).select("i", "rank", "j", lattice.fixed(F.col("r2")).alias("r2_fx"))
 
 
 @query(f"WITH {_C}, l AS (SELECT a.id AS i, b.id AS j, {_img('b.x', 'a.x')} AS dx, {_img('b.y', 'a.y')} AS dy, {_img('b.z', 'a.z')} AS dz, {_R2} AS r2 FROM c a, c b WHERE a.id <> b.id) SELECT i, j, {_fx('dx')} AS dx_fx, {_fx('dy')} AS dy_fx, {_fx('dz')} AS dz_fx FROM l WHERE r2 < 0.02::DOUBLE*0.02::DOUBLE")
@@ -212,6 +218,19 @@ def optimal_shift(spark, sf):
     return cells.best_shift(views.particles(spark, sf), 0.0001).select("axis", F.col("cover").cast("long").alias("cover"), lattice.fixed(F.col("cut")).alias("cut_fx"))
 
 
+def _shifted_sql() -> str:
+    head, _, _ = _shift_sql().rpartition("SELECT axis, ")
+    moved = ", ".join(_fx(f"({a} + (1 - {a}c)) - floor({a} + (1 - {a}c))") + f" AS {a}_fx" for a in "xyz")
+    best = ", ".join(f"max((q+stop)/2 - floor((q+stop)/2)) FILTER (axis = '{a}') AS {a}c" for a in "xyz")
+    return f"{head}SELECT id, {moved} FROM p, (SELECT {best} FROM r WHERE k = 1)"
+
+
+@query(_shifted_sql())
+def shifted_points(spark, sf):
+    """Points moved so that padding at the faces repeats the fewest."""
+    return cells.shift_optimally(views.particles(spark, sf), 0.0001).select("id", *[lattice.fixed(F.col(a)).alias(f"{a}_fx") for a in "xyz"])
+
+
 # --- groups
 
 _FOF = f"l AS (SELECT a.id AS s, b.id AS d FROM c a, c b WHERE a.id <> b.id AND {_R2} < {B}::DOUBLE*{B}::DOUBLE), r AS (SELECT id AS s, id AS d FROM c UNION SELECT r.s, l.d FROM r JOIN l ON l.s = r.d), g AS (SELECT s AS id, min(d) AS grp FROM r GROUP BY s)"
@@ -338,6 +357,22 @@ def octree_chunks(spark, sf):
     return tree.chunks(_octree(spark, sf), 100)
 
 
+def _chunk_sql(reach: float) -> str:
+    at = {a: "(" + " + ".join(f"((key >> {3 * b + q}) & 1) * {1 << b}" for b in range(6)) + f") / CAST(1 << depth AS DOUBLE)" for a, q in zip("xyz", (2, 1, 0), strict=True)}
+    half = f"(w / 2 + {reach}::DOUBLE)"
+    d = {a: f"(({a} - ({a}0 + w / 2)) - floor(({a} - ({a}0 + w / 2)) + 0.5::DOUBLE))" for a in "xyz"}
+    inside = " AND ".join(f"({half} >= 0.5 OR ({d[a]} >= -{half} AND {d[a]} < {half}))" for a in "xyz")
+    return f"""WITH {_P}, {_OCT}, h AS (SELECT t.depth, t.key FROM t LEFT JOIN t u ON u.depth = t.depth - 1 AND u.key = t.key >> 3 WHERE (t.n <= 100 OR t.leaf) AND (u.n IS NULL OR u.n > 100)),
+b AS (SELECT depth, key, 1 / CAST(1 << depth AS DOUBLE) AS w, {", ".join(f"{v} AS {a}0" for a, v in at.items())} FROM h), q AS (SELECT id, x, y, z, {_morton_sql(6)} AS m FROM p)
+SELECT depth, key, id, m >> CAST(3*(6-depth) AS INTEGER) = key AS own FROM b, q WHERE m >> CAST(3*(6-depth) AS INTEGER) = key OR ({inside})"""
+
+
+@query(_chunk_sql(0.02))
+def chunk_members(spark, sf):
+    """Tree chunks of up to 100 points with their points, and those within 0.02 around them."""
+    return neighbours.chunk_members(views.particles(spark, sf), tree.chunks(_octree(spark, sf), 100), 0.02, 6)
+
+
 @query(f"WITH {_P}, m AS (SELECT id, {_morton_sql(12)} AS m FROM p) SELECT id, row_number() OVER (ORDER BY m, id) - 1 AS row FROM m")
 def octree_order(spark, sf):
     return tree.octree_order(views.particles(spark, sf), 12)
@@ -377,7 +412,7 @@ def table_interpolation(spark, sf):
     """Linear interpolation in a table (rows per quantity) at the values of events: lead() makes intervals."""
     t = views.table(spark, sf, "lineitem").groupBy(F.col("l_quantity").cast("double").alias("x0")).agg(F.count(F.lit(1)).cast("double").alias("y0"))
     e = views.table(spark, sf, "events").select("event_id", "value")
-    v = lattice.interpolate(e, t.selectExpr("x0 as x", "y0 as y"), "value")
+    v = lookup.interpolate(e, t.selectExpr("x0 as x", "y0 as y"), "value")
     return v.select("event_id", lattice.fixed(F.col("y"), 1_000_000).alias("v_fx"))
 
 
