@@ -7,6 +7,7 @@ against NumPy.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql.window import Window
 from orrery.functions import cosmology, kernels, shape
 from orrery.operators import cells, domains, fourier, graph, gravity, lattice, lookup, neighbours, tree
 from orrery.plans import initial_conditions as ics
-from orrery.sources import particle_files, views
+from orrery.sources import particle_files, snapshots, staging, views
 from orrery.streaming import evolve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -457,6 +458,18 @@ def split_files(spark, sf):
     return f.groupBy("file", "ptype").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {_P}, o AS (SELECT *, CAST(1 + id % 3 AS INTEGER) AS ptype FROM p)
+SELECT row_number() OVER (ORDER BY ptype, id) AS id, ptype, {_fx("x * 1000.0::DOUBLE", "1000.0::DOUBLE")} AS x_fx, {_fx("z * 1000.0::DOUBLE", "1000.0::DOUBLE")} AS z_fx, {_fx("vy", "1000.0::DOUBLE")} AS vy_fx,
+  CAST(CASE WHEN ptype = 2 THEN 5 ELSE w END AS BIGINT) AS mass FROM o""")
+def snapshot_round_trip(spark, sf):
+    """Particles written as a snapshot of three labelled files, and read back in ranges of 1,000 particles."""
+    path = f"{staging.base(spark)}/snapshots/{uuid.uuid4().hex}"
+    p = views.particles(spark, sf).selectExpr("id", "cast(1 + id % 3 as int) as ptype", "x", "y", "z", "vx", "vy", "vz", "w * 1e10 as mass")
+    snapshots.write_gadget(p, path, 0.5, 1.0, 0.3, 0.7, files=3, double=True, masses=[0, 0, 5e10, 0, 0, 0], labels=True)
+    got = snapshots.read_gadget(spark, path, ["id", "ptype", "x", "z", "vy", "mass"], rows=1000)
+    return got.select("id", "ptype", *[lattice.fixed(F.col(c), 1000).alias(f"{c}_fx") for c in ("x", "z", "vy")], F.round("mass").cast("long").alias("mass"))
+
+
 @query("SELECT r.range AS id, {} AS x_fx, {} AS y_fx, {} AS z_fx FROM range(512) r".format(*[_fx(f"({e}) * 0.125::DOUBLE") for e in ("r.range // 64", "r.range // 8 % 8", "r.range % 8")]))
 def uniform_lattice(spark, sf):
     return views.lattice_points(spark, 8).select("id", *[lattice.fixed(F.col(c)).alias(f"{c}_fx") for c in "xyz"])

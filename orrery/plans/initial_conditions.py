@@ -9,7 +9,8 @@ from orrery.functions.cosmology import normalised, particle_mass, velocity_facto
 from orrery.operators.cells import wrap
 from orrery.operators.fourier import boost, density_modes, displacement, spectrum
 from orrery.operators.lattice import deposit, gather_displacement, save_levels
-from orrery.sources.particle_files import read_gadget, write_gadget, write_spectrum
+from orrery.sources.particle_files import write_spectrum
+from orrery.sources.snapshots import read_gadget, write_gadget
 
 
 def displacements(spark: SparkSession, p, n: int, box: float, seed: int, sigma8: float, a: float, om: float, ol: float, path: str | None = None) -> DataFrame:

@@ -1,134 +1,19 @@
-"""Particle and spectrum files: Parquet particle tables, GADGET-1 snapshots (reader and writer), cubes of
-counts, and spectrum text.
+"""Particle and spectrum files: Parquet particle tables, cubes of counts, and spectrum text. Snapshots: ``snapshots``.
 
-Particle rows are ``ptype INT, id BIGINT, x, y, z, vx, vy, vz, mass``. A GADGET-1 snapshot is any number of
-files, each with a 256-byte header and records of positions, velocities, ids and masses between
-length marks; each Spark task reads or writes one file.
+Particle rows are ``ptype INT, id BIGINT, x, y, z, vx, vy, vz, mass``.
 """
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-#: The header's layout (counts, masses, time and redshift, flags, totals, box and cosmology).
-_HEADER = struct.Struct("<6i6d2d2i6i2i4d2i6i")
-RECORD_LIMIT = (1 << 31) - 1
-SCHEMA = "ptype int, id bigint, x double, y double, z double, vx double, vy double, vz double, mass double"
 _COLS = ["ptype", "id", "x", "y", "z", "vx", "vy", "vz", "mass"]
 
 
-def _fs(path: str):
-    from pyarrow import fs
-
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
-
-
-@dataclass
-class GadgetFile(InputPartition):
-    path: str
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
-
-    def partitions(self):
-        from pyarrow import fs as pafs
-
-        fs, base = _fs(self.options["path"])
-        info = fs.get_file_info(base)
-        if info.type == pafs.FileType.Directory:
-            found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(base)) if not f.base_name.startswith((".", "_")))
-        else:
-            found = [base]
-        return [GadgetFile(p) for p in found]
-
-    def read(self, partition: GadgetFile) -> Iterator:
-        import pyarrow as pa
-
-        fs, _ = _fs(self.options["path"])
-        with fs.open_input_file(partition.path) as f:
-            raw = f.read()
-        at, recs = 0, []
-        while at < len(raw):
-            n = struct.unpack_from("<I", raw, at)[0]
-            recs.append(memoryview(raw)[at + 4 : at + 4 + n])
-            at += n + 8
-        h = _HEADER.unpack_from(bytes(recs[0]))
-        counts, masses = h[:6], h[6:12]
-        total = sum(counts)
-        if not total:
-            return
-        real = np.dtype("<f8" if len(recs[1]) == 24 * total else "<f4")
-        pos, vel = (np.frombuffer(r, real).reshape(-1, 3).astype(float) for r in recs[1:3])
-        ids = np.frombuffer(recs[3], "<u4").astype(np.int64)
-        ptype = np.repeat(np.arange(6, dtype=np.int32), counts)
-        mass = np.repeat(np.array(masses), counts)
-        own = np.repeat(np.array([c > 0 and m == 0 for c, m in zip(counts, masses, strict=True)]), counts)
-        if own.any():
-            mass[own] = np.frombuffer(recs[4], real)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ptype, ids, *pos.T.copy(), *vel.T.copy(), mass)], names=_COLS)
-
-
-class _Writer(DataSourceWriter):
-    def __init__(self, options: dict):
-        self.o = options
-
-    def write(self, iterator) -> WriterCommitMessage:
-        rows = [tuple(r) for r in iterator]
-        if not rows:
-            return WriterCommitMessage()
-        names = [*_COLS, "file"]
-        pdf = pd.DataFrame(rows, columns=names).sort_values(["file", "ptype", "id"], kind="stable")
-        fs, base = _fs(self.o["path"])
-        fs.create_dir(base, recursive=True)
-        real = "<f8" if self.o.get("double") == "true" else "<f4"
-        totals = [int(x) for x in self.o["totals"].split(",")]
-        fixed = [float(x) for x in self.o["masses"].split(",")]
-        for number, part in pdf.groupby("file"):
-            counts = [int((part["ptype"] == t).sum()) for t in range(6)]
-            c = {k: float(self.o.get(k, 0)) for k in ("time", "redshift", "boxsize", "omega0", "omegalambda", "hubbleparam")}
-            head = _HEADER.pack(*counts, *fixed, c["time"], c["redshift"], 0, 0, *totals, 0, int(self.o["files"]), c["boxsize"], c["omega0"], c["omegalambda"], c["hubbleparam"], 0, 0, *[0] * 6)
-            recs = [head.ljust(256, b"\0"), part[["x", "y", "z"]].to_numpy(real).tobytes(), part[["vx", "vy", "vz"]].to_numpy(real).tobytes(), part["id"].to_numpy("<u4").tobytes()]
-            own = part["ptype"].map(lambda t: fixed[t] == 0)
-            if own.any():
-                recs.append(part.loc[own, "mass"].to_numpy(real).tobytes())
-            if max(map(len, recs)) > RECORD_LIMIT:
-                raise ValueError("a record passes 2**31 - 1 bytes; write more files")
-            with fs.open_output_stream(f"{base}/snapshot.{number}") as out:
-                for r in recs:
-                    mark = struct.pack("<I", len(r))
-                    out.write(mark + r + mark)
-        return WriterCommitMessage()
-
-
-class GadgetSource(DataSource):
-    """Format name ``gadget1``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "gadget1"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(dict(self.options))
-
-
 def number_rows(df: DataFrame, *keys: str, name: str = "row") -> DataFrame:
     """Consecutive numbers from 0 in the order of ``keys``: ranges are sorted in parallel, and one count per
     range comes to the driver."""
@@ -161,31 +46,6 @@ def file_of(rows: DataFrame, files: int) -> DataFrame:
     return out.withColumn("file", F.expr(f"(row - _first) div (_n div {files} + 1)").cast("int")).drop("_n", "_first")
 
 
-def write_gadget(particles: DataFrame, path: str, time: float, boxsize: float, omega0: float, omegalambda: float, h: float = 1.0, files: int = 1, double: bool = False, masses: list[float] | None = None, to_kpc: bool = True) -> None:
-    """Write a snapshot directory. Lengths go from Mpc to kpc and masses to 1e10 solar masses with ``to_kpc``.
-
-    Ids become 1 .. N in the order (ptype, id). ``masses`` are the header's per-type masses; types
-    with 0 there carry their own.
-    """
-    spark = particles.sparkSession
-    spark.dataSource.register(GadgetSource)
-    got = {r["ptype"]: r["count"] for r in particles.groupBy("ptype").count().collect()}
-    totals = [got.get(t, 0) for t in range(6)]
-    length, weight = (1e3, 1e-10) if to_kpc else (1.0, 1.0)
-    rows = number_rows(particles, "ptype", "id")
-    first = F.element_at(F.array(*[F.lit(int(v)) for v in np.cumsum([0, *totals[:-1]])]), F.col("ptype") + 1)
-    per = F.element_at(F.array(*[F.lit(t // files + 1) for t in totals]), F.col("ptype") + 1)
-    rows = rows.withColumn("file", F.floor((F.col("row") - first) / per).cast("int")).withColumn("id", F.col("row") + 1)
-    rows = rows.select("ptype", "id", *[(F.col(a) * length).alias(a) for a in "xyz"], "vx", "vy", "vz", (F.col("mass") * weight).alias("mass"), "file")
-    opts = {"totals": ",".join(map(str, totals)), "masses": ",".join(str(m * weight) for m in masses or [0.0] * 6), "files": str(files), "double": str(double).lower(), "time": str(time), "redshift": str(1 / time - 1 if time else 0), "boxsize": str(boxsize * length), "omega0": str(omega0), "omegalambda": str(omegalambda), "hubbleparam": str(h)}
-    rows.repartition(files, "file").write.format("gadget1").options(**opts).mode("append").save(path)
-
-
-def read_gadget(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(GadgetSource)
-    return spark.read.format("gadget1").option("path", path).load()
-
-
 def save_particles(particles: DataFrame, path: str) -> None:
     """A particle table as Parquet, one partition per type."""
     particles.write.mode("errorifexists").partitionBy("ptype").parquet(path)

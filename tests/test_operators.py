@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from orrery.functions import cosmology, kernels, shape
 from orrery.operators import cells, domains, fourier, graph, gravity, lattice, lookup, neighbours, tree
 from orrery.plans import initial_conditions as ics
-from orrery.sources import particle_files, views
+from orrery.sources import particle_files, snapshots, views
 from orrery.streaming import evolve
 
 
@@ -245,8 +245,8 @@ def test_ellipsoid(spark):
 def test_snapshot_round_trip(spark, tmp_path):
     rows = [(t, i, *np.random.RandomState(i).rand(6).tolist(), 1e10 * (i + 1)) for i, t in enumerate([1] * 7 + [2] * 4)]
     df = spark.createDataFrame(rows, particle_files.SCHEMA)
-    particle_files.write_gadget(df, str(tmp_path / "snap"), 0.5, 100.0, 0.3, 0.7, files=2, double=True)
-    got = particle_files.read_gadget(spark, str(tmp_path / "snap")).toPandas().sort_values("id")
+    snapshots.write_gadget(df, str(tmp_path / "snap"), 0.5, 100.0, 0.3, 0.7, files=2, double=True)
+    got = snapshots.read_gadget(spark, str(tmp_path / "snap")).toPandas().sort_values("id")
     assert got["id"].tolist() == list(range(1, 12)) and len(list((tmp_path / "snap").iterdir())) == 2
     assert np.allclose(got[["x", "y", "z"]].to_numpy(), np.array([r[2:5] for r in rows]) * 1e3)
     assert np.allclose(got["mass"].to_numpy(), np.arange(1, 12))
