@@ -8,6 +8,7 @@ literals, so the look-up stays in generated code.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,6 +77,28 @@ def transfer(mode: str, a: np.ndarray) -> np.ndarray:
     raise ValueError(f"no force split {mode!r}")
 
 
+def transfer_column(mode: str, a: Column) -> Column:
+    """``transfer`` as a column expression."""
+    if mode == "cubic":
+        t = -12 * (F.sin(a) / a + 2 * F.cos(a) / (a * a) - 2 / (a * a)) / (a * a)
+        return F.when(a <= 1e-2, 1 - a * a / 15).otherwise(t)
+    if mode == "quartic":
+        t = 15 * ((3 - a * a) * F.sin(a) - 3 * a * F.cos(a)) / (a * a * a * a * a)
+        return F.when(a <= 1e-2, 1 - 3 * a * a / 56).otherwise(t)
+    if mode == "erf":
+        return F.exp(-(a / 4.5) * (a / 4.5))
+    raise ValueError(f"no force split {mode!r}")
+
+
+def difference_factor(n: int, r_coarse: float, r_fine: float) -> Callable[[Column], Column]:
+    """``difference_weights`` as an expression of a mode's squared whole wave number."""
+    def factor(m2: Column) -> Column:
+        k = 2 * math.pi * F.sqrt(m2)
+        return F.when(m2 == 0, 0.0).otherwise(4 * math.pi * n**3 * (transfer_column("cubic", k * r_fine) - transfer_column("cubic", k * r_coarse)) / (k * k))
+
+    return factor
+
+
 def fft_size(rsplit: float) -> int:
     """Smallest usable size of at least 6 / rsplit."""
     if rsplit > 0.18:
@@ -107,6 +130,20 @@ class ForceSplit:
     def table(self, npts: int = 100) -> np.ndarray:
         return split_table(self.mode, self.rsplit, npts, self.r_soft)
 
+    def factor(self) -> Callable[[Column], Column]:
+        """``weights`` as an expression of a mode's squared whole wave number."""
+        n = self.size
+
+        def factor(m2: Column) -> Column:
+            k = 2 * math.pi * F.sqrt(m2)
+            w = 4 * math.pi * n**3 * transfer_column(self.mode, k * self.rsplit) / (k * k)
+            if self.deconvolve:
+                dx = k / n
+                w = w * (1 + dx * dx / 6 + (11 / 45) * (dx / 2) * (dx / 2) * (dx / 2) * (dx / 2))
+            return F.when(m2 == 0, 0.0).otherwise(w)
+
+        return factor
+
     def weights(self) -> np.ndarray:
         """(n, n, n) factors from the mass lattice's modes to those of the long-range potential."""
         n = self.size

@@ -112,6 +112,27 @@ def zoom_uniform(spark: SparkSession, box: float, gridsize: int, test: Callable[
     return centres(leaves, box).withColumn("id", F.monotonically_increasing_id())
 
 
+def zoom_ellipsoid(spark: SparkSession, box: float, gridsize: int, centre: tuple[float, float, float], matrix, theta: float = 0.15) -> DataFrame:
+    """``zoom_uniform`` around the ellipsoid (x - centre) A (x - centre) = 1, all in units of the box.
+
+    The form is scaled to a largest eigenvalue of 1, so that it is at most a squared length: a cell of width w is
+    refined while theta2 times its least value there (each axis by itself) is below w2.
+    """
+    a = np.asarray(matrix, float) * box * box
+    top = float(np.linalg.eigvalsh(a)[-1])
+    if not np.allclose(a, a.T) or np.linalg.eigvalsh(a)[0] <= 0:
+        raise ValueError("the matrix must be symmetric and positive")
+    return zoom_uniform(spark, box, gridsize, ellipsoid_test(a / top, tuple(c / box for c in centre), theta, 1 / top))
+
+
+def zoom_around(points: DataFrame, gridsize: int, theta: float = 0.15, box: float = 1.0) -> DataFrame:
+    """Zoom cells around the smallest ellipsoid that holds all ``points`` (in units of the box)."""
+    from orrery.functions.shape import bounding_ellipsoid
+
+    a, c = bounding_ellipsoid(points)
+    return zoom_ellipsoid(points.sparkSession, box, gridsize, tuple(map(float, c)), a, theta)
+
+
 def leaves_in_box(leaves: DataFrame, lower: tuple[float, float, float], upper: tuple[float, float, float], without: tuple[int, int, int, int] | None = None, max_leaves: int | None = None) -> DataFrame:
     """Leaves that meet a periodic box, less those below the node (depth, i, j, k) of ``without``."""
     w = F.pow(F.lit(2.0), -F.col("depth"))

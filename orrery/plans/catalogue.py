@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -448,6 +450,36 @@ def size_classes(spark, sf):
     return ics.size_classes(cells_).select(lattice.fixed(F.col("size")).alias("size_fx"), "n")
 
 
+def _ellipsoid_sql(n: int, theta: float) -> str:
+    th = float(np.float32(theta))
+    mean = ", ".join(f"sum({_fx(a)}) / (count(*) * 1000000000.0::DOUBLE) AS c{a}, sum({_fx(f'{a}*{a}')}) / (count(*) * 1000000000.0::DOUBLE) AS s{a}" for a in "xyz")
+    form = ", ".join(f"1 / (9 * (s{a} - c{a} * c{a})) AS a{a}" for a in "xyz")
+
+    def side(c, o):
+        x0, x1 = f"({c}*w - {o})", f"({c}*w - {o} + w)"
+        return f"CASE WHEN {x0} < 0 AND {x1} > 0 THEN 0.0::DOUBLE WHEN {x0} < 0 THEN CASE WHEN {x0} + 1 < -{x1} THEN {x0} + 1 ELSE {x1} END ELSE CASE WHEN {x1} - 1 > -{x0} THEN {x1} - 1 ELSE {x0} END END"
+
+    q = " + ".join(f"power({side(c, f'c{a}')}, 2) * (a{a} / top)" for c, a in zip("ijk", "xyz", strict=True))
+    levels = [n - 4, n - 2, n - 1, n]
+    to = "CASE " + " ".join(f"WHEN depth <= {v} THEN {v}" for v in levels) + " END"
+    return f"""WITH RECURSIVE {_C}, m AS (SELECT *, {form} FROM (SELECT {mean} FROM c)), f AS (SELECT *, greatest(ax, ay, az) AS top FROM m),
+t AS (SELECT 0 AS depth, 0::BIGINT AS i, 0::BIGINT AS j, 0::BIGINT AS k, 1.0::DOUBLE AS w, true AS r
+UNION ALL SELECT depth + 1, i, j, k, w, depth + 1 < {n} AND ({q} - 1 / top) * ({th!r}::DOUBLE*{th!r}::DOUBLE) < w * w
+FROM (SELECT depth, i*2 + o//4 AS i, j*2 + o//2%2 AS j, k*2 + o%2 AS k, w/2 AS w FROM t, range(8) AS q(o) WHERE r), f),
+l AS (SELECT depth, {to} AS d FROM t WHERE NOT r) SELECT {_fx("1.0::DOUBLE / pow(2, d)")} AS size_fx, CAST(sum(CAST(pow(8, d - depth) AS BIGINT)) AS BIGINT) AS n FROM l GROUP BY d"""
+
+
+@query(_ellipsoid_sql(6, 0.6))
+def ellipsoid_zoom(spark, sf):
+    """Zoom cells by size around the ellipsoid of three deviations of the points along the axes."""
+    c = views.clustered(spark, sf)
+    sums = [F.sum(lattice.fixed(F.col(a))).alias(f"c{a}") for a in "xyz"] + [F.sum(lattice.fixed(F.col(a) * F.col(a))).alias(f"s{a}") for a in "xyz"]
+    r = c.agg(F.count(F.lit(1)).alias("n"), *sums).first()
+    mean, square = ([r[f"{p}{a}"] / (r["n"] * 1e9) for a in "xyz"] for p in "cs")
+    form = np.diag([1 / (9 * (s - m * m)) for m, s in zip(mean, square, strict=True)])
+    return ics.size_classes(tree.zoom_ellipsoid(spark, 1.0, 64, tuple(mean), form, 0.6)).select(lattice.fixed(F.col("size")).alias("size_fx"), "n")
+
+
 @query("""WITH o AS (SELECT o_orderkey AS id, CAST(1 + o_orderkey % 3 AS INTEGER) AS ptype FROM orders), r AS (SELECT ptype, row_number() OVER (PARTITION BY ptype ORDER BY id) - 1 AS r, count(*) OVER (PARTITION BY ptype) AS n FROM o)
 SELECT CAST(r // (n // 4 + 1) AS INTEGER) AS file, ptype, count(*) AS n FROM r GROUP BY ALL""")
 def split_files(spark, sf):
@@ -562,9 +594,20 @@ def displacement_boost(spark, sf):
 _SPLIT = kernels.ForceSplit("cubic", 0.15, n=16)
 
 
-@query()
+def _close(got, want, most: float):
+    """``id, close``: whether a row's force differs from the exact one by under ``most`` of the root mean square of all."""
+    w = want.select("id", *[F.col(f"a{a}").alias(f"w{a}") for a in "xyz"])
+    square = lambda p, q="": reduce(add, [(F.col(f"{p}{a}") - (F.col(f"{q}{a}") if q else 0)) * (F.col(f"{p}{a}") - (F.col(f"{q}{a}") if q else 0)) for a in "xyz"])
+    rms = float(w.agg(F.sqrt(F.avg(square("w")))).first()[0] or 0.0)
+    return got.join(w, "id").select("id", (F.sqrt(square("a", "w")) < most * rms).alias("close"))
+
+
+@query(f"WITH {_C} SELECT id, true AS close FROM c")
 def bh_force(spark, sf):
-    return gravity.tree_sum(views.clustered(spark, sf), 0.2, kernels.newton(0.2), theta=0.5, depth=6)
+    """Tree forces with far nodes taken whole: that each is within 5 % of the exact sum."""
+    c = staging.cut(views.clustered(spark, sf), "points")
+    exact = gravity.kernel_sum(c, 0.2, kernels.newton(0.2), periodic=False)
+    return _close(gravity.tree_sum(c, 0.2, kernels.newton(0.2), theta=0.5, depth=6), exact, 0.05)
 
 
 def _pairs_in_domain(pdf):
@@ -589,9 +632,15 @@ def domain_neighbours(spark, sf):
     return domains.per_domain(c, rows, _pairs_in_domain, "id long, n long")
 
 
-@query()
+@query(f"WITH {_C} SELECT id, greatest(abs({_img('x', '0.5')}), abs({_img('y', '0.5')}), abs({_img('z', '0.5')})) < 0.04::DOUBLE + 0.08::DOUBLE AS inside, true AS close FROM c")
 def medium_range(spark, sf):
-    return gravity.MediumRange((0.5, 0.5, 0.5), 0.1, 0.1, n=16).accel(views.clustered(spark, sf))
+    """Three ranges of force around a cube: the zone of each point, and that its force is within 2 % of two ranges'."""
+    c = staging.cut(views.clustered(spark, sf), "points")
+    m = gravity.MediumRange((0.5, 0.5, 0.5), 0.04, 0.08, n=48)
+    split = kernels.ForceSplit("cubic", 0.08)
+    coarse = staging.cut(gravity.mesh_accel(c, split), "coarse")
+    got = _close(m.accel(c, 400, coarse=coarse), gravity.added(gravity.pair_accel(c, split, 400), coarse), 0.02)
+    return got.join(m.zones(c).select("id", "inside"), "id").select("id", "inside", "close")
 
 
 @query()
