@@ -12,22 +12,29 @@ from orrery.sources.staging import cut, drop
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``id, label`` (least id of its component) for ``nodes(id)`` and undirected ``links(src, dst)``.
 
-    Rounds of: take the least label among neighbours, then jump to the label's label. Each round is
-    written out, so a lost executor repeats one round at most.
+    Rounds of two steps over links from a larger to a smaller end: all larger neighbours of a node are hung on its least
+    neighbour (or itself), then all smaller neighbours of a node on the least of them. The links left are stars whose
+    centres are the labels, after a number of rounds that grows with the logarithm of the components' diameters. Least
+    ends are partial aggregations; joins with them can be split where one node has very many links. Each round is
+    written, so a lost executor repeats one round at most.
     """
-    both = links.select("src", "dst").union(links.select("dst", "src")).where("src <> dst").distinct()
-    both = cut(both, "links")
-    lab = cut(nodes.select("id", F.col("id").alias("label")), "labels")
+    pair = [F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")]
+    e = cut(links.where("src <> dst").select(*pair).distinct(), "links")
+    state = None
     while True:
-        near = both.join(lab, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id")).agg(F.min("label").alias("m"))
-        low = lab.join(near, "id", "left").select("id", F.least("label", F.coalesce("m", "label")).alias("p"), F.col("label").alias("old"))
-        up = low.select(F.col("id").alias("p"), F.col("p").alias("pp"))
-        new = cut(low.join(up, "p").select("id", F.least("p", "pp").alias("label"), "old"), "labels")
-        moved = new.where("label <> old").limit(1).count()
-        drop(lab)
-        lab = new
-        if not moved:
-            return lab.select("id", "label")
+        # of every node, all neighbours; the larger ones move to the least
+        ends = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        root = ends.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        hung = ends.join(root, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # of every node, the smaller neighbours; they and the node itself move to the least
+        root = hung.groupBy("a").agg(F.min("b").alias("m"))
+        rest = hung.join(root, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = cut(rest.unionByName(root.withColumnRenamed("m", "b")).distinct(), "links")
+        drop(e)
+        e, before = new, state
+        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            return nodes.select("id").join(e, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("label"))
 
 
 def friends_of_friends(points: DataFrame, b: float) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import cells, domains, lookup, neighbours, tree
+from orrery.operators import cells, domains, graph, lookup, neighbours, tree
 
 
 def points(spark, xyz, ids=None):
@@ -192,3 +192,25 @@ def test_best_shift(spark, bins):
         assert np.allclose(image(moved[a] - (xyz[:, q] - got[a][1])), 0, atol=1e-12) and moved[a].between(0, 1).all()
         assert ((moved[a] < r) | (moved[a] > 1 - r)).sum() == got[a][0]
     assert cells.shift_optimally(points(spark, []), r).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["chain", "star", "random", "none"])
+def test_components(spark, kind):
+    """Long chains, a centre with very many links, links given twice, both ways and to themselves."""
+    rng = np.random.default_rng(11)
+    n = 120
+    order = rng.permutation(n)
+    links = {
+        "chain": [(order[k], order[k + 1]) for k in range(n - 1) if k % 50],
+        "star": [(order[0], order[k]) for k in range(1, 100)] * 2,
+        "random": [tuple(rng.integers(0, n, 2)) for _ in range(60)] + [(5, 5), (7, 3), (3, 7)],
+        "none": [],
+    }[kind]
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    nodes = spark.range(n)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in links], "src long, dst long")
+    got = {r["id"]: r["label"] for r in graph.components(nodes, df).collect()}
+    assert got == dict(enumerate(label))
