@@ -81,23 +81,25 @@ def sides(r: float) -> int:
     return max(1, min(int(1.0 / r), 1 << 20))
 
 
-def radius_join(left: DataFrame, right: DataFrame, r: float, periodic: bool = True, same: bool = False) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, r: float, periodic: bool = True, same: bool = False, by: list[str] = ()) -> DataFrame:
     """Pairs closer than ``r`` (strictly): ``i, j, dx, dy, dz, r2`` and the right side's ``wj`` if it has w.
 
-    dx, dy, dz lead from j to i (x_i - x_j), by the nearest image if periodic. ``same`` leaves out i = j.
+    dx, dy, dz lead from j to i (x_i - x_j), by the nearest image if periodic. ``same`` leaves out i = j. Only rows with
+    equal columns ``by``, which both sides have, meet; they are part of the join's key and of the result.
     """
     n = sides(r)
+    by = list(by)
     w = [F.col("w").alias("wj")] if "w" in right.columns else []
-    a = neighbour_cells(left.select("id", *AXES), n, r).select(F.col("id").alias("i"), *[F.col(c).alias(f"{c}i") for c in AXES], "cell")
-    b = right.select(F.col("id").alias("j"), *[F.col(c).alias(f"{c}j") for c in AXES], *w, cell_of(n).alias("cell"))
+    a = neighbour_cells(left.select("id", *AXES, *by), n, r).select(F.col("id").alias("i"), *[F.col(c).alias(f"{c}i") for c in AXES], "cell", *by)
+    b = right.select(F.col("id").alias("j"), *[F.col(c).alias(f"{c}j") for c in AXES], *w, cell_of(n).alias("cell"), *by)
     d = {f"d{c}": F.col(f"{c}i") - F.col(f"{c}j") for c in AXES}
     if periodic:
         d = {k: min_image(v) for k, v in d.items()}
     # merged, not broadcast: the work is in the candidates, which one side's few files must not hold in a few tasks
-    out = a.join(b.hint("merge"), "cell").withColumns(d).withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).where(F.col("r2") < r * r)
+    out = a.join(b.hint("merge"), ["cell", *by]).withColumns(d).withColumn("r2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).where(F.col("r2") < r * r)
     if same:
         out = out.where("i <> j")
-    return out.select("i", "j", "dx", "dy", "dz", "r2", *(["wj"] if w else []))
+    return out.select("i", "j", "dx", "dy", "dz", "r2", *(["wj"] if w else []), *by)
 
 
 def count_pairs(points: DataFrame, r: float) -> DataFrame:

@@ -350,6 +350,12 @@ def octree_leaf_counts(spark, sf):
     return tree.leaf_counts(_octree(spark, sf), 6)
 
 
+@query(f"WITH {_P}, {_OCT} SELECT depth, key, n FROM t WHERE leaf AND depth >= 2 AND key >> CAST(3*(depth-2) AS INTEGER) = 21")
+def octree_branch(spark, sf):
+    """Leaves under one node of the octree."""
+    return tree.leaves_below(_octree(spark, sf), 2, 21).select("depth", "key", "n")
+
+
 @query(f"WITH {_P}, {_OCT} SELECT count(*) AS leaves, max(depth) AS depth, min(n) AS least, max(n) AS most, CAST(sum(n) AS BIGINT) AS points FROM t WHERE leaf")
 def octree_occupancy(spark, sf):
     return tree.occupancy(_octree(spark, sf))
@@ -610,26 +616,14 @@ def bh_force(spark, sf):
     return _close(gravity.tree_sum(c, 0.2, kernels.newton(0.2), theta=0.5, depth=6), exact, 0.05)
 
 
-def _pairs_in_domain(pdf):
-    """Neighbours within 0.02 of a domain's own points, ghosts included."""
-    import pandas as pd
-
-    x = pdf[["x", "y", "z"]].to_numpy()
-    own = np.flatnonzero(pdf["own"].to_numpy())
-    n = np.zeros(len(own), np.int64)
-    for a in range(0, len(own), 256):
-        d = x[own[a : a + 256], None] - x[None]
-        d -= np.floor(d + 0.5)
-        n[a : a + 256] = ((d**2).sum(-1) < 0.02 * 0.02).sum(1) - 1
-    return pd.DataFrame({"id": pdf["id"].to_numpy()[own], "n": n})
-
-
 @query(f"WITH {_C}, l AS (SELECT a.id AS i, {_R2} AS r2 FROM c a, c b WHERE a.id <> b.id), k AS (SELECT i, count(*) AS n FROM l WHERE r2 < 0.02::DOUBLE*0.02::DOUBLE GROUP BY i) SELECT id, coalesce(n, 0) AS n FROM c LEFT JOIN k ON i = id")
 def domain_neighbours(spark, sf):
     """The same counts as a single pass, but domain by domain with ghosts."""
     c = views.clustered(spark, sf)
     rows = domains.balanced_domains(c, 0.02, 8, 8)
-    return domains.per_domain(c, rows, _pairs_in_domain, "id long, n long")
+    p = c.join(rows, "id").select("id", "x", "y", "z", "domain", "own")
+    n = cells.radius_join(p.where("own"), p, 0.02, same=True, by=["domain"]).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    return c.select("id").join(n, F.col("id") == F.col("i"), "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"WITH {_C} SELECT id, greatest(abs({_img('x', '0.5')}), abs({_img('y', '0.5')}), abs({_img('z', '0.5')})) < 0.04::DOUBLE + 0.08::DOUBLE AS inside, true AS close FROM c")

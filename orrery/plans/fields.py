@@ -50,12 +50,15 @@ _MODE = _modes_sql(N)
 _DK = f"(2*pi()/{BOX}::DOUBLE)"
 
 
-@query(f"""WITH {_P}, {_corner_sql('p', N, 'w')}, d AS (SELECT cell, sum({_fx('w*u*v*t')})::DOUBLE AS m FROM e GROUP BY cell), {_CELLS},
+_POWER = f"""WITH {_P}, {_corner_sql('p', N, 'w')}, d AS (SELECT cell, sum({_fx('w*u*v*t')})::DOUBLE AS m FROM e GROUP BY cell), {_CELLS},
 mean AS (SELECT sum(m) / {N**3} AS mean FROM d), r AS (SELECT i, j, k, coalesce(m, 0) / mean - 1 AS re, 0.0::DOUBLE AS im FROM z LEFT JOIN d ON d.cell = z.cell, mean),
 {_dft('r', 'f', True)}, {_MODE},
 g AS (SELECT a*a + b*b + c*c AS n2, re, im FROM f JOIN m ON m.cell = (f.i*{N} + f.j)*{N} + f.k),
 h AS (SELECT *, 1 + (n2*pow(pi()/{N}, 2))/3 + pow(n2*pow(pi()/{N}, 2), 2)/15 AS w FROM g),
-b AS (SELECT greatest(0, least({N // 2 - 1}, (SELECT max(b) FROM range({N * 2}) t(b) WHERE b = 0 OR (2*b+1)*(2*b+1) <= 4*n2))) AS bin, (re*re + im*im)*w*w AS p FROM h),
+b AS (SELECT greatest(0, least({N // 2 - 1}, (SELECT max(b) FROM range({N * 2}) t(b) WHERE b = 0 OR (2*b+1)*(2*b+1) <= 4*n2))) AS bin, (re*re + im*im)*w*w AS p FROM h)"""
+
+
+@query(f"""{_POWER},
 s AS (SELECT bin, count(*) AS n, sum(p) AS p, sum(p*p) AS p2 FROM b GROUP BY bin)
 SELECT CAST(bin AS BIGINT) AS bin, n AS n_modes, {_fxs('1000000000.0', p=f'p/(n*pow({_DK}, 3))', err=f'sqrt(greatest(p2*n - p*p, 0)/(n - 1))/(n*pow({_DK}, 3))', kmid=f'(CASE WHEN bin = 0 THEN 0 ELSE (bin + 0.5)*{_DK} END + CASE WHEN bin = {N // 2 - 1} THEN {N // 2}*{_DK}*sqrt(3) ELSE (bin + 1.5)*{_DK} END)/2')} FROM s""")
 def spectrum(spark, sf):
@@ -65,6 +68,14 @@ def spectrum(spark, sf):
     return _whole(s.withColumn("n_modes", F.round(F.col("kvol") / dk**3).cast("long")), 1_000_000_000, "p", "err", "kmid", keys=("bin", "n_modes"))
 
 
+@query(f"{_POWER} SELECT CAST(bin AS BIGINT) AS bin, {_fxs('1000000000.0', mean='avg(p)')} FROM b GROUP BY bin")
+def binned_power(spark, sf):
+    """The mean over each bin of a function on the modes, here their power."""
+    m = fourier.density_modes(lattice.deposit(views.particles(spark, sf), N), N)
+    f = m.select("cell", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("f"))
+    return _whole(fourier.mean_in_bins(f, N), 1_000_000_000, "mean", keys=("bin",))
+
+
 # --- meshes
 
 _CUBIC_T = "CASE WHEN {a} <= 1e-2 THEN 1 - {a}*{a}/15 ELSE -12*(sin({a})/{a} + 2*cos({a})/({a}*{a}) - 2/({a}*{a}))/({a}*{a}) END"

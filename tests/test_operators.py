@@ -344,6 +344,19 @@ def test_monopole_sums_lose_little(spark, reach):
     assert lost(vec(gravity.monopole_sum(points(spark, xyz, w), 0.15, table, reach)), want) < 0.015
 
 
+def test_sums_by_the_number_of_neighbours(spark):
+    """Few neighbours one by one, many by cells; counted where no number is given."""
+    xyz, w = clumps(5, (500,), 0.03)
+    table = kernels.newton(0.15, 300)
+    want = all_pairs(xyz, w, 0.15, table, True)
+    p = points(spark, xyz, w)
+    few, mid, many, own = (vec(gravity.kernel_sum_for(p, 0.15, table, n)) for n in (140, 141, 401, None))
+    assert lost(few, want) < 1e-12 < lost(mid, want) < 0.015 and lost(many, want) < 0.015
+    assert np.array_equal(own, mid) or np.array_equal(own, many) or min(lost(own, mid), lost(own, many)) < 1e-12
+    thin = points(spark, np.random.default_rng(1).random((60, 3)))
+    assert np.allclose(vec(gravity.kernel_sum_for(thin, 0.1, table)), vec(gravity.kernel_sum(thin, 0.1, table)), rtol=1e-12)
+
+
 @pytest.mark.parametrize("cut", [0, 2])
 def test_displacement_equals_numpy(spark, cut):
     n, box, p = 12, 50.0, cosmology.efstathiou()
