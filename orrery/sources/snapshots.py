@@ -23,14 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from orrery.sources.particle_files import number_rows, split_counts
+from orrery.sources.particle_files import SCHEMA, number_rows, split_counts
 
 #: The header's layout (counts, masses, time and redshift, flags, totals, box and cosmology, high words of the
 #: totals), the labels of records in their order, and what a length mark can hold.
 _HEADER = struct.Struct("<6i6d2d2i6I2i4d2i6I")
 LABELS = ("HEAD", "POS ", "VEL ", "ID  ", "MASS")
 RECORD_LIMIT = (1 << 31) - 1
-SCHEMA = "ptype int, id bigint, x double, y double, z double, vx double, vy double, vz double, mass double"
 _PIECE = 8 << 20
 
 
@@ -239,7 +238,11 @@ class _Writer(DataSourceArrowWriter):
 
     def _clean(self) -> None:
         fs, base = _fs(self.o["path"])
+        from pyarrow import fs as pafs
+
         fs.delete_dir(f"{base}/_temporary/{self.job}")
+        if not fs.get_file_info(pafs.FileSelector(f"{base}/_temporary")):  # no other job writes
+            fs.delete_dir(f"{base}/_temporary")
 
 
 class GadgetSource(DataSource):
