@@ -98,20 +98,18 @@ def _deal(cells: Cells, blocks: dict[tuple[int, int, bool], int]):
                     h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                     h ^= np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).astype(np.uint64) @ np.arange(1, x.itemsize * dim + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
                     blk = ((h[row] >> np.uint64(20)) % mine.astype(np.uint64)).astype(np.int64)
-                keys, at = [], []
+                # one block of the other side at a time, so that a task holds one copy of its batch
                 for r in range(int(home.max(initial=0))):
                     # a visitor meets every home block; a home block every home block, its own once
                     k = np.flatnonzero(r < home)
-                    g = guest[k]
-                    keys.append(np.c_[cell[k], np.where(g, r, np.minimum(blk[k], r)), np.where(g, -1 - blk[k], np.maximum(blk[k], r)), np.where(g, 1, blk[k] > r)])
-                    at.append(row[k])
+                    g, at = guest[k], row[k]
+                    key = np.c_[cell[k], np.where(g, r, np.minimum(blk[k], r)), np.where(g, -1 - blk[k], np.maximum(blk[k], r)), np.where(g, 1, blk[k] > r)]
+                    yield vectors.rows(key, dim, ids[at], times[at], np.ascontiguousarray(x[at]))
                 for r in range(int(away.max(initial=0))):
                     k = np.flatnonzero((r < away) & ~guest)
-                    keys.append(np.c_[cell[k], blk[k], np.full(len(k), -1 - r), np.zeros(len(k), np.int64)])
-                    at.append(row[k])
-                at = np.concatenate(at)
-                if len(at):
-                    yield vectors.rows(np.concatenate(keys), dim, ids[at], times[at], np.ascontiguousarray(x[at]))
+                    at = row[k]
+                    if len(at):
+                        yield vectors.rows(np.c_[cell[k], blk[k], np.full(len(k), -1 - r), np.zeros(len(k), np.int64)], dim, ids[at], times[at], np.ascontiguousarray(x[at]))
 
     return run
 

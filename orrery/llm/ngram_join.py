@@ -323,6 +323,19 @@ def _settle(num: int, den: int):
     return run
 
 
+def _met(entries: DataFrame, hot: int, scratch: Scratch) -> DataFrame:
+    """``entries`` without the hot tokens that stand in one set alone: these were dealt over buckets, none of which saw
+    the whole list. Spark counts each list in parts before it moves.
+    """
+    many = F.shiftrightunsigned("token", 56) >= hot
+    long = entries.where(many)
+    lists = long.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("reach").alias("far")).where("n > 1")
+    long = long.join(lists, "token").where("least <= reach and size <= far").select(entries.columns)
+    out = scratch.cut(entries.where(~many).union(long), "lists")
+    scratch.drop(entries)
+    return out
+
+
 _SALTS = 32
 
 
@@ -398,11 +411,12 @@ class _Index:
         e = self.named(comp)
         by = ["comp", *self.labels]
         block = e.groupBy("token", *by).agg(F.min("size").alias("least"), F.max("reach").alias("reach"))
-        x, y = block.alias("x"), block.alias("y")
-        two = x.join(y, "token").where("x.comp < y.comp and x.least <= y.reach and y.least <= x.reach")
+        block = block.withColumnRenamed("comp", "rep")
+        x, y = block.select("*", self.salt).alias("x"), block.select("*", self.salts).alias("y")
+        two = x.join(y, ["token", "salt"]).where("x.rep < y.rep and x.least <= y.reach and y.least <= x.reach")
         for label in self.labels:
             two = two.where(f"x.{label} <> y.{label}")
-        two = two.selectExpr("token", "x.comp as a", "y.comp as b", *(f"x.{n} as a_{n}" for n in (*self.labels, "least", "reach")), *(f"y.{n} as b_{n}" for n in (*self.labels, "least", "reach")))
+        two = two.selectExpr("token", "x.rep as a", "y.rep as b", *(f"x.{n} as a_{n}" for n in (*self.labels, "least", "reach")), *(f"y.{n} as b_{n}" for n in (*self.labels, "least", "reach")))
         out = None
         for side, me, you in ((0, "a", "b"), (1, "b", "a")):
             part = two.select("token", "a", "b", F.col(me).alias("comp"), *(F.col(f"{me}_{n}").alias(n) for n in self.labels), F.col(f"{you}_least").alias("o_least"), F.col(f"{you}_reach").alias("o_reach"))
@@ -445,18 +459,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     run, schema = _digest(words, sketch_bits)
     first = scratch.cut(src.mapInArrow(trimmed(run), schema), "digest")
     own = scratch.cut(first.where("part is null").select("doc_id", "n_shingles", "set_id", "part_id"), "own")
-    level = spark.sparkContext.broadcast(slots.table(first.where("part is not null"), sketch_bits))
+    total = own.where("doc_id is not null").agg(F.sum("n_shingles")).first()[0] or 0
+    level = spark.sparkContext.broadcast(slots.table(first.where("part is not null"), sketch_bits, total))
     scratch.drop(first)
 
     full = own.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("part_id").alias("part_id"))
-    total = full.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(64, math.ceil(total * (den - num) / den / bucket_entries))
     packed = src.select("text").mapInArrow(trimmed(_prefixes(words, num, den, level, buckets, hot_level)), "bucket int, entries binary")
     run, schema = _repeated(hot_level, num, den)
     entries = packed.groupBy("bucket").applyInArrow(run, schema)
     entries = scratch.cut(entries.join(classes.select("part_id", "rep"), "part_id").select("token", "rep", "size", "reach"), "entries")
     level.destroy()
+    entries = _met(entries, hot_level, scratch)
     wanted = spark.sparkContext.broadcast(slots.members(entries, "rep", 27))
     sets = src.mapInArrow(trimmed(_sets_of(words, wanted)), "rep long, set_id binary, shingles binary")
     same = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("k > 1")

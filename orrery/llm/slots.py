@@ -22,8 +22,9 @@ SCHEMA = "part int, counts binary"
 #: Slots per row of a partial table.
 WIDTH = 1 << 14
 WIDE = 1 << 16
-#: The highest level: 182 hits or more.
+#: The highest level: 182 hits or more, and at least FULL times the mean of all slots.
 TOP = 15
+FULL = 8
 
 
 class Partial:
@@ -93,20 +94,25 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gap, dtype=np.int64) - 1, np.frombuffer(data, f"<u{c}", n, 6 + n * g)
 
 
-def _sum_parts(batches):
+def _sum_parts(unit: float):
     """Adds up as batches arrive: memory is the task's own ranges of slots, whatever the number of rows."""
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            t = total.setdefault(part, np.zeros(WIDTH, np.uint32))
-            hit, n = unpack(data)
-            t[hit] += n
-    for part, t in total.items():
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([_shrink(_quantise(t))], pa.binary())})
 
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t = total.setdefault(part, np.zeros(WIDTH, np.uint32))
+                hit, n = unpack(data)
+                t[hit] += n
+        for part, t in total.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "counts": pa.array([_shrink(_quantise(t, unit))], pa.binary())})
+
+    return run
 
-def _quantise(t: np.ndarray) -> np.ndarray:
-    """0, 1, 2, 3 as they are; above, two steps to each doubling, up to TOP."""
+
+def _quantise(t: np.ndarray, unit: float) -> np.ndarray:
+    """In units: 0, 1, 2, 3 as they are; above, two steps to each doubling, up to TOP."""
+    t = np.floor(t / unit)
     big = np.minimum(TOP, np.floor(2 * np.log2(np.maximum(t, 4)))).astype(np.uint8)
     return np.where(t < 4, t, big).astype(np.uint8)
 
@@ -116,9 +122,14 @@ def _shrink(level: np.ndarray) -> bytes:
     return zlib.compress((level[::2] << 4 | level[1::2]).tobytes(), 1)
 
 
-def table(partials: DataFrame, bits: int) -> np.ndarray:
-    """Levels of (part, counts) rows summed over all tasks, two to a byte; 2**bits / 2 bytes come to the driver."""
-    summed = partials.select("part", "counts").repartition("part").mapInArrow(_sum_parts, SCHEMA)
+def table(partials: DataFrame, bits: int, hits: int = 0) -> np.ndarray:
+    """Levels of (part, counts) rows summed over all tasks, two to a byte; 2**bits / 2 bytes come to the driver.
+
+    ``hits`` is how many there are in all: where slots are full, levels count in units that keep TOP for slots with
+    ``FULL`` times the mean.
+    """
+    unit = max(1.0, FULL * hits / 2**bits / 2 ** (TOP / 2))
+    summed = partials.select("part", "counts").repartition("part").mapInArrow(_sum_parts(unit), SCHEMA)
     out = np.zeros(1 << (bits - 1), np.uint8)
     for r in summed.toLocalIterator():
         out[r["part"] * WIDTH // 2 : (r["part"] + 1) * WIDTH // 2] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)

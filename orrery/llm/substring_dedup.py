@@ -10,7 +10,9 @@ stands in many different contexts is then no window's minimiser unless all of th
 bucket gathers its contexts. Windows that repeat inside a run of texts (about a megabyte) are settled there, so that a
 passage in a third of all documents sends one string per run. Strings are first compared as wholes, by
 128-bit fingerprints: all but the first of equal strings are repeats, and a string whose minimiser has no
-other string is settled too. Only minimisers with different strings travel packed, in a second pass; a bit
+other string is settled too. A task sends only the first of equal strings (those that repeat in it are held until its
+end), so a passage that stands everywhere costs its bucket one row a task, not one a run. Only minimisers with different
+strings travel packed, in a second pass, again the first of equal strings of each task; a bit
 table of fixed size says which. The second pass may meet other runs than the first (file splits and shuffles
 differ between jobs), so it goes by minimiser, not by string, and settles the repeats in its own runs
 anew. What comes back are spans of words, joined to the texts by id and text hash.
@@ -135,7 +137,83 @@ def _fingerprints(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
 
 def _kind(least: np.ndarray) -> np.ndarray:
     """Code of a minimiser in the bit table."""
-    return tk.mix(least & U(0xFFFFFFFF))
+    return tk.mix(least.astype(U) & U(0xFFFFFFFF))
+
+
+def _bucket(least: np.ndarray, buckets: int) -> np.ndarray:
+    return (_kind(least) % U(buckets)).astype(np.int64)
+
+
+def _order(x: np.ndarray):
+    """Of marks: their order by string, document and start; in it, which head a string, which repeat an
+    earlier one, and which differ from the mark before (equal rows stand for one).
+
+    Marks at one start of one document do not repeat each other.
+    """
+    o = np.lexsort((x["text"], x["start"], x["doc"], x["fp2"], x["fp"]))
+    y = x[o]
+    if not len(y):
+        none = np.zeros(0, bool)
+        return o, none, none, none
+    head = np.r_[True, (y["fp"][1:] != y["fp"][:-1]) | (y["fp2"][1:] != y["fp2"][:-1])]
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    late = (y["doc"] != y["doc"][first]) | (y["start"] != y["start"][first])
+    new = head | np.r_[True, (y["doc"][1:] != y["doc"][:-1]) | (y["start"][1:] != y["start"][:-1]) | (y["text"][1:] != y["text"][:-1])]
+    return o, head, late, new
+
+
+def _whole(y: np.ndarray, k: int) -> list[tuple[int, int, bytes]]:
+    """(doc, text, spans) of strings that go as wholes."""
+    y = y[np.lexsort((y["start"], y["text"], y["doc"]))]
+    if not len(y):
+        return []
+    cut = np.flatnonzero(np.r_[True, (y["doc"][1:] != y["doc"][:-1]) | (y["text"][1:] != y["text"][:-1])])
+    span = np.stack([y["start"], y["start"] + y["n"] + k - 1], 1).astype("<i4")
+    return [(int(y["doc"][i]), int(y["text"][i]), span[i:j].tobytes()) for i, j in zip(cut.tolist(), np.r_[cut[1:], len(y)].tolist(), strict=True)]
+
+
+def _picked(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``size`` words from ``at`` on, one after another."""
+    return words[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+class _Pool:
+    """Strings of a task, of which only the first of equal ones goes out.
+
+    ``limit`` strings are held. When they are full the strings that occurred once go out, and those that repeat stay
+    for the rest of the task (half of ``limit`` at most, so that there is always room; others go out too, which costs rows).
+    """
+
+    def __init__(self, k: int, limit: int):
+        self.k, self.limit = k, limit
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, mark: np.ndarray, words: np.ndarray) -> bool:
+        """Hold marks (and the words of their strings, or none at all); True when full."""
+        self.held.append((mark, words))
+        self.n += len(mark)
+        return self.n >= self.limit
+
+    def take(self, last: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Marks that go out, their words, and marks that repeat an earlier one of the task."""
+        mark = np.concatenate([m for m, _ in self.held] or [np.empty(0, _MARK)])
+        words = np.concatenate([w for _, w in self.held] or [np.empty(0, U)])
+        self.held, self.n = [], 0
+        size = mark["n"].astype(np.int64) + self.k - 1 if len(words) else np.zeros(len(mark), np.int64)
+        at = np.cumsum(size) - size
+        o, head, late, new = _order(mark)
+        if not len(o):
+            return mark, words, mark
+        often = np.diff(np.r_[np.flatnonzero(head), len(o)])[np.cumsum(head) - 1] > 1
+        keep = new & ~late
+        stay = keep & often & (not last)
+        stay &= np.cumsum(stay) <= self.limit // 2
+        if stay.any():
+            i = o[stay]
+            self.add(mark[i], _picked(words, at[i], size[i]))
+        i = o[keep & ~stay]
+        return mark[i], _picked(words, at[i], size[i]), mark[o[late]]
 
 
 def _grouped(to: np.ndarray):
@@ -169,22 +247,36 @@ def _settled(ids, texts, row, num, r: np.ndarray, k: int, buckets: int) -> list[
     return [(int(ids[d]) % buckets, int(ids[d]), int(texts[d]), _spans(num[r[i:j]], k)) for d, i, j in _grouped(row[r])] if len(r) else []
 
 
-def _announce(k: int, m: int, frequent, buckets: int):
-    """Fingerprints of strings for a bucket, and spans settled in a run (rows with a document), on any."""
+def _marks(w, ids, texts, at, row, num, least, s, n, k: int) -> np.ndarray:
+    mark = np.empty(len(s), _MARK)
+    mark["fp"], mark["fp2"] = _fingerprints(w.hash, at[s], at[s] + n + k - 1)
+    mark["least"], mark["doc"], mark["text"], mark["start"], mark["n"] = least[s] & U(0xFFFFFFFF), ids[row[s]], texts[row[s]], num[s], n
+    return mark
+
+
+def _announce(k: int, m: int, frequent, buckets: int, hold: int = 1 << 18):
+    """Fingerprints of strings for a bucket, and spans settled in a task (rows with a document), on any."""
+    none = np.empty(0, U)
 
     def run(batches):
+        pool = _Pool(k, hold)
+
+        def out(last=False):
+            mark, _, late = pool.take(last)
+            rows = [(d % buckets, d, t, data) for d, t, data in _whole(late, k)]
+            to = _bucket(mark["least"], buckets)
+            o = np.argsort(to, kind="stable")
+            if len(o):
+                rows += [(t, None, None, mark[o[i:j]].tobytes()) for t, i, j in _grouped(to[o])]
+            return [_batch(rows)] if rows else []
+
         for w, ids, texts, at, row, num, least, again, s, n in _runs(batches, k, m, frequent.value):
-            out = _settled(ids, texts, row, num, np.flatnonzero(again), k, buckets)
-            if len(s):
-                mark = np.empty(len(s), _MARK)
-                mark["fp"], mark["fp2"] = _fingerprints(w.hash, at[s], at[s] + n + k - 1)
-                mark["least"], mark["doc"], mark["text"], mark["start"], mark["n"] = least[s] & U(0xFFFFFFFF), ids[row[s]], texts[row[s]], num[s], n
-                to = (tk.mix(least[s]) % U(buckets)).astype(np.int64)
-                o = np.argsort(to, kind="stable")
-                mark = mark[o]
-                out += [(t, None, None, mark[i:j].tobytes()) for t, i, j in _grouped(to[o])]
-            if out:
-                yield _batch(out)
+            rows = _settled(ids, texts, row, num, np.flatnonzero(again), k, buckets)
+            if rows:
+                yield _batch(rows)
+            if len(s) and pool.add(_marks(w, ids, texts, at, row, num, least, s, n, k), none):
+                yield from out()
+        yield from out(last=True)
 
     return run
 
@@ -199,24 +291,16 @@ def _compare(k: int):
         x = np.frombuffer(b"".join(t.column("data").to_pylist()), _MARK)
         if not len(x):
             return settled
-        x = x[np.lexsort((x["start"], x["doc"], x["fp2"], x["fp"]))]
-        head = np.r_[True, (x["fp"][1:] != x["fp"][:-1]) | (x["fp2"][1:] != x["fp2"][:-1])]
-        first = np.flatnonzero(head)[np.cumsum(head) - 1]
-        late = (x["doc"] != x["doc"][first]) | (x["start"] != x["start"][first])
-        own = x[head]
+        o, head, late, _ = _order(x)
+        own = x[o[head]]
         kinds = np.sort(own["least"])
         at = np.searchsorted(kinds, own["least"])
         many = np.searchsorted(kinds, own["least"], side="right") - at > 1
-        rows = [(None, None, _kind(np.unique(own["least"][many]).astype(U)).tobytes())] if many.any() else []
-        y = x[late]
-        y = y[np.lexsort((y["start"], y["text"], y["doc"]))]
-        if len(y):
-            cut = np.flatnonzero(np.r_[True, (y["doc"][1:] != y["doc"][:-1]) | (y["text"][1:] != y["text"][:-1])])
-            for i, j in zip(cut.tolist(), np.r_[cut[1:], len(y)].tolist(), strict=True):
-                rows.append((int(y["doc"][i]), int(y["text"][i]), np.stack([y["start"][i:j], y["start"][i:j] + y["n"][i:j] + k - 1], 1).astype("<i4").tobytes()))
+        rows = [(None, None, _kind(np.unique(own["least"][many])).tobytes())] if many.any() else []
+        rows += _whole(x[o[late]], k)
         cols = list(zip(*rows, strict=True)) or [[], [], []]
         new = pa.table({"doc": pa.array(cols[0], pa.int64()), "text": pa.array(cols[1], pa.int64()), "data": pa.array(cols[2], pa.binary())})
-        del x, y, own, head, first, late
+        del x, own, o, head, late
         release()
         return pa.concat_tables([new, settled])
 
@@ -234,30 +318,39 @@ def _wanted(bits: int):
     return run
 
 
-def _send(k: int, m: int, frequent, wanted, buckets: int):
+def _send(k: int, m: int, frequent, wanted, buckets: int, hold: int = 1 << 17):
     """Packed strings whose minimiser is wanted, for its bucket, and (rows with a document) spans of windows
-    of wanted minimisers that repeat in the run."""
+    of wanted minimisers that repeat in the task."""
 
     def run(batches):
         table = wanted.value
+        pool = _Pool(k, hold)
+
+        def out(last=False):
+            mark, words, late = pool.take(last)
+            rows = [(d % buckets, d, t, data) for d, t, data in _whole(late, k)]
+            to = _bucket(mark["least"], buckets)
+            o = np.argsort(to, kind="stable")
+            if len(o):
+                size = mark["n"].astype(np.int64) + k - 1
+                words = _picked(words, (np.cumsum(size) - size)[o], size[o])
+                edge = np.r_[0, np.cumsum(size[o])]
+                head = np.empty(len(o), _HEAD)
+                for name in _HEAD.names:
+                    head[name] = mark[name][o]
+                rows += [(t, None, None, np.int32(j - i).tobytes() + head[i:j].tobytes() + words[edge[i] : edge[j]].tobytes()) for t, i, j in _grouped(to[o])]
+            return [_batch(rows)] if rows else []
+
         for w, ids, texts, at, row, num, least, again, s, n in _runs(batches, k, m, frequent.value):
             r = np.flatnonzero(again)
-            out = _settled(ids, texts, row, num, r[slots.test_bits(table, _kind(least[r]))], k, buckets)
+            rows = _settled(ids, texts, row, num, r[slots.test_bits(table, _kind(least[r]))], k, buckets)
+            if rows:
+                yield _batch(rows)
             ok = slots.test_bits(table, _kind(least[s]))
             s, n = s[ok], n[ok]
-            if not len(s):
-                if out:
-                    yield _batch(out)
-                continue
-            to = (tk.mix(least[s]) % U(buckets)).astype(np.int64)
-            o = np.argsort(to, kind="stable")
-            s, n, to = s[o], n[o], to[o]
-            head = np.empty(len(s), _HEAD)
-            head["doc"], head["text"], head["start"], head["n"] = ids[row[s]], texts[row[s]], num[s], n
-            size = n + k - 1
-            words = w.hash[np.repeat(at[s] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-            edge = np.r_[0, np.cumsum(size)]
-            yield _batch(out + [(t, None, None, np.int32(j - i).tobytes() + head[i:j].tobytes() + words[edge[i] : edge[j]].tobytes()) for t, i, j in _grouped(to)])
+            if len(s) and pool.add(_marks(w, ids, texts, at, row, num, least, s, n, k), _picked(w.hash, at[s], n + k - 1)):
+                yield from out()
+        yield from out(last=True)
 
     return run
 
@@ -275,20 +368,27 @@ def _sort_bucket(k: int):
             words.append(np.frombuffer(d, "<u8", -1, 4 + n * _HEAD.itemsize))
         head, h = np.concatenate(heads), np.concatenate(words)
         n = head["n"].astype(np.int64)
-        size = n + k - 1
-        first = np.cumsum(size) - size
+        first = np.cumsum(n + k - 1) - (n + k - 1)
+        # equal strings of different tasks: only the first one's windows are laid out
+        mark = np.zeros(len(head), _MARK)
+        for name in _HEAD.names:
+            mark[name] = head[name]
+        mark["fp"], mark["fp2"] = _fingerprints(h, first, first + n + k - 1)
+        o, _, late, new = _order(mark)
+        out = _whole(mark[o[late]], k)
+        own = o[new & ~late]
+        head, n, first = head[own], n[own], first[own]
         rec = np.repeat(np.arange(len(n)), n)
         off = np.arange(len(rec)) - np.repeat(np.cumsum(n) - n, n)
         doc, start = head["doc"][rec], head["start"][rec] + off
         hit = np.flatnonzero(_later(h, first[rec] + off, doc, start, k))
         text = head["text"][rec]
         hit = hit[np.lexsort((start[hit], text[hit], doc[hit]))]
-        out = []
         if len(hit):
             cut = np.flatnonzero(np.r_[True, (doc[hit][1:] != doc[hit][:-1]) | (text[hit][1:] != text[hit][:-1])])
-            out = [(int(doc[x[0]]), int(text[x[0]]), _spans(start[x], k)) for x in np.split(hit, cut[1:])]
+            out += [(int(doc[x[0]]), int(text[x[0]]), _spans(start[x], k)) for x in np.split(hit, cut[1:])]
         new = pa.table({"doc": pa.array([x[0] for x in out], pa.int64()), "text": pa.array([x[1] for x in out], pa.int64()), "data": pa.array([x[2] for x in out], pa.binary())})
-        del head, h, heads, words, rec, off, doc, start, hit, text
+        del head, h, heads, words, mark, rec, off, doc, start, hit, text
         release()
         return pa.concat_tables([new, settled])
 
