@@ -43,6 +43,16 @@ def friends_of_friends(points: DataFrame, b: float) -> DataFrame:
     return components(points.select("id"), links).withColumnRenamed("label", "grp")
 
 
+def links(points: DataFrame, b: float) -> DataFrame:
+    """``src, dst``: each pair of points closer than b, periodically, once, the smaller id first.
+
+    The join finds a pair of points once, so pairs need no second look unless an id comes twice, which one sum by id tells.
+    """
+    out = radius_join(points, points, b).where("i < j").select(F.col("i").alias("src"), F.col("j").alias("dst"))
+    again = points.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return dedupe_links(out) if again else out
+
+
 def dedupe_links(links: DataFrame) -> DataFrame:
     """Each undirected link once, the smaller end first."""
     return links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").dropDuplicates(["src", "dst"])
