@@ -35,24 +35,31 @@ def box_ranges(boxes: DataFrame, depth: int, across: int = 4) -> DataFrame:
     Boxes are periodic: bounds may leave the unit cube by up to a box. Each is covered by cells of the depth at which
     its longest side measures at most ``across`` of them; cells that follow each other in Morton order are one range.
     """
-    side = F.greatest(*(F.col(f"{a}1") - F.col(f"{a}0") for a in AXES))
-    level = F.least(F.greatest(F.floor(F.log2(F.lit(float(across)) / side)), F.lit(0)), F.lit(depth)).cast("int")
-    out = boxes.withColumn("_d", F.when(side > 0, level).otherwise(depth)).withColumn("_n", F.expr("shiftleft(1L, _d)"))
-    for a in AXES:
-        every = F.expr(f"if(({a}1 - {a}0) * _n >= _n - 1, sequence(0L, _n - 1), sequence(floor({a}0 * _n), floor({a}1 * _n)))")
-        out = out.withColumn(f"_{a}", F.explode(every)).withColumn(f"_{a}", (F.pmod(F.col(f"_{a}"), F.col("_n")) + 0.5) / F.col("_n"))
-    cells = out.select("box", "_d", morton(depth, "_x", "_y", "_z").alias("m")).withColumn("lo", F.expr(f"shiftleft(shiftright(m, 3 * ({depth} - _d)), 3 * ({depth} - _d))"))
-    cells = cells.select("box", "lo", F.expr(f"lo + shiftleft(1L, 3 * ({depth} - _d))").alias("hi")).distinct()
+    cells = box_cells(boxes, depth, across).withColumn("lo", F.expr(f"shiftleft(cell, 3 * ({depth} - level))"))
+    cells = cells.select("box", "lo", F.expr(f"lo + shiftleft(1L, 3 * ({depth} - level))").alias("hi")).distinct()
     line = Window.partitionBy("box").orderBy("lo")  # a few hundred rows: the cells of one box
     run = cells.withColumn("_new", F.coalesce((F.lag("hi").over(line) != F.col("lo")).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(line))
     return run.groupBy("box", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
 
 
+def box_cells(boxes: DataFrame, depth: int, across: int = 4) -> DataFrame:
+    """``boxes`` (as in ``box_ranges``) with ``level, cell``: once for each Morton cell of its level that covers it."""
+    side = F.greatest(*(F.col(f"{a}1") - F.col(f"{a}0") for a in AXES))
+    level = F.least(F.greatest(F.floor(F.log2(F.lit(float(across)) / side)), F.lit(0)), F.lit(depth)).cast("int")
+    out = boxes.withColumn("level", F.when(side > 0, level).otherwise(depth)).withColumn("_n", F.expr("shiftleft(1L, level)"))
+    for a in AXES:  # whole turns of the box give each cell once
+        every = F.expr(f"if(({a}1 - {a}0) * _n >= _n - 1, sequence(0L, _n - 1), sequence(floor({a}0 * _n), floor({a}1 * _n)))")
+        out = out.withColumn(f"_c{a}", F.explode(every)).withColumn(f"_c{a}", (F.pmod(F.col(f"_c{a}"), F.col("_n")) + 0.5) / F.col("_n"))
+    code = morton(depth, *(f"_c{a}" for a in AXES))
+    return out.withColumn("_m", code).withColumn("cell", F.expr(f"shiftright(_m, 3 * ({depth} - level))")).drop("_n", "_m", *(f"_c{a}" for a in AXES))
+
+
 def chunk_members(points: DataFrame, chunks: DataFrame, reach: float, depth: int = DEEPEST) -> DataFrame:
     """``depth, key, id, own``: the points of each tree chunk, and those of its periodic edge.
 
     ``chunks(depth, key)`` are nodes of an octree over the unit cube. The edge of one holds the points outside it of
-    the box that is ``reach`` larger on each side (upper bounds excluded). Points meet the boxes' Morton ranges.
+    the box that is ``reach`` larger on each side (upper bounds excluded). Points and boxes meet on the cells of few levels: a box is
+    covered by cells of one level, and a point has one cell on each level that occurs.
     """
     if reach < 0:
         raise ValueError("the reach must not be negative")
@@ -62,7 +69,10 @@ def chunk_members(points: DataFrame, chunks: DataFrame, reach: float, depth: int
         bits = " + ".join(f"shiftleft(shiftright(key, {3 * b + bit}) & 1, {b})" for b in range(depth))
         c = c.withColumn(f"_{a}", F.expr(f"({bits}) * w"))
     boxes = c.select("box", "w", *(F.col(f"_{a}") for a in AXES), *((F.col(f"_{a}") - reach).alias(f"{a}0") for a in AXES), *((F.col(f"_{a}") + F.col("w") + reach).alias(f"{a}1") for a in AXES))
-    met = interval_join(code, "_code", box_ranges(boxes, depth).join(boxes.select("box", "w", *(f"_{a}" for a in AXES)), "box"))
+    cells = box_cells(boxes, depth).select("box", "w", *(f"_{a}" for a in AXES), "level", "cell")
+    levels = [x[0] for x in cells.select("level").distinct().collect()]
+    at = code.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("cell", F.expr(f"shiftright(_code, 3 * ({depth} - level))"))
+    met = at.join(cells, ["level", "cell"])
     own = F.expr(f"shiftright(_code, 3 * ({depth} - box.depth)) = box.key")
     inside = F.lit(True)
     for a in AXES:

@@ -214,3 +214,21 @@ def test_components(spark, kind):
     df = spark.createDataFrame([(int(a), int(b)) for a, b in links], "src long, dst long")
     got = {r["id"]: r["label"] for r in graph.components(nodes, df).collect()}
     assert got == dict(enumerate(label))
+
+
+def test_chunks_meet_points_by_cells(spark):
+    """No runs of ranges are built (windows over all chunks, points once for each length): a point comes once for each level of chunks."""
+    rows = [(i, ((i * 7919) % 997) / 997, ((i * 104729) % 991) / 991, ((i * 611953) % 983) / 983) for i in range(400)]
+    p = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    chunks = spark.createDataFrame([(1, k) for k in range(7)] + [(2, 56 + k) for k in range(8)], "depth int, key long")
+    got = neighbours.chunk_members(p, chunks, 0.05, 6)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "_bucket" not in plan
+    assert got.where("own").count() == 400 and got.count() == got.distinct().count()
+    want = 0
+    for d, key in chunks.collect():
+        w = 0.5**d
+        at = [sum(((key >> (3 * b + bit)) & 1) << b for b in range(d)) * w for bit in (2, 1, 0)]
+        near = lambda v, o: -(w / 2 + 0.05) <= (v - o - w / 2 + 0.5) % 1 - 0.5 < w / 2 + 0.05  # noqa: B023, E731
+        want += sum(all(near(v, o) for v, o in zip(r[1:], at, strict=True)) for r in rows)
+    assert got.count() == want
