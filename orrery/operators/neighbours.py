@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,10 @@ from orrery.sources.staging import cut
 
 #: Nodes down to this depth are at most (8**5 - 1) / 7 rows, a bound under which they may be sent to all tasks.
 TOP = 4
+#: Points of a task that meets them with boxes.
+PART = 50_000
+#: Cells along the longest side of a box, at most.
+ACROSS = 4
 
 
 def interval_join(codes: DataFrame, code: str, ranges: DataFrame) -> DataFrame:
@@ -29,7 +35,7 @@ def interval_join(codes: DataFrame, code: str, ranges: DataFrame) -> DataFrame:
     return c.join(r, ["_level", "_bucket"]).where((F.col(code) >= F.col("lo")) & (F.col(code) < F.col("hi"))).drop("_level", "_bucket")
 
 
-def box_ranges(boxes: DataFrame, depth: int, across: int = 4) -> DataFrame:
+def box_ranges(boxes: DataFrame, depth: int, across: int = ACROSS) -> DataFrame:
     """``boxes(box, x0, x1, y0, y1, z0, z1)`` as a short list of Morton ranges each: ``box, lo, hi``.
 
     Boxes are periodic: bounds may leave the unit cube by up to a box. Each is covered by cells of the depth at which
@@ -42,7 +48,7 @@ def box_ranges(boxes: DataFrame, depth: int, across: int = 4) -> DataFrame:
     return run.groupBy("box", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
 
 
-def box_cells(boxes: DataFrame, depth: int, across: int = 4) -> DataFrame:
+def box_cells(boxes: DataFrame, depth: int, across: int = ACROSS) -> DataFrame:
     """``boxes`` (as in ``box_ranges``) with ``level, cell``: once for each Morton cell of its level that covers it."""
     side = F.greatest(*(F.col(f"{a}1") - F.col(f"{a}0") for a in AXES))
     level = F.least(F.greatest(F.floor(F.log2(F.lit(float(across)) / side)), F.lit(0)), F.lit(depth)).cast("int")
@@ -69,10 +75,14 @@ def chunk_members(points: DataFrame, chunks: DataFrame, reach: float, depth: int
         bits = " + ".join(f"shiftleft(shiftright(key, {3 * b + bit}) & 1, {b})" for b in range(depth))
         c = c.withColumn(f"_{a}", F.expr(f"({bits}) * w"))
     boxes = c.select("box", "w", *(F.col(f"_{a}") for a in AXES), *((F.col(f"_{a}") - reach).alias(f"{a}0") for a in AXES), *((F.col(f"_{a}") + F.col("w") + reach).alias(f"{a}1") for a in AXES))
-    cells = box_cells(boxes, depth).select("box", "w", *(f"_{a}" for a in AXES), "level", "cell")
-    levels = [x[0] for x in cells.select("level").distinct().collect()]
+    # by the points, not by the bytes, of which a point's many boxes and a box's many cells are no part
+    parts = max(1, points.count() // PART)
+    cells = box_cells(boxes.repartition(parts, "box"), depth).select("box", "w", *(f"_{a}" for a in AXES), "level", "cell")
+    sides = [2.0 ** -x[0] + 2 * reach for x in chunks.select("depth").distinct().collect()]
+    # both levels where a side's last bits decide
+    levels = sorted({min(max(math.floor(math.log2(ACROSS / (v * e))), 0), depth) for v in sides for e in (1 - 1e-9, 1 + 1e-9)})
     at = code.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("cell", F.expr(f"shiftright(_code, 3 * ({depth} - level))"))
-    met = at.join(cells, ["level", "cell"])
+    met = at.repartition(parts, "level", "cell").join(cells.hint("merge"), ["level", "cell"])
     own = F.expr(f"shiftright(_code, 3 * ({depth} - box.depth)) = box.key")
     inside = F.lit(True)
     for a in AXES:
