@@ -488,18 +488,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     edges = [scratch.cut(many.join(classes, "set_id").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"), F.lit(True).alias("linked")), "same")]
     index = _Index(scratch, entries, sets, num, den, hot_level, block)
     comp = None if edges[0].isEmpty() else components(edges[0], scratch)
+    known: list[DataFrame] = []
     for turn in range(rounds):
         led = scratch.cut(index.leaders(comp, turn), "leaders")
         found = scratch.cut(index.compare(led), "round")
         edges += [found, scratch.cut(index.below_leaders(found), "below")]
-        comp = components(_union(edges).where("linked"), scratch)
+        comp = components(_union([*known, *edges]).where("linked"), scratch)
         index.advance(comp, led, f"leader_{turn}")
-        scratch.drop(led)
+        scratch.drop(led, *edges)
+        # what is known so far stands in for its edges
+        known, edges = [comp.select(F.col("node").alias("src"), F.col("component").alias("dst"), F.lit(True).alias("linked"))], []
         if index.entries.isEmpty():
             break
     halves = scratch.cut(index.open_pairs(comp), "open")
     edges.append(scratch.cut(index.settle(halves), "settled"))
-    linked = components(_union(edges).where("linked"), scratch)
+    linked = components(_union([*known, *edges]).where("linked"), scratch)
     scratch.drop(index.entries, sets, halves, *edges, same)
     named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     low = own.join(named, "set_id", "left")

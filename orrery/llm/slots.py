@@ -131,7 +131,7 @@ def table(partials: DataFrame, bits: int, hits: int = 0) -> np.ndarray:
     unit = max(1.0, FULL * hits / 2**bits / 2 ** (TOP / 2))
     summed = partials.select("part", "counts").repartition("part").mapInArrow(_sum_parts(unit), SCHEMA)
     out = np.zeros(1 << (bits - 1), np.uint8)
-    for r in summed.toLocalIterator():
+    for r in summed.collect():  # packed, and all in one job: an iterator runs a job for each partition, one after the other
         out[r["part"] * WIDTH // 2 : (r["part"] + 1) * WIDTH // 2] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return out
 
@@ -151,7 +151,7 @@ def _whole_sums(batches):
 def heavy(partials: DataFrame, bits: int, share: float, least: int) -> np.ndarray:
     """A bit table of the slots with more than ``share`` of all hits, and more than ``least``; 8 * 2**bits bytes come to the driver."""
     out = np.zeros(1 << bits, np.uint64)
-    for r in partials.select("part", "counts").repartition("part").mapInArrow(_whole_sums, SCHEMA).toLocalIterator():
+    for r in partials.select("part", "counts").repartition("part").mapInArrow(_whole_sums, SCHEMA).collect():  # as in ``table``
         out[r["part"] * WIDTH : (r["part"] + 1) * WIDTH] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
     return np.packbits(out > max(least, share * float(out.sum())))
 
@@ -189,7 +189,7 @@ def _or_parts(batches):
 def bit_table(partials: DataFrame, bits: int) -> np.ndarray:
     """The slots that any task hit: 2**bits / 8 bytes come to the driver."""
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in partials.select("part", "counts").repartition("part").mapInArrow(_or_parts, SCHEMA).toLocalIterator():
+    for r in partials.select("part", "counts").repartition("part").mapInArrow(_or_parts, SCHEMA).collect():  # as in ``table``
         out[r["part"] * WIDE // 8 : (r["part"] + 1) * WIDE // 8] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return out
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from orrery.llm import embedding_dedup, ngram_join, slots, substring_dedup, vectors
+from orrery.llm import components, embedding_dedup, ngram_join, slots, substring_dedup, vectors
 from orrery.llm.scratch import Scratch
 
 SENT = substring_dedup._SENT
@@ -155,3 +155,65 @@ def test_dealt_vectors_come_a_block_at_a_time(monkeypatch):
     out = list(embedding_dedup._deal(One(), {(8, 0, False): 50})([None]))
     sent = [sum(len(v) for v in b.column(b.num_columns - 1).to_pylist()) for b in out]
     assert len(out) == 50 and sent == [x.nbytes] * 50
+
+
+def jobs(spark, group, f):
+    """What ``f`` returns, and the number of Spark jobs that it takes."""
+    spark.sparkContext.setJobGroup(group, group)
+    out = f()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, n
+
+
+def test_a_slot_table_takes_as_many_jobs_with_many_partitions(spark):
+    """An iterator over the sums ran one job after the other, one for each partition."""
+    partial = slots.Partial(20)
+    partial.add(slots.tk.mix(np.arange(1000, dtype=np.uint64)))
+    rows = spark.createDataFrame(pa.Table.from_batches(list(partial.batches())))
+    bits = slots.Bits(20)
+    bits.add(slots.tk.mix(np.arange(1000, dtype=np.uint64)))
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "24")
+        spark.conf.set(names[1], "false")
+        got = [jobs(spark, "levels", lambda: slots.table(rows, 20)), jobs(spark, "heavy", lambda: slots.heavy(rows, 20, 0, 0)), jobs(spark, "bits", lambda: slots.bit_table(spark.createDataFrame(pa.Table.from_batches(list(bits.batches()))), 20))]
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    assert all(n <= 3 for _, n in got), got
+    hit = slots.lookup(got[0][0], slots.tk.mix(np.arange(1000, dtype=np.uint64)))
+    assert hit.all() and np.array_equal(got[1][0], got[2][0])
+
+
+def test_components_in_few_jobs(spark):
+    """Against union and find: chains, stars whose middle is not the smallest, and random edges; a chain in few rounds."""
+    rng = np.random.RandomState(3)
+    edges = [*((i, i + 1) for i in range(0, 200)), *((1500, 1000 + i) for i in range(900)), *map(tuple, rng.randint(3000, 5000, (1600, 2)).tolist())]
+    up = {n: n for e in edges for n in e}
+
+    def find(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    src = spark.createDataFrame(edges, "src long, dst long").repartition(7)
+    got, n = jobs(spark, "stars", lambda: components.components(src, Scratch(spark, "t")))
+    found = {r["node"]: r["component"] for r in got.collect()}
+    assert found == {k: find(k) for k in found} and set(up) - set(found) == {k for k in up if all(a == b for a, b in edges if k in (a, b))}
+    assert n <= 36, n
+
+
+def test_stars_of_parts(monkeypatch):
+    """Sorted edges in lots of four: the rows of one node are never in two lots."""
+    monkeypatch.setattr(components, "_HELD", 4)
+    edges = [(5, 1), (6, 2), (7, 3), (7, 4), (7, 5), (8, 1), (9, 9 - 1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*edges[k : k + 2], strict=True)], names=["hi", "lo"]) for k in range(0, len(edges), 2)]
+    out = [tuple(r.values()) for r in pa.Table.from_batches(list(components._stars(batches))).to_pylist()]
+    assert out == [(5, 1), (6, 2), (4, 3), (5, 3), (7, 3), (8, 1), (9, 1)]
+    none = np.empty(0, np.int64)
+    assert [len(x) for x in components.stars(none, none)] == [0, 0]
