@@ -16,8 +16,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import struct
 import zlib
-from itertools import chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -135,9 +136,13 @@ class Encoder:
     def _learn(self, keys: list[int], words: list[bytes]) -> np.ndarray:
         """Number new words and keep their ids."""
         tokenize, letters = self.model.tokenize, self.letters
-        lists = [[t.id for t in tokenize(w.decode() if w.isascii() else "".join([letters[x] for x in w]))] for w in words]
-        size = np.fromiter(map(len, lists), np.int32, len(lists))
-        ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
+        # words have no white space or controls: their ASCII characters stand for themselves
+        found: list[int] = []
+        upto = [0]
+        for w in words:
+            found += [t.id for t in tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(letters))]
+            upto.append(len(found))
+        ids, size = np.array(found, np.uint32), np.diff(upto).astype(np.int32)
         n, to, used = self.count, self.count + len(words), self.used + len(ids)
         while to > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
@@ -162,8 +167,9 @@ class Encoder:
             at[at == len(self.keys)] = 0
             hit = self.keys[at] == key
             where[hit] = self.number[at[hit]]
-        for m in np.flatnonzero(where < 0).tolist():
-            where[m] = self.recent.get(int(key[m]), -1)
+        lost = np.flatnonzero(where < 0)
+        recent = self.recent.get
+        where[lost] = [recent(k, -1) for k in key[lost].tolist()]
         return where
 
     def encode(self, text: str) -> np.ndarray:
@@ -211,27 +217,55 @@ def _encoder(spec) -> Encoder:
     return _encoders[key]
 
 
+#: ``tk.mix`` of an id and 1, for ids of two bytes.
+_MIXED = tk.mix(np.arange(1, (1 << 16) + 1, dtype=U))
+
+
 def cuts(ids: np.ndarray) -> np.ndarray:
     """Chunk lengths of one document's ids, from the ids alone."""
-    n = len(ids)
-    if n <= LEAST:
-        return np.array([n] if n else [], np.int64)
-    with np.errstate(over="ignore"):
-        h = tk.mix(ids.astype(U) + U(1))
-        p, step = U(0x9E3779B97F4A7C15), 1
-        while step < WINDOW:
-            h = h[step:] + h[:-step] * p
-            p, step = p * p, step * 2
-    ends = np.flatnonzero(tk.mix(h) % U(AVERAGE) == 0) + WINDOW
-    out, at = [], 0
-    for e in [*ends.tolist(), n]:
-        while e - at > MOST:
-            out.append(MOST)
-            at += MOST
-        if e - at >= LEAST or e == n and e > at:
-            out.append(e - at)
-            at = e
-    return np.array(out, np.int64)
+    return np.array(cuts_of(ids, [0, len(ids)])[0], np.int64)
+
+
+def cuts_of(ids: np.ndarray, edges: list[int]) -> list[list[int]]:
+    """``cuts`` of each of the documents whose ids lie between ``edges``."""
+    found: np.ndarray = np.empty(0, np.int64)
+    if len(ids) >= WINDOW:
+        with np.errstate(over="ignore"):
+            h = _MIXED.take(ids) if ids.max() < len(_MIXED) else tk.mix(ids.astype(U) + U(1))
+            p, step = U(0x9E3779B97F4A7C15), 1
+            while step < WINDOW:
+                t = h[:-step] * p
+                t += h[step:]
+                h, p, step = t, p * p, step * 2
+        # windows over the end of a document are left out below
+        found = np.flatnonzero(tk.mix(h) % U(AVERAGE) == 0) + WINDOW
+    first = np.searchsorted(found, np.asarray(edges[:-1]) + WINDOW).tolist()
+    last = np.searchsorted(found, edges[1:], side="right").tolist()
+    ends, out = found.tolist(), []
+    for begin, end, i, j in zip(edges[:-1], edges[1:], first, last, strict=True):
+        n = end - begin
+        if n <= LEAST:
+            out.append([n] if n else [])
+            continue
+        size, at = [], begin
+        for e in [*ends[i:j], end]:
+            while e - at > MOST:
+                size.append(MOST)
+                at += MOST
+            if e - at >= LEAST or e == end and e > at:
+                size.append(e - at)
+                at = e
+        out.append(size)
+    return out
+
+
+def _edges(size, width: int) -> list[int]:
+    """Where chunks of so many ids begin and end, in bytes."""
+    return [0, *accumulate([n * width for n in size])]
+
+
+def _sizes(data: bytes) -> tuple[int, ...]:
+    return struct.unpack(f"<{len(data) // 2}H", data)
 
 
 def _encode(spec, end_id: int, width: int):
@@ -241,17 +275,20 @@ def _encode(spec, end_id: int, width: int):
         enc = _encoder(spec)
         end = np.array([end_id], "<u4")
         pack = zstandard.ZstdCompressor(level=3).compress
+        sha = hashlib.sha256
         for b in batches:
             for c in range(0, b.num_rows, 256):
                 part = b.slice(c, 256)
+                lists = enc.encode_all(part.column(1))
+                ids = np.concatenate([x for own in lists for x in (own, end)])
+                at = [0, *accumulate([len(x) + 1 for x in lists])]
+                data = memoryview(ids.astype(kind).tobytes())
                 rows = []
-                for ids in enc.encode_all(part.column(1)):
-                    ids = np.concatenate([ids, end])
-                    size = cuts(ids)
-                    data = ids.astype(kind).tobytes()
-                    edge = np.r_[0, np.cumsum(size)] * width
-                    names = b"".join(hashlib.sha256(data[x:y]).digest() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
-                    rows.append((hashlib.sha256(names).digest(), 1, len(ids), names, size.astype("<u2").tobytes(), pack(data), None))
+                for i, j, size in zip(at[:-1], at[1:], cuts_of(ids, at), strict=True):
+                    own = data[i * width : j * width]
+                    edge = _edges(size, width)
+                    names = b"".join([sha(own[x:y]).digest() for x, y in zip(edge[:-1], edge[1:], strict=True)])
+                    rows.append((sha(names).digest(), 1, j - i, names, struct.pack(f"<{len(size)}H", *size), pack(own), None))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.binary())], names=["doc_id", "leaf", "kind", "n_tokens", "names", "sizes", "data", "refs"])
 
@@ -292,12 +329,10 @@ def _strip(width: int):
                 lent, out = -1 - mine[mine < 0], mine[mine >= 0]
                 if key == last:  # the same row again: all it lends is there already
                     out, lent = np.unique(np.concatenate([out, lent])), lent[:0]
-                size = np.frombuffer(r["sizes"], "<u2").astype(np.int64) * width
-                edge = np.r_[0, np.cumsum(size)]
-                gone = set(out.tolist())
                 data = unpack(r["data"])
-                if gone:
-                    data = b"".join(data[edge[i] : edge[i + 1]] for i in range(len(size)) if i not in gone)
+                if len(out):
+                    edge, gone = _edges(_sizes(r["sizes"]), width), set(out.tolist())
+                    data = b"".join([data[edge[i] : edge[i + 1]] for i in range(len(edge) - 1) if i not in gone])
                 rows.append((r["doc_id"], shard, start, r["n_tokens"], r["leaf"], r["names"], r["sizes"], data, np.sort(out).astype("<i4").tobytes(), np.sort(lent).astype("<i4").tobytes()))
                 start += r["n_tokens"]
                 last = key
@@ -415,7 +450,7 @@ def _assemble(width: int):
     """Documents and the chunks they borrow (before them, by place) to ids, all digests checked."""
 
     def run(batches):
-        key, got = None, {}
+        key, got, sha = None, {}, hashlib.sha256
         for b in batches:
             rows = []
             for r in b.to_pylist():
@@ -426,17 +461,16 @@ def _assemble(width: int):
                     got[r["place"]] = r["data"]
                     continue
                 use = got if k == key else {}
-                size = np.frombuffer(r["sizes"], "<u2").astype(np.int64) * width
-                gone, at, parts = set(np.frombuffer(r["missing"], "<i4").tolist()), 0, []
-                for i, s in enumerate(size.tolist()):
+                gone, at, parts, data, names = set(np.frombuffer(r["missing"], "<i4").tolist()), 0, [], r["data"], r["names"]
+                for i, n in enumerate(_sizes(r["sizes"])):
                     if i in gone:
                         parts.append(use[i])
                     else:
-                        parts.append(r["data"][at : at + s])
-                        at += s
-                    if hashlib.sha256(parts[-1]).digest() != r["names"][32 * i : 32 * i + 32]:
+                        parts.append(data[at : at + n * width])
+                        at += n * width
+                    if sha(parts[-1]).digest() != names[32 * i : 32 * i + 32]:
                         raise ValueError(f"chunk {i} of document {r['doc_id']} does not have its digest")
-                if hashlib.sha256(r["names"]).digest() != r["leaf"]:
+                if sha(names).digest() != r["leaf"]:
                     raise ValueError(f"the recipe of document {r['doc_id']} does not have its digest")
                 ids = np.frombuffer(b"".join(parts), f"<u{width}").astype("<u4")
                 rows.append((r["doc_id"], r["shard"], r["shard_start"], len(ids), ids.tobytes()))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from orrery.llm import components, embedding_dedup, ngram_join, slots, substring_dedup, vectors
+from orrery.llm import components, embedding_dedup, ngram_join, slots, substring_dedup, token_store, vectors
 from orrery.llm.scratch import Scratch
 
 SENT = substring_dedup._SENT
@@ -217,3 +217,30 @@ def test_stars_of_parts(monkeypatch):
     assert out == [(5, 1), (6, 2), (4, 3), (5, 3), (7, 3), (8, 1), (9, 1)]
     none = np.empty(0, np.int64)
     assert [len(x) for x in components.stars(none, none)] == [0, 0]
+
+
+def test_cuts_of_many_documents_equal_those_of_each():
+    """Documents of all lengths cut in one pass over their ids, against a plain reading of the rule window by window."""
+    rng = np.random.RandomState(9)
+    docs = [rng.randint(0, top, n).astype("<u4") for n in (0, 1, 15, 16, 17, 64, 65, 66, 300, 1024, 1025, 5000, 40, 2100, 0) for top in (3, 49_000, 1 << 17)]
+    docs.append(np.zeros(5000, "<u4"))
+
+    def plain(ids):
+        out, at, n = [], 0, len(ids)
+        mixed = [int(v) for v in slots.tk.mix(ids.astype(np.uint64) + np.uint64(1))]
+        for e in range(1, n + 1):
+            h = 0
+            for v in mixed[e - token_store.WINDOW : e] if e >= token_store.WINDOW else []:
+                h = (h * 0x9E3779B97F4A7C15 + v) % 2**64
+            meets = e >= token_store.WINDOW and int(slots.tk.mix(np.array([h], np.uint64))[0]) % token_store.AVERAGE == 0
+            while (meets or e == n) and e - at > token_store.MOST and n > token_store.LEAST:
+                out.append(token_store.MOST)
+                at += token_store.MOST
+            if meets and e - at >= token_store.LEAST and n > token_store.LEAST or e == n and e > at:
+                out.append(e - at)
+                at = e
+        return out
+
+    flat, edges = np.concatenate(docs), np.cumsum([0, *map(len, docs)]).tolist()
+    got = token_store.cuts_of(flat, edges)
+    assert got == [plain(d) for d in docs] == [token_store.cuts(d).tolist() for d in docs]
