@@ -22,3 +22,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("rows", [[(7, [0.1, 0.2, 0.3])], [(1, [1.0, 0.0, 0.0]), (2, [0.98, 0.0, 0.05]), (3, [-1.0, 0.0, 0.0]), (4, None)]])
+def test_tree_forces_of_few_and_outermost_points(spark, compare, tmp_path, rows):
+    """One vector alone has no force, one of the axes lies on a face of the cube, one is null."""
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "t"))
+    next((tmp_path / "t").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    compare(catalogue.QUERIES["bh_force"](spark, str(tmp_path)), catalogue.ORACLE["bh_force"], str(tmp_path))

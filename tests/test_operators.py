@@ -336,6 +336,20 @@ def test_tree_sums_lose_little(spark, theta, most):
     assert lost(vec(gravity.tree_sum(points(spark, xyz, w), 0.9, table, theta=theta, bucket=6, depth=7)), want) < most
 
 
+@pytest.mark.parametrize(("shift", "stretch"), [(0.0, 1.0), (-0.5, 2.0)])
+def test_no_node_on_the_cutoff_is_taken_whole(spark, shift, stretch):
+    """Far nodes that the cutoff passes through are opened, for points in the unit cube and beyond: no point's force is off by much."""
+    xyz = np.clip(0.5 + 0.0625 * np.random.default_rng(5).normal(size=(2500, 3)), 0.001, 0.999)
+    xyz[0] = 0.5, 0.5, 0.67
+    w = 1.0 + np.arange(2500) % 7
+    xyz = (xyz + shift) * stretch
+    table = kernels.newton(0.2 * stretch)
+    want = all_pairs(xyz, w, 0.2 * stretch, table, False)
+    got = vec(gravity.tree_sum(points(spark, xyz, w), 0.2 * stretch, table, theta=0.5, depth=6))
+    off = np.sqrt(((got - want) ** 2).sum(1) / (want**2).sum(1).mean())
+    assert off.max() < 0.02
+
+
 @pytest.mark.parametrize("reach", [2, 3])
 def test_monopole_sums_lose_little(spark, reach):
     xyz, w = clumps(77, (400, 200), 0.04)
